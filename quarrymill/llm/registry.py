@@ -1,0 +1,21 @@
+"""The pN_ queries over the tables, and SQL where SQL can express them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .common import read
+from . import source_files
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return source_files.p2_found(read(spark, d, "chunks"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+}
+
+ORACLE: dict[str, str] = {}
