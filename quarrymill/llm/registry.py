@@ -7,15 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
-from . import source_files
+from . import languages, source_files
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return source_files.p2_found(read(spark, d, "chunks"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.p3_found(read(spark, d, "chunks"), read(spark, d, "lang_samples"))
+
+
+def p3_languages(spark: SparkSession, d: str) -> DataFrame:
+    return languages.p3_languages(read(spark, d, "chunks"), read(spark, d, "lang_samples"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_languages": p3_languages,
 }
 
 ORACLE: dict[str, str] = {}
