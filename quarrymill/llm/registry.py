@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
-from . import languages, source_files
+from . import languages, sentences, source_files
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,10 +22,15 @@ def p3_languages(spark: SparkSession, d: str) -> DataFrame:
     return languages.p3_languages(read(spark, d, "chunks"), read(spark, d, "lang_samples"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.p8_found(read(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_languages": p3_languages,
+    "p8_found": p8_found,
 }
 
 ORACLE: dict[str, str] = {}
