@@ -44,8 +44,7 @@ _shipped: set[str] = set()
 
 def _ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
-    if app in _shipped or spark.sparkContext.master.startswith("local["):
-        _shipped.add(app)
+    if app in _shipped:
         return
     import shutil
     import tempfile
