@@ -99,8 +99,11 @@ class Candidate:
 
 
 def _after(text: str, at: int) -> str:
+    """The next token's head: what follows an inner period (a file's suffix) does not make it another token."""
     m = _TOKEN_AFTER.match(text, at)
-    return m[1].strip("\"'«»„“”‘’()[]{}¿¡,;:「」『』（）").rstrip(_MARKS) if m else ""
+    token = m[1].strip("\"'«»„“”‘’()[]{}¿¡,;:「」『』（）").rstrip(_MARKS) if m else ""
+    head = token.split(".", 1)[0]
+    return head if len(head) > 2 and not head[0].isdigit() else token
 
 
 def prose_candidates(block: str) -> list[Candidate]:
@@ -125,7 +128,8 @@ def prose_candidates(block: str) -> list[Candidate]:
             gap = ""
         else:
             was = block[start - 1 : start]
-            if not (rest[0].isupper() and was.islower()) and not (ord(rest[0]) > 0x0E00 and not was.isdigit()):
+            starts = rest[0].isupper() and was.isalnum() and (rest[1:2].islower() or rest[1:2] in (" ", "'", "’"))
+            if not starts and not (ord(rest[0]) > 0x0E00 and not was.isdigit()):
                 continue
             gap = ""
         before = _TOKEN_BEFORE.search(block, max(0, start - 40), start)[0].lstrip("\"'«„“‘([¿¡")
@@ -264,7 +268,8 @@ def silver(c: Candidate, following: str | None, st: Statistics) -> tuple[int, Ca
         return (1, Candidate(c.end, c.before, following, c.mark, " ")) if following else None
     b, a = _slot(c.before + c.mark), _slot(c.after)
     never_ends = st.ends[b] == 0 and st.seen[b] >= RELIABLE
-    if st.starts[a] == 0 and (never_ends or _shape(c.after) in ("low", "dig")):
+    often_ends = _level(int(st.ends[b]), int(st.seen[b])) == "often"
+    if st.starts[a] == 0 and (never_ends or (_shape(c.after) in ("low", "dig") and not often_ends)):
         return 0, c
     if never_ends and st.seen[b] >= 5 * RELIABLE and c.mark not in _FULL:
         return 0, c
