@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
-from . import languages, sentences, source_files
+from . import languages, main_content, sentences, source_files
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return main_content.p1_found(read(spark, d, "kb_documents"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -27,6 +31,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_languages": p3_languages,

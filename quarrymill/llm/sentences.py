@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import maxent
 from .common import hash_sample
 
 STAT_SLOTS = 1 << 20
@@ -285,15 +286,15 @@ class SentenceModel:
         if not found:
             return np.zeros(0, bool)
         x = [[_weight_slot(f) for f in features(c, self.statistics)] for c in found]
-        return self.weights[np.array(x)].sum(axis=1) > 0
+        return maxent.score(x, self.weights) > 0
 
 
 def _weight_slot(feature: str) -> int:
-    return xxhash.xxh64_intdigest(feature) % WEIGHT_SLOTS
+    return maxent.slot(feature, WEIGHT_SLOTS)
 
 
-def fit_weights(texts: list[str], st: Statistics, epochs: int = 12, rate: float = 0.3, decay: float = 1e-5) -> np.ndarray:
-    """Logistic regression by AdaGrad over minibatches, from the reliable candidates of ``texts``."""
+def fit_weights(texts: list[str], st: Statistics) -> np.ndarray:
+    """Weights from the reliable candidates of ``texts``."""
     x, y = [], []
     for text in texts:
         blocks = [text[a:b] for kind, a, b in units(text) if kind == "prose"]
@@ -304,25 +305,7 @@ def fit_weights(texts: list[str], st: Statistics, epochs: int = 12, rate: float
                 if s := silver(c, following, st):
                     y.append(s[0])
                     x.append([_weight_slot(f) for f in features(s[1], st)])
-    weights, square = np.zeros(WEIGHT_SLOTS), np.full(WEIGHT_SLOTS, 1e-6)
-    if not x:
-        return weights
-    x, y = np.array(x), np.array(y, float)
-    # Both classes weigh the same, whatever the corpus' paragraphs are like.
-    share = y.mean()
-    w = np.where(y == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
-    rng = np.random.default_rng(11)
-    for _ in range(epochs):
-        order = rng.permutation(len(y))
-        for at in range(0, len(y), 256):
-            i = order[at : at + 256]
-            p = 1 / (1 + np.exp(-np.clip(weights[x[i]].sum(axis=1), -30, 30)))
-            g = np.zeros(WEIGHT_SLOTS)
-            np.add.at(g, x[i].ravel(), np.repeat((p - y[i]) * w[i] / len(i), x.shape[1]))
-            g += decay * weights
-            square += g * g
-            weights -= rate * g / np.sqrt(square)
-    return weights
+    return maxent.fit(x, y, WEIGHT_SLOTS)
 
 
 def fit_model(documents: DataFrame, key: str = "doc_id") -> SentenceModel:
