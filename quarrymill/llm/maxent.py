@@ -10,7 +10,7 @@ def slot(feature: str, slots: int) -> int:
     return xxhash.xxh64_intdigest(feature) % slots
 
 
-def fit(x: list[list[int]], y: list[int], slots: int, *, epochs: int = 12, rate: float = 0.3, decay: float = 1e-5, seed: int = 11) -> np.ndarray:
+def fit(x: list, y: list[int], slots: int, *, epochs: int = 12, rate: float = 0.3, decay: float = 1e-5, seed: int = 11) -> np.ndarray:
     """Weights by AdaGrad over minibatches; both classes weigh the same.
 
     Rows of ``x`` may differ in length: slot ``slots`` is added as padding and always weighs 0.
@@ -37,14 +37,14 @@ def fit(x: list[list[int]], y: list[int], slots: int, *, epochs: int = 12, rate:
     return weights
 
 
-def padded(x: list[list[int]], slots: int) -> np.ndarray:
+def padded(x: list, slots: int) -> np.ndarray:
     width = max(map(len, x))
-    out = np.full((len(x), width), slots, np.int64)
+    out = np.full((len(x), width), slots, np.int32)
     for i, row in enumerate(x):
         out[i, : len(row)] = row
     return out
 
 
-def score(x: list[list[int]], weights: np.ndarray) -> np.ndarray:
+def score(x: list, weights: np.ndarray) -> np.ndarray:
     """Log odds of class 1."""
     return weights[padded(x, len(weights) - 1)].sum(axis=1) if x else np.zeros(0)
