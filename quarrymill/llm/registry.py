@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
-from . import languages, main_content, sentences, source_files, splitting
+from . import languages, main_content, neighbours, sentences, source_files, splitting
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -26,6 +26,10 @@ def p3_languages(spark: SparkSession, d: str) -> DataFrame:
     return languages.p3_languages(read(spark, d, "chunks"), read(spark, d, "lang_samples"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.p4_found(read(spark, d, "chunks"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.p5_found(read(spark, d, "chunk_drafts"), read(spark, d, "kb_documents"), read(spark, d, "size_limits"))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_languages": p3_languages,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p8_found": p8_found,
