@@ -33,7 +33,7 @@ from .common import checkpointed, hash_sample
 CELL_ROWS = 4096
 #: Bound of the vectors that set the tree's thresholds.
 SAMPLE_ROWS = 20_000
-PROJECTIONS = 16
+PROJECTIONS = 24
 MAX_DEPTH = 20
 #: Mass of the places of a neighbour at the search radius that the visited cells must hold.
 P_VISIT = 0.9
@@ -216,15 +216,22 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = 0.85, dims: int = 64)
         a, b, sim = cell_pairs(table["row"].to_numpy(), _matrix(table["vec"], dims), table["home"].to_numpy(zero_copy_only=False), shipped.value, k, least)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(sim, pa.float64())})
 
-    routed = points.select("row", "vec").mapInArrow(route, "cell int, row long, home boolean, vec binary")
-    pairs = routed.groupBy("cell").applyInArrow(search, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
-    names = points.select("row", "id")
+    cells = 2**tree.depth
+    routed = points.select("row", "vec").mapInArrow(route, "cell int, row long, home boolean, vec binary").repartition(min(20_000, 2 * cells), "cell")
+    pairs = routed.groupBy("cell").applyInArrow(search, "a long, b long, similarity double").distinct()
     both = pairs.select(F.col("a").alias("row"), F.col("b").alias("other"), "similarity").unionAll(pairs.select(F.col("b"), F.col("a"), "similarity"))
-    named = both.join(names, "row").join(names.select(F.col("row").alias("other"), F.col("id").alias("neighbour")), "other").select("id", "neighbour", "similarity")
-    best = F.row_number().over(W.partitionBy("id").orderBy(F.round("similarity", 9).desc(), "neighbour"))
-    ranked = named.withColumn("rank", best).where(F.col("rank") <= k)
+    # Ranked by row number first, ties kept, so that few rows meet their ids; the ids then break the ties.
+    level = F.round("similarity", 9)
+    few = both.withColumn("level", level).withColumn("_r", F.rank().over(W.partitionBy("row").orderBy(F.col("level").desc()))).where(F.col("_r") <= k)
+    names = points.select("row", "id")
+    named = few.join(names.select(F.col("row").alias("other"), F.col("id").alias("neighbour")), "other").select("row", "neighbour", "similarity", "level").join(names, "row")
+    best = F.row_number().over(W.partitionBy("row").orderBy(F.col("level").desc(), "neighbour"))
+    ranked = named.withColumn("rank", best).where(F.col("rank") <= k).select("id", "neighbour", "similarity", "rank")
     # The other copies of a vector: their nearest are its first representatives.
-    groups = points.groupBy("vec").agg(F.max("copy").alias("n"), F.sort_array(F.collect_list("id")).alias("first")).where(F.col("n") > k).select("vec", "first")
+    large = points.where(F.col("copy") > k).select("vec")
+    if large.isEmpty():
+        return ranked
+    groups = points.join(large, "vec", "left_semi").groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("first"))  # k + 1 ids
     more = single.join(groups, "vec").where(~F.array_contains("first", F.col("id")))
     more = more.select("id", F.posexplode(F.slice("first", 1, k)).alias("p", "neighbour")).select("id", "neighbour", F.lit(1.0).alias("similarity"), (F.col("p") + 1).alias("rank"))
     return ranked.unionByName(more)
