@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
-from . import languages, main_content, neighbours, sentences, source_files, splitting
+from . import languages, main_content, mixing, neighbours, packing, sentences, source_files, splitting
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,6 +38,22 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_items(splitting.with_limits(read(spark, d, "chunk_drafts"), read(spark, d, "kb_documents"), read(spark, d, "size_limits")))
 
 
+def p6_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.p6_packing(read(spark, d, "documents"), read(spark, d, "pack_capacities"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.p6_fill(read(spark, d, "documents"), read(spark, d, "pack_capacities"))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.p7_mixture(read(spark, d, "documents"), read(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.p7_shares(read(spark, d, "documents"), read(spark, d, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.p8_found(read(spark, d, "documents"))
 
@@ -50,6 +66,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p6_packing": p6_packing,
+    "p6_fill": p6_fill,
+    "p7_mixture": p7_mixture,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
 }
 
