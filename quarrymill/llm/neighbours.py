@@ -219,7 +219,8 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = 0.85, dims: int = 64)
     cells = 2**tree.depth
     routed = points.select("row", "vec").mapInArrow(route, "cell int, row long, home boolean, vec binary").repartition(min(20_000, 2 * cells), "cell")
     pairs = routed.groupBy("cell").applyInArrow(search, "a long, b long, similarity double").distinct()
-    both = pairs.select(F.col("a").alias("row"), F.col("b").alias("other"), "similarity").unionAll(pairs.select(F.col("b"), F.col("a"), "similarity"))
+    ways = F.array(F.struct(F.col("a").alias("row"), F.col("b").alias("other")), F.struct(F.col("b").alias("row"), F.col("a").alias("other")))
+    both = pairs.select(F.explode(ways).alias("w"), "similarity").select("w.row", "w.other", "similarity")
     # Ranked by row number first, ties kept, so that few rows meet their ids; the ids then break the ties.
     level = F.round("similarity", 9)
     few = both.withColumn("level", level).withColumn("_r", F.rank().over(W.partitionBy("row").orderBy(F.col("level").desc()))).where(F.col("_r") <= k)
