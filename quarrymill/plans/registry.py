@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from . import search
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(search.QUERIES)
+ORACLE: dict[str, str] = dict(search.ORACLE)
