@@ -229,11 +229,13 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = 0.85, dims: int = 64)
     best = F.row_number().over(W.partitionBy("row").orderBy(F.col("level").desc(), "neighbour"))
     ranked = named.withColumn("rank", best).where(F.col("rank") <= k).select("id", "neighbour", "similarity", "rank")
     # The other copies of a vector: their nearest are its first representatives.
+    # They meet by two hashes of the vector, so no vector is shuffled again.
+    marks = [F.xxhash64("vec").alias("_h"), F.hash("vec").alias("_g")]
     large = points.where(F.col("copy") > k).select("vec")
     if large.isEmpty():
         return ranked
-    groups = points.join(large, "vec", "left_semi").groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("first"))  # k + 1 ids
-    more = single.join(groups, "vec").where(~F.array_contains("first", F.col("id")))
+    groups = points.join(large, "vec", "left_semi").select("id", *marks).groupBy("_h", "_g").agg(F.sort_array(F.collect_list("id")).alias("first"))  # k + 1 ids
+    more = usable.select("id", *marks).join(groups, ["_h", "_g"]).select("id", "first").dropDuplicates(["id"]).join(points.select("id"), "id", "left_anti")
     more = more.select("id", F.posexplode(F.slice("first", 1, k)).alias("p", "neighbour")).select("id", "neighbour", F.lit(1.0).alias("similarity"), (F.col("p") + 1).alias("rank"))
     return ranked.unionByName(more)
 
