@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import search
+from . import corpus, search
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(search.QUERIES)
-ORACLE: dict[str, str] = dict(search.ORACLE)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = search.QUERIES | corpus.QUERIES
+ORACLE: dict[str, str] = search.ORACLE | corpus.ORACLE
