@@ -48,8 +48,9 @@ def first_wins(docs: DataFrame, scope: str, order: str, text: str, key: str, lea
 def shingles(text: Column, size: int = V.SHINGLE_WORDS) -> Column:
     """The distinct runs of ``size`` words of a text, lower case."""
     w = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.array_join(F.slice(w, i, size), " "))
-    return F.when(F.size(w) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    # Bound as a lambda's variable, the words are found once and not once a run.
+    runs = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - (size - 1), F.lit(1))), lambda i: F.when(F.size(x) >= size, F.array_join(F.slice(x, i, size), " ")))
+    return F.array_distinct(F.filter(F.transform(F.array(w), runs)[0], lambda r: r.isNotNull()))
 
 
 def drop_near_duplicates(ranked: DataFrame, threshold: float = V.CONTAINMENT, least: int = V.LEAST_SHINGLES) -> DataFrame:
@@ -101,9 +102,11 @@ def near_duplicate_links(docs: DataFrame, key: str, text: str, threshold: float
     reps = reps.select("id", F.transform("s", lambda x: F.xxhash64(x)).alias("s"), F.size("s").alias("n"))
     gram = reps.select("id", "n", F.explode("s").alias("g"))
     counts = gram.groupBy("g").agg(F.count("*").alias("df")).where(F.col("df") > 1)
-    ranked = gram.join(counts, "g").withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("df", "g")))
+    own = W.partitionBy("id")
+    # Grams of no other set are the rarest of all: they fill the prefix first and meet nothing.
+    ranked = gram.join(counts, "g").withColumns({"r": F.row_number().over(own.orderBy("df", "g")), "alone": F.col("n") - F.count("*").over(own)})
     # Containment is over the smaller set, so the smaller set's prefix meets all grams of the larger.
-    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select(F.col("id").alias("a"), F.col("n").alias("na"), "g")
+    prefix = ranked.where(F.col("r") + F.col("alone") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select(F.col("id").alias("a"), F.col("n").alias("na"), "g")
     full = ranked.select(F.col("id").alias("b"), F.col("n").alias("nb"), "g")
     candidates = prefix.join(full, "g").where((F.col("a") != F.col("b")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))).select("a", "b").distinct()
     sets = reps.select("id", "s", "n")
