@@ -54,7 +54,7 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     parsed = raw.withColumn("r", F.from_json("value", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}))
     checked = F.when(F.col("r._bad").isNull() & F.col("r").isNotNull(), F.col("r.id")).otherwise(F.raise_error(F.concat(F.lit("not JSON: "), F.col("value"))))
     text = lambda n, v: F.coalesce(F.col(f"r.{n}"), F.lit(v)).alias(n)
-    items = lambda n: F.coalesce(F.filter(F.transform(F.col(f"r.{n}"), F.trim), lambda x: x != ""), F.array().cast("array<string>")).alias(n)
+    items = lambda n: F.coalesce(F.filter(F.transform(F.col(f"r.{n}"), lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>")).alias(n)
     return parsed.select(
         checked.cast("string").alias("id"), "r.question", text("lang", "en"), text("category", "general"), text("difficulty", "medium"), text("source_type", "any"), items("expected_source_ids"), items("expected_keywords"), "r.expected_answer", F.coalesce("r.should_abstain", F.lit(False)).alias("should_abstain"),
     )
