@@ -67,7 +67,7 @@ def solve_mean(tokens: np.ndarray, wanted: float, cap: int) -> float:
 
 
 def sized(documents: DataFrame, path: str = T.VOCABULARY) -> DataFrame:
-    """Every record with its source, hashed number and size in tokens."""
+    """Every record with its source, hashed number and size in tokens; rows without doc_id are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -76,7 +76,7 @@ def sized(documents: DataFrame, path: str = T.VOCABULARY) -> DataFrame:
 
     h = F.xxhash64(F.lit(SEED), F.col("doc_id"), F.coalesce("text", F.lit("")))
     u = F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(2**53))
-    rows = spread(documents.select("doc_id", "text", F.coalesce(source_name("source"), F.lit(NO_SOURCE)).alias("source"))).withColumn("u", u)
+    rows = spread(documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.coalesce(source_name("source"), F.lit(NO_SOURCE)).alias("source"))).withColumn("u", u)
     return rows.mapInPandas(run, "doc_id long, text string, source string, u double, tokens int")
 
 

@@ -365,7 +365,7 @@ def split_documents(documents: DataFrame, model: SentenceModel, key: str = "doc_
     """One row for each sentence: ``key, start_char, end_char``.
 
     Offsets count code points from 0, the end exclusive.  Equal texts give equal rows; a key that occurs
-    twice keeps both.  Texts without a visible character give none.
+    twice keeps both.  Texts without a visible character give none; rows without a key are left out.
     """
     kind = documents.schema[key].dataType.simpleString()
     shipped = documents.sparkSession.sparkContext.broadcast(model)  # fixed size: STAT_SLOTS and WEIGHT_SLOTS
@@ -379,7 +379,7 @@ def split_documents(documents: DataFrame, model: SentenceModel, key: str = "doc_
                 flat = np.array([x for s in spans for x in s], np.int64).reshape(-1, 2)
                 yield pd.DataFrame({key: np.repeat(part[key].to_numpy(), n), "start_char": flat[:, 0].astype(np.int32), "end_char": flat[:, 1].astype(np.int32)})
 
-    return documents.select(key, "text").mapInPandas(run, f"{key} {kind}, start_char int, end_char int")
+    return documents.where(F.col(key).isNotNull()).select(key, "text").mapInPandas(run, f"{key} {kind}, start_char int, end_char int")
 
 
 def p8_found(documents: DataFrame) -> DataFrame:

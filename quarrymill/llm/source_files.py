@@ -68,7 +68,8 @@ _NAMESPACE = (
     re.compile(r"^import\b.*\bfrom\s+[\"'](?:\.\./)+([\w-]+)[\"'/]"),
     re.compile(r"^set\s+search_path\s+to\s+\"?([\w-]+)", re.I),
 )
-_DATA_LINE = re.compile(r"""^[\[{(]?\s*(?:(?:["'][^"']*["']|[-+]?(?:0x[0-9a-f]+|\d[\d_.]*(?:e[-+]?\d+)?)|true|false|null|none|\[[^\]]*\]|\{[^}]*\})\s*[:,]?\s*){2,}[\]})]*[,;]?$""", re.I)
+#: A line of literals.  Atomic throughout: a long run of digits has one reading, not one for each way to cut it.
+_DATA_LINE = re.compile(r"""^[\[{(]?\s*+(?>(?>"[^"]*+"|'[^']*+'|[-+]?(?:0x[0-9a-f]++|\d[\d_.]*+(?:e[-+]?\d++)?+)|true|false|null|none|\[[^\]]*+\]|\{[^}]*+\})\s*+[:,]?+\s*+){2,}+[\]})]*+[,;]?$""", re.I)
 _BLOB = re.compile(r"[A-Za-z0-9+/=_-]{80,}")
 _WORD = re.compile(r"[^\W\d_]+")
 _NUMBER = re.compile(r"\d+")
