@@ -97,6 +97,7 @@ class Candidate:
     after: str
     mark: str
     gap: str  # "" none, " " space, "\n" line break, "E" end of the unit
+    closed: bool = False  # whether closing marks follow the mark
 
 
 def _after(text: str, at: int) -> str:
@@ -134,7 +135,7 @@ def prose_candidates(block: str) -> list[Candidate]:
                 continue
             gap = ""
         before = _TOKEN_BEFORE.search(block, max(0, start - 40), start)[0].lstrip("\"'«„“‘([¿¡")
-        out.append(Candidate(end, before[-24:], _after(block, end)[:24], marks[-1:] if len(marks) < 3 else "…", gap))
+        out.append(Candidate(end, before[-24:], _after(block, end)[:24], marks[-1:] if len(marks) < 3 else "…", gap, m[0] != marks))
     return out
 
 
@@ -270,13 +271,21 @@ def silver(c: Candidate, following: str | None, st: Statistics) -> tuple[int, Ca
     b, a = _slot(c.before + c.mark), _slot(c.after)
     never_ends = st.ends[b] == 0 and st.seen[b] >= RELIABLE
     often_ends = _level(int(st.ends[b]), int(st.seen[b])) == "often"
-    if st.starts[a] == 0 and (never_ends or (_shape(c.after) in ("low", "dig") and not often_ends)):
+    if st.starts[a] == 0 and (never_ends or c.mark == "…" or (_shape(c.after) in ("low", "dig") and not often_ends)):
         return 0, c
     if never_ends and st.seen[b] >= 5 * RELIABLE and c.mark not in _FULL:
         return 0, c
     return None
 
 
+def prior(c: Candidate) -> float:
+    """Odds that a script's own full stop ends a sentence, for scripts the fit has seen little of.
+
+    It does, unless a closing quotation mark follows and the text runs on behind it.
+    """
+    return 0.0 if c.mark not in _FULL or c.gap == "E" else -4.0 if c.closed and not c.gap else 4.0
+
+
 @dataclass(frozen=True)
 class SentenceModel:
     statistics: Statistics
@@ -286,7 +295,7 @@ class SentenceModel:
         if not found:
             return np.zeros(0, bool)
         x = [[_weight_slot(f) for f in features(c, self.statistics)] for c in found]
-        return maxent.score(x, self.weights) > 0
+        return maxent.score(x, self.weights) + np.array([prior(c) for c in found]) > 0
 
 
 def _weight_slot(feature: str) -> int:

@@ -150,7 +150,7 @@ def chunk_features(content: str | None) -> tuple:
     digits = sum(1 for s in code if _NUMBER.search(s))
     repeated = sum(n for shape, n in often.items() if n >= 3 and len(shape) > 3)
     data = sum(1 for s in code if _DATA_LINE.match(s) or s.lower().startswith("insert into "))
-    dense = sum(len(s) for s in code if len(s) >= 90 and s.count(" ") < len(s) * 0.06 and sum(map(s.count, ";{}()=,")) > len(s) * 0.1)
+    dense = sum(len(s) for s in code if len(s) >= 90 and s.count(" ") < len(s) * 0.1 and sum(map(s.count, ";{}()=,")) > len(s) * 0.1)
     blob = sum(len(m) for s in code for m in _BLOB.findall(s))
     low = high = 0
     for s in body:

@@ -38,7 +38,7 @@ _PROSE = (
     re.compile(r"\s+"),
 )
 _CODE = (
-    re.compile(r"\n[^\S\n]*\n\s*?(?=[^\s])"),
+    re.compile(r"\n(?:[^\S\n]*\n)+(?=\S)"),
     re.compile(r"\n(?=(?:export |public |private |async |static |pub |suspend )*(?:def|class|func|fun|function|interface|type|struct|enum|impl|create|alter|insert)\b)"),
     re.compile(r"\n(?=\S)"),
     re.compile(r"\n"),
@@ -107,7 +107,7 @@ def _best(text: str, levels: tuple[re.Pattern, ...], low: int, high: int, wanted
         best = None
         for m in level.finditer(text, max(0, low - 1), min(len(text), high + 1)):
             stop = m.start() + len(m[0].rstrip())
-            if low <= stop <= high and m.end() > low:
+            if low <= stop <= high and m.end() >= low:
                 begin = m.end()
                 while begin < len(text) and text[begin].isspace():
                     begin += 1
@@ -140,8 +140,9 @@ def cut_section(text: str, begin: int, stop: int, limit: Limit) -> list[Piece]:
     fresh = begin
     while fresh < stop and text[fresh].isspace():
         fresh += 1
+    first_word = len(text) - len(text.lstrip())  # what the slice begins with is no overlap worth repeating
     while fresh < stop:
-        start = _overlap(text, levels, ruler, fresh, limit) if fresh > 0 else fresh
+        start = max(first_word, _overlap(text, levels, ruler, fresh, limit))
         if ruler.length(start, stop) <= limit.most:
             out.append(Piece(start, fresh, stop, False))
             break
@@ -154,6 +155,8 @@ def cut_section(text: str, begin: int, stop: int, limit: Limit) -> list[Piece]:
                 break
         if found:
             end, nxt = found
+            while end > fresh + 1 and text[end - 1].isspace():
+                end -= 1
             out.append(Piece(first, fresh, end, False))
         else:
             high = ruler.reach(start, limit.most, stop)
@@ -170,7 +173,7 @@ def cut_section(text: str, begin: int, stop: int, limit: Limit) -> list[Piece]:
 
 def _last(text: str, levels: tuple[re.Pattern, ...], low: int, high: int) -> tuple[int, int] | None:
     """The last boundary of any strength whose piece ends in [low, high]."""
-    return _best(text, (re.compile(r"\s+|[。！？]+[」』”）]*"),), low, high, high)
+    return _best(text, (re.compile(r"\s+|[。！？]+[」』”）]*"), re.compile(r"(?=[。！？])")), low, high, high)
 
 
 def _overlap(text: str, levels: tuple[re.Pattern, ...], ruler: _Ruler, fresh: int, limit: Limit) -> int:
