@@ -147,6 +147,9 @@ def cut_section(text: str, begin: int, stop: int, limit: Limit) -> list[Piece]:
             out.append(Piece(start, fresh, stop, False))
             break
         for first in (start, fresh):  # without the overlap when no boundary comes soon enough with it
+            if ruler.length(first, stop) <= limit.most:
+                found = (stop, stop)
+                break
             high = ruler.reach(first, limit.most, stop)
             wanted = ruler.reach(first, limit.target, stop)
             low = max(fresh + 1, ruler.reach(first, limit.target // 2, stop))

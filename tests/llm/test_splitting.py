@@ -31,7 +31,7 @@ def whole(text, limit):
     return out
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab .\n#。！é😀-;", max_size=400), st.integers(8, 60), st.integers(0, 8), st.booleans())
 def test_any_text(text, most, overlap, code):
     limit = S.Limit(most * 2 // 3, most, min(overlap, most // 2), code)
