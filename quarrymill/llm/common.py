@@ -32,19 +32,10 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def spread(df: DataFrame, rows_per_task: int = 2000) -> DataFrame:
-    """Repartition round robin for CPU-heavy Python work on few, large files."""
-    return df.repartition(max(1, df.sparkSession.sparkContext.defaultParallelism * 4))
-
-
-def once_per_key(df: DataFrame, key: str, *, keep: list[str]) -> DataFrame:
-    """One row for each non-null ``key``: the one with the smallest value of ``keep`` in order.
-
-    Repeats of a key carry the same payload, so which of them stays matters for nothing but determinism.
-    The aggregate combines before its shuffle, so a key that repeats without end is no hot partition.
-    """
-    picked = F.min(F.struct(*keep)).alias("_row")
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(picked).select(key, *[F.col(f"_row.{c}").alias(c) for c in keep])
+def spread(df: DataFrame) -> DataFrame:
+    """Round robin over the cores where a scan has fewer parts than they; large inputs have more and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
 
 
 def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as T
-from .common import checkpointed, spread
+from .common import spread
 
 #: Steps of the hashed number by which tokens are summed.
 STEPS = 4096
@@ -66,18 +66,23 @@ def solve_mean(tokens: np.ndarray, wanted: float, cap: int) -> float:
     return low if abs(drawn(low) - wanted) <= abs(drawn(high) - wanted) else high
 
 
-def sized(documents: DataFrame, path: str = T.VOCABULARY) -> DataFrame:
-    """Every record with its source, hashed number and size in tokens; rows without doc_id are left out."""
+def records_of(documents: DataFrame) -> DataFrame:
+    """``doc_id, text, source, u``: every record with its source and hashed number; rows without doc_id are left out."""
+    h = F.xxhash64(F.lit(SEED), F.col("doc_id"), F.coalesce("text", F.lit("")))
+    u = F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(2**53))
+    return documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.coalesce(source_name("source"), F.lit(NO_SOURCE)).alias("source"), u.alias("u"))
+
+
+def with_tokens(records: DataFrame, path: str = T.VOCABULARY, keep_text: bool = True) -> DataFrame:
+    """``records`` with their size in tokens; records without tokens are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b["tokens"] = [T.count(t if isinstance(t, str) else None, path) for t in b["text"]]
-            yield b
+            yield b if keep_text else b.drop(columns="text")
 
-    h = F.xxhash64(F.lit(SEED), F.col("doc_id"), F.coalesce("text", F.lit("")))
-    u = F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(2**53))
-    rows = spread(documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.coalesce(source_name("source"), F.lit(NO_SOURCE)).alias("source"))).withColumn("u", u)
-    return rows.mapInPandas(run, "doc_id long, text string, source string, u double, tokens int")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in records.schema if keep_text or f.name != "text")
+    return spread(records).mapInPandas(run, schema + ", tokens int").where(F.col("tokens") > 0)
 
 
 def plan(records: DataFrame, targets: DataFrame, total: float | None = None) -> list[dict]:
@@ -124,9 +129,10 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, pa
     hashed place in the global order.  Records of no target source, or without tokens, take no part; repeated
     rows are records of their own and draw alike.
     """
-    records = checkpointed(sized(documents, path).where(F.col("tokens") > 0))
-    aims = plan(records, targets, total)
-    drawn = copies(records, aims).where(F.col("n") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    records = records_of(documents)
+    aims = plan(with_tokens(records, path, keep_text=False), targets, total)
+    # Only what is drawn is sized again: cheaper than a second copy of every text on disk.
+    drawn = with_tokens(copies(records, aims).where(F.col("n") > 0), path).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
     place = F.xxhash64(F.lit(SEED + 1), "doc_id", "copy")
     return drawn.select("doc_id", "source", F.col("copy").cast("int").alias("copy"), "tokens", place.alias("place"), "text"), aims
 
