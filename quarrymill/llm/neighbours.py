@@ -190,9 +190,12 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = 0.85, dims: int = 64)
 
     usable = vectors.select("id", F.col("vector").cast("array<double>")).where(F.col("id").isNotNull() & (F.size("vector") == dims)).mapInArrow(read, "id string, vec binary")
     single = usable.groupBy("id").agg(F.min("vec").alias("vec"))
-    # Copies: k + 1 representatives of each vector, limited before the shuffle.
-    first = W.partitionBy("vec").orderBy("id")
-    points = single.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= k + 1)
+    # Copies: k + 1 representatives of each vector.  Two hashes stand for it, so only ids are shuffled, and those
+    # limited before the shuffle; the representatives meet their vectors where these already lie, by id.
+    marks = [F.xxhash64("vec").alias("_h"), F.hash("vec").alias("_g")]
+    first = W.partitionBy("_h", "_g").orderBy("id")
+    kept = single.select("id", *marks).withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= k + 1).select("id", "_rank")
+    points = single.join(kept, "id")
     points = checkpointed(points.select(F.monotonically_increasing_id().alias("row"), "id", "vec", F.col("_rank").alias("copy")))
     rows = points.count()
     sample = np.stack([np.frombuffer(r["vec"], np.float32) for r in hash_sample(points.select("id", "vec"), "id", SAMPLE_ROWS).collect()]) if rows else np.zeros((0, dims), np.float32)
@@ -229,8 +232,6 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = 0.85, dims: int = 64)
     best = F.row_number().over(W.partitionBy("row").orderBy(F.col("level").desc(), "neighbour"))
     ranked = named.withColumn("rank", best).where(F.col("rank") <= k).select("id", "neighbour", "similarity", "rank")
     # The other copies of a vector: their nearest are its first representatives.
-    # They meet by two hashes of the vector, so no vector is shuffled again.
-    marks = [F.xxhash64("vec").alias("_h"), F.hash("vec").alias("_g")]
     large = points.where(F.col("copy") > k).select("vec")
     if large.isEmpty():
         return ranked
