@@ -190,10 +190,9 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = 0.85, dims: int = 64)
 
     usable = vectors.select("id", F.col("vector").cast("array<double>")).where(F.col("id").isNotNull() & (F.size("vector") == dims)).mapInArrow(read, "id string, vec binary")
     single = usable.groupBy("id").agg(F.min("vec").alias("vec"))
-    # Copies: k + 1 representatives of each vector, limited before the shuffle.
-    first = W.partitionBy("vec").orderBy("id")
-    points = single.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= k + 1)
-    points = checkpointed(points.select(F.monotonically_increasing_id().alias("row"), "id", "vec", F.col("_rank").alias("copy")))
+    # Row numbers come after the checkpoint, whose parts and order no longer change.
+    single = checkpointed(single).withColumn("row", F.monotonically_increasing_id())
+    points, more = representatives(single, k)
     rows = points.count()
     sample = np.stack([np.frombuffer(r["vec"], np.float32) for r in hash_sample(points.select("id", "vec"), "id", SAMPLE_ROWS).collect()]) if rows else np.zeros((0, dims), np.float32)
     tree = Tree.fit(sample, rows, dims)
@@ -228,16 +227,36 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = 0.85, dims: int = 64)
     named = few.join(names.select(F.col("row").alias("other"), F.col("id").alias("neighbour")), "other").select("row", "neighbour", "similarity", "level").join(names, "row")
     best = F.row_number().over(W.partitionBy("row").orderBy(F.col("level").desc(), "neighbour"))
     ranked = named.withColumn("rank", best).where(F.col("rank") <= k).select("id", "neighbour", "similarity", "rank")
-    # The other copies of a vector: their nearest are its first representatives.
-    # They meet by two hashes of the vector, so no vector is shuffled again.
-    marks = [F.xxhash64("vec").alias("_h"), F.hash("vec").alias("_g")]
-    large = points.where(F.col("copy") > k).select("vec")
-    if large.isEmpty():
-        return ranked
-    groups = points.join(large, "vec", "left_semi").select("id", *marks).groupBy("_h", "_g").agg(F.sort_array(F.collect_list("id")).alias("first"))  # k + 1 ids
-    more = usable.select("id", *marks).join(groups, ["_h", "_g"]).select("id", "first").dropDuplicates(["id"]).join(points.select("id"), "id", "left_anti")
-    more = more.select("id", F.posexplode(F.slice("first", 1, k)).alias("p", "neighbour")).select("id", "neighbour", F.lit(1.0).alias("similarity"), (F.col("p") + 1).alias("rank"))
-    return ranked.unionByName(more)
+    return ranked if more is None else ranked.unionByName(more)
+
+
+#: Rows up to which the ids of surplus copies, or the hashes of their groups, are broadcast; more are shuffled.
+BROADCAST_ROWS = 50_000
+
+
+def representatives(single: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows that take part, neighbours of the others) of ``id, vec, row``.
+
+    Of equal vectors the first ``k + 1`` ids take part; the nearest of every other copy are the first ``k``.
+    Two hashes stand for a vector, so none is shuffled; groups are limited before the shuffle.
+    """
+    keys = single.select("id", F.xxhash64("vec").alias("_h"), F.hash("vec").alias("_g"))
+    groups = checkpointed(keys.groupBy("_h", "_g").agg(F.count("*").alias("_n")).where(F.col("_n") > k + 1).select("_h", "_g"))
+    n = groups.count()
+    if not n:
+        return single, None
+    members = keys.join(_small(groups, n), ["_h", "_g"])
+    order = F.row_number().over(W.partitionBy("_h", "_g").orderBy("id"))
+    first = members.withColumn("_r", order).where(F.col("_r") <= k + 1).groupBy("_h", "_g").agg(F.sort_array(F.collect_list("id")).alias("first"))  # k + 1 ids
+    others = checkpointed(members.join(_small(first, n), ["_h", "_g"]).where(~F.array_contains("first", F.col("id"))).select("id", "first"))
+    points = single.join(_small(others.select("id"), others.count()), "id", "left_anti")
+    more = others.select("id", F.posexplode(F.slice("first", 1, k)).alias("p", "neighbour"))
+    return points, more.select("id", "neighbour", F.lit(1.0).alias("similarity"), (F.col("p") + 1).alias("rank"))
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint when its counted rows are few."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def p4_found(chunks: DataFrame) -> DataFrame:
