@@ -86,3 +86,13 @@ CODE_LANGUAGES = {
     "scala": "scala", "rb": "ruby", "php": "php", "cs": "csharp", "swift": "swift", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "sql": "sql", "sh": "bash", "ps1": "powershell", "tf": "hcl",
     "yaml": "yaml", "yml": "yaml", "json": "json", "toml": "toml", "xml": "xml", "html": "html", "css": "css", "scss": "scss", "vue": "vue", "proto": "protobuf", "graphql": "graphql", "gradle": "groovy",
 }
+
+#: How a decision record words its status, by status, the first that matches.
+DECISION_STATUS = (
+    ("template", r"^[\[{<]|proposed\s*[|/,]\s*accepted|accepted\s*[|/,]\s*(?:rejected|deprecated|superseded)|\bstatus here\b|such as|e\.g\.|ad esempio|what is the status|one of\b|^\.\.\.|^tbd$"),
+    ("superseded", r"supersed|sostituit|replaced by|superat|rimpiazzat"),
+    ("deprecated", r"deprecat|obsolet|outdated|no longer|non più|retired|withdrawn|ritirat|dismess|archiviat"),
+    ("rejected", r"reject|rifiutat|respint|declined"),
+    ("proposed", r"propos|draft|bozza|in review|under review|in revisione|in discussione|\brfc\b|\bwip\b|pending|in attesa"),
+    ("accepted", r"accept|approv|accettat|adopt|adottat|in force|in vigore|\bactive\b|attiv|decided|decis|implemented|implementat|final"),
+)

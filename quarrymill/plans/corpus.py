@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import values as V
 from ..functions.patterns import glob_regex, wildcard_regex
-from ..operators import answers, chunking, dedupe, evaluate, hierarchy, incremental, links, quality
+from ..operators import answers, chunking, dedupe, documents, evaluate, hierarchy, incremental, links, quality
 from ..operators.filters import Filters, predicate
 from . import data
 from .sql import CHUNKS, PAGES, fold, q
@@ -334,3 +334,49 @@ def _rules_sql() -> str:
 def rules_first_match(spark: SparkSession, d: str) -> DataFrame:
     kb = data.pages(spark, d, "rel_path", "title")
     return hierarchy.first_match(kb, "source_id", _RULES, {"path": F.col("rel_path"), "title": F.col("title")}).select("source_id", "tier")
+
+
+# ---- whole documents
+
+
+def _status_sql() -> str:
+    low = "lower(trim(regexp_replace(regexp_replace(regexp_replace(x, '[*_`>#|]', ' ', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '\\s+', ' ', 'g'))[1:120])"
+    return "CASE WHEN " + low + " = '' THEN NULL " + " ".join(f"WHEN regexp_matches({low}, {q(p)}) THEN '{n}'" for n, p in V.DECISION_STATUS) + " END"
+
+
+@query(
+    f"""WITH {PAGES}, c AS (SELECT source_id, authority, body, list_transform([regexp_extract(body, {q(documents._STATUS_HEADING)}, 1), regexp_extract(body, {q(documents._STATUS_INLINE)}, 1)], lambda x: {_status_sql()}) AS s FROM kb WHERE body IS NOT NULL)
+    SELECT source_id, coalesce(s[1], s[2]) AS status, CASE WHEN authority = 'binding' AND NOT CASE WHEN coalesce(s[1], s[2]) IS NOT NULL THEN coalesce(s[1], s[2]) = 'accepted' ELSE regexp_matches(body, {q(documents._RECORD)}) END THEN 'descriptive' ELSE authority END AS effective FROM c"""
+)
+def effective_authority(spark: SparkSession, d: str) -> DataFrame:
+    kb = data.pages(spark, d, "body").where(F.col("body").isNotNull())
+    none = F.lit(None).cast("string")
+    return kb.select("source_id", documents.decision_status(F.col("body"), none).alias("status"), documents.effective_authority(F.col("authority"), F.col("body"), none).alias("effective"))
+
+
+@query(
+    f"""WITH {PAGES}, h AS (SELECT regexp_replace(lower(n), '[^a-z0-9]', '', 'g') AS h, max(source_id) AS source_id FROM (SELECT source_id, unnest([source_id, coalesce(rel_path, source_id), regexp_replace(coalesce(rel_path, source_id), '\\.md$', '')]) AS n FROM kb) GROUP BY 1)
+    SELECT DISTINCT upper(k.rel_path) AS q, h.source_id FROM kb k JOIN h ON regexp_replace(lower(k.rel_path), '[^a-z0-9]', '', 'g') = h.h WHERE h.h <> ''"""
+)
+def resolve_ids(spark: SparkSession, d: str) -> DataFrame:
+    kb = data.pages(spark, d, "rel_path")
+    return documents.resolve_ids(kb.where(F.col("rel_path").isNotNull()).select(F.upper("rel_path").alias("q")).distinct(), kb)
+
+
+@query(
+    f"""WITH {CHUNKS} SELECT id, concat_ws(' — ', heading_path, nullif(source_url, '')) || CASE WHEN coalesce(last_modified, '') <> '' THEN ' (as of ' || last_modified || ')' ELSE '' END || chr(10) || CASE WHEN length(content) > 600 THEN left(content, 600) || '…' ELSE content END AS block FROM ch"""
+)
+def citation_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return documents.context_rows(data.chunks(spark, d, "heading_path", "source_url", "content"))
+
+
+@query(
+    f"""WITH {PAGES} SELECT source_id, regexp_matches(lower(left(body, 600)), {q('|'.join(V.ABSTENTIONS))}) AS abstains FROM kb WHERE body IS NOT NULL"""
+)
+def abstentions(spark: SparkSession, d: str) -> DataFrame:
+    return data.pages(spark, d, "body").where(F.col("body").isNotNull()).select("source_id", T.looks_like_abstention(F.col("body")).alias("abstains"))
+
+
+@query()
+def outline_rows(spark: SparkSession, d: str) -> DataFrame:
+    return documents.outline_rows(chunking.outline(data.pages(spark, d, "body")))

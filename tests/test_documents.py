@@ -141,3 +141,46 @@ def test_connector(spark):
         return "ok"
 
     assert connector.with_retries(flaky, wait=lambda s: None) == "ok" and len(tries) == 3
+
+
+def test_sections():
+    from quarrymill.operators import documents as D
+
+    body = "# T\n\nintro\n\n## Alpha\na\n### Query Parameters\nq1\n## Beta\n```\n## Alpha\n```\n### Query Parameters\nq2\n"
+    assert D.section(body, "query parameters")[0] == "### Query Parameters\nq1"
+    assert D.section(body, "Beta > Query Parameters")[0].endswith("q2")
+    assert D.section(body, "Alpha")[0] == "## Alpha\na\n### Query Parameters\nq1" and D.section(body, "nothing") is None
+    got = D.fetch("line one\nline two\nline three\n", offset=12, most=10)
+    assert got["offset"] == 9 and got["text"] == "line two" and got["next"] == 18
+    assert D.fetch("abc")["next"] is None
+
+
+def test_status(spark):
+    from pyspark.sql import functions as F
+
+    from quarrymill.operators import documents as D
+
+    rows = [("## Status\n\nAccepted on 1 May", None), ("Status: superseded by 12", None), ("| Stato | Deprecato |", None), ("text", "Proposed, Accepted"), ("## Context\nx", None), ("plain", None), (None, None)]
+    df = spark.createDataFrame(rows, "b string, s string")
+    out = df.select(D.decision_status(F.col("b"), F.col("s")).alias("st"), D.effective_authority(F.lit("binding"), F.col("b"), F.col("s")).alias("a")).collect()
+    assert [tuple(r) for r in out] == [("accepted", "binding"), ("superseded", "descriptive"), ("deprecated", "descriptive"), ("template", "descriptive"), (None, "binding"), (None, "descriptive"), (None, "descriptive")]
+
+
+def test_ids_bundles_verdicts(spark):
+    import io
+    import zipfile
+
+    from quarrymill.operators import documents as D
+
+    docs = spark.createDataFrame([("gitlab:a/b:docs/x.md", "gitlab/a/b/docs/x.md"), ("s2", None)], "source_id string, rel_path string")
+    asked = spark.createDataFrame([("GITLAB/a/b/docs/X",), ("zzz docs/x.md",), ("S-2",)], "q string")
+    assert sorted((r["q"], r["source_id"]) for r in D.resolve_ids(asked, docs).collect()) == [("GITLAB/a/b/docs/X", "gitlab:a/b:docs/x.md"), ("S-2", "s2")]
+    assert [r["q"] for r in D.suggest_ids(spark.createDataFrame([("docs/x",)], "q string"), docs).collect()] == ["docs/x"]
+    cites = spark.createDataFrame([("b", 2), ("a", 3), ("b", 5), ("a", 1)], "source_id string, n int")
+    assert [(r["source_id"], list(r["numbers"])) for r in D.bundle_documents(cites).orderBy("place").collect()] == [("a", [1, 3]), ("b", [2, 5])]
+    z = zipfile.ZipFile(io.BytesIO(D.zip_bundle("q", "a", [("a/b:c.md", "text")], {"n": 1})))
+    assert z.testzip() is None and "sources/a-b-c.md" in z.namelist()
+    assert D.judge_verdict('so: {"correctness": "3", "grounded": 1, "abstained": "true", "x": {"y": 1}} end') == {"correctness": 2, "grounded": 1, "abstained": True, "rationale": ""}
+    assert D.judge_verdict("no json") is None and D.judge_verdict("{bad}") is None
+    index = spark.createDataFrame([("a/#x",), ("a/",), ("",), ("assets/x.html",), ("b/c.html#t",)], "location string")
+    assert sorted(r["path"] for r in D.search_index_pages(index).collect()) == ["a/index.html", "b/c.html", "index.html"]
