@@ -41,7 +41,7 @@ def words(text: Column) -> Column:
 
 
 def _kept(word: Column) -> Column:
-    return (F.length(word) >= 2) & ~F.array_contains(F.array(*[F.lit(w) for w in V.STOP_WORDS]), word)
+    return (F.length(word) >= 2) & ~word.isin(V.STOP_WORDS)  # becomes a hash set
 
 
 def tokenize(text: Column) -> Column:
@@ -97,7 +97,7 @@ def language_counts(text: Column) -> tuple[Column, Column]:
     s = F.regexp_replace(s, r"`[^`]*`", " ")
     s = F.lower(F.regexp_replace(s, r"https?://\S+", " "))
     found = F.split(s, r"[^a-zàèéìòù']+")
-    count = lambda known: F.size(F.filter(found, lambda w: F.array_contains(F.array(*[F.lit(x) for x in known]), w)))
+    count = lambda known: F.size(F.filter(found, lambda w: w.isin(known)))
     return count(V.ITALIAN_WORDS), count([w for w in V.ENGLISH_WORDS if w not in V.ITALIAN_WORDS])
 
 
