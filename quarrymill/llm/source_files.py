@@ -212,7 +212,7 @@ def classify_source_files(chunks: DataFrame) -> DataFrame:
         {
             "third_party": F.col("foreign") | (vendored & ~F.col("declared")),
             "data": ((F.col("n_code") >= 4) & (F.col("n_data") / n >= 0.7)) | ((F.col("n_chars") > 300) & (F.col("blob_chars") / F.greatest(F.col("n_chars"), F.lit(1)) >= 0.6)),
-            "minified": (F.col("n_chars") > 300) & (F.col("dense_chars") / F.greatest(F.col("n_chars"), F.lit(1)) >= 0.6),
+            "minified": ~F.col("declared") & (F.col("n_chars") > 300) & (F.col("dense_chars") / F.greatest(F.col("n_chars"), F.lit(1)) >= 0.6),
             "templated": ~F.col("declared") & (F.col("n_code") >= 5) & (F.col("n_repeated") / n >= 0.5) & (F.col("n_digits") / n >= 0.25),
             "named": ~F.col("declared") & F.col("inner").rlike(GENERATED_NAME),
             "body": F.struct("n_body", "fp_low", "fp_high"),
