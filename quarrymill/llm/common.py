@@ -38,15 +38,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(4 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
 
 
-def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+#: Texts longer than this do not serve to fit a model, so that a sample's rows bound its bytes too.
+MAX_FIT_CHARS = 200_000
+
+
+def hash_sample(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
     """The ``rows`` rows with the smallest hashes of ``key``: a bounded sample that no order of the input changes.
 
-    A threshold from the row count leaves about twice that many before the sort, so what the tasks send on
-    does not grow with the input.
+    ``total`` is about how many rows there are (a count that a file's footer answers will do); a threshold from
+    it leaves about twice ``rows`` before the sort, so what the tasks send on does not grow with the input.
     """
-    total = df.count()
     h = F.xxhash64(F.col(key).cast("string"))
     if total > 2 * rows:
-        share = min(1.0, (2 * rows + 200) / total)
-        df = df.where(h < F.lit(int(-(2**63) + share * 2**64) if share < 1 else 2**63 - 1))
+        df = df.where(h < F.lit(int(-(2**63) + (2 * rows + 200) / total * 2**64)))
     return df.orderBy(h, key).limit(rows)

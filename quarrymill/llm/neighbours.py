@@ -194,7 +194,7 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = 0.85, dims: int = 64)
     single = checkpointed(single).withColumn("row", F.monotonically_increasing_id())
     points, more = representatives(single, k)
     rows = points.count()
-    sample = np.stack([np.frombuffer(r["vec"], np.float32) for r in hash_sample(points.select("id", "vec"), "id", SAMPLE_ROWS).collect()]) if rows else np.zeros((0, dims), np.float32)
+    sample = np.stack([np.frombuffer(r["vec"], np.float32) for r in hash_sample(points.select("id", "vec"), "id", SAMPLE_ROWS, rows).collect()]) if rows else np.zeros((0, dims), np.float32)
     tree = Tree.fit(sample, rows, dims)
     shipped = spark.sparkContext.broadcast(tree)  # at most 2^MAX_DEPTH thresholds: 4 MB
     radius = math.sqrt(max(0.0, 2 - 2 * least))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import maxent
-from .common import hash_sample
+from .common import MAX_FIT_CHARS, hash_sample
 
 STAT_SLOTS = 1 << 20
 WEIGHT_SLOTS = 1 << 15
@@ -205,13 +205,15 @@ def token_statistics(documents: DataFrame) -> Statistics:
     """Counts over all documents; three counters for each of ``STAT_SLOTS`` slots reach the driver."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = [Counter(), Counter(), Counter()]
+        total = np.zeros((3, STAT_SLOTS), np.int64)
         for b in batches:
             for t, c in zip(total, count_tokens([x for x in b["text"] if x])):
-                t.update(c)
+                t[list(c)] += list(c.values())
         for kind, t in enumerate(total):
-            if t:
-                yield pd.DataFrame({"kind": kind, "slot": list(t), "n": list(t.values())})
+            slots = np.flatnonzero(t)
+            for at in range(0, len(slots), 100_000):
+                part = slots[at : at + 100_000]
+                yield pd.DataFrame({"kind": kind, "slot": part, "n": t[part]})
 
     counted = documents.select("text").mapInPandas(run, "kind int, slot int, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toPandas()
     arrays = [np.zeros(STAT_SLOTS, np.int32) for _ in range(3)]
@@ -320,7 +322,7 @@ def fit_weights(texts: list[str], st: Statistics) -> np.ndarray:
 def fit_model(documents: DataFrame, key: str = "doc_id") -> SentenceModel:
     """Statistics over all documents, weights from a bounded sample of them."""
     st = token_statistics(documents)
-    texts = hash_sample(documents.where(F.length("text") > 0).select("text", key), key, MAX_FIT_DOCUMENTS).collect()
+    texts = hash_sample(documents.where(F.length("text").between(1, MAX_FIT_CHARS)).select("text", key), key, MAX_FIT_DOCUMENTS, documents.count()).collect()
     return SentenceModel(st, fit_weights([r["text"] for r in texts], st))
 
 
