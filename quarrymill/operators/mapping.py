@@ -22,12 +22,26 @@ def fit_clusters(vectors: DataFrame, k: int, dims: int, sample: int = 20_000, se
 def assign_clusters(vectors: DataFrame, centroids: DataFrame, dims: int) -> DataFrame:
     """``id, cluster, similarity``: the most similar centroid (``cluster, center``) of each row; the first wins ties.
 
-    Centroids are few (k) and go out once.
+    Centroids are a stated few (k): each block of rows meets them in one matrix product, without a join.
     """
-    j = vectors.where(V.usable(F.col("vector"), dims)).select("id", "vector").join(F.broadcast(centroids))
-    scored = j.withColumn("similarity", F.round(V.cosine(F.col("vector"), F.col("center")), 6))
-    best = scored.groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "cluster")).alias("b"))
-    return best.select("id", F.col("b.cluster").alias("cluster"), (-F.col("b.s")).alias("similarity"))
+    rows = [(r["cluster"], list(r["center"])) for r in centroids.orderBy("cluster").collect()]
+    schema = f"id {vectors.schema['id'].dataType.simpleString()}, cluster {centroids.schema['cluster'].dataType.simpleString()}, similarity double"
+
+    def block(batches):
+        import numpy as np
+        import pandas as pd
+
+        c = np.array([x for _, x in rows], float).reshape(-1, dims)
+        c /= np.linalg.norm(c, axis=1, keepdims=True)
+        names = np.array([n for n, _ in rows])
+        for b in batches:
+            if len(b) and len(c):
+                x = np.stack(b["vector"].to_numpy()).astype(float)
+                sim = np.round((x / np.linalg.norm(x, axis=1, keepdims=True)) @ c.T, 6)
+                best = sim.argmax(axis=1)
+                yield pd.DataFrame({"id": b["id"], "cluster": names[best], "similarity": sim[np.arange(len(x)), best]})
+
+    return vectors.where(V.usable(F.col("vector"), dims)).select("id", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(block, schema)
 
 
 def split_words(text: Column) -> Column:
@@ -56,9 +70,9 @@ def name_scores(rows: DataFrame, stop: list[str]) -> DataFrame:
     terms = rows.select("grp", "key", F.explode(label_tokens(F.col("text"), stop)).alias("term"))
     f = terms.groupBy("grp", "term").agg(F.count_distinct("key").alias("f"))
     df = f.groupBy("term").agg(F.count("*").alias("df"))
-    groups = rows.select("grp").distinct().agg(F.count("*").alias("g"))
+    groups = rows.agg(F.count_distinct("grp")).scalar()
     s = (1 + F.log("f")) * F.log((F.col("g") + 1) / (F.col("df") + 0.5))
-    return f.join(df, "term").join(F.broadcast(groups)).select("grp", "term", "f", "df", F.round(s, 6).alias("score"))
+    return f.join(df, "term").withColumn("g", groups).select("grp", "term", "f", "df", F.round(s, 6).alias("score"))
 
 
 def name_groups(scores: DataFrame, terms: int = 3) -> DataFrame:
@@ -84,11 +98,11 @@ def common_spelling(rows: DataFrame, text: str) -> DataFrame:
 
 def grid_cells(points: DataFrame, cells: int, least: int) -> DataFrame:
     """``cx, cy, n, x, y``: dense cells of a grid over the points' bounds, with their mean."""
-    b = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    b = points.agg(F.struct(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))).scalar()
     side = lambda a, z: F.coalesce(F.nullif(F.col(z) - F.col(a), F.lit(0.0)), F.lit(1.0)) / cells
     at = lambda v, a, z: F.least(F.lit(cells - 1), F.floor((F.col(v) - F.col(a)) / side(a, z)).cast("int"))
     r3 = lambda c: F.floor(c * 1000 + 0.5) / 1000
-    placed = points.join(F.broadcast(b)).select(at("x", "x0", "x1").alias("cx"), at("y", "y0", "y1").alias("cy"), "x", "y")
+    placed = points.withColumn("_b", b).select("x", "y", "_b.*").select(at("x", "x0", "x1").alias("cx"), at("y", "y0", "y1").alias("cy"), "x", "y")
     return placed.groupBy("cx", "cy").agg(F.count("*").alias("n"), r3(F.avg("x")).alias("x"), r3(F.avg("y")).alias("y")).where(F.col("n") >= least)
 
 

@@ -39,7 +39,7 @@ def tokenize_alnum_split(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {CHUNKS}, {ASKED}, {BM25} SELECT term, df.df AS df, sum(tf)::BIGINT AS cf, round(max(ln(1 + (n - df.df + 0.5) / (df.df + 0.5))), 6) AS idf FROM postings JOIN df USING (term) CROSS JOIN corpus GROUP BY term, df.df")
 def bm25_build_stats(spark: SparkSession, d: str) -> DataFrame:
     ix = bm25.build(data.chunks(spark, d, "text"))
-    cf = ix.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).crossJoin(F.broadcast(ix.corpus))
+    cf = ix.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).withColumn("n", ix.corpus.select("n").scalar())
     return cf.select("term", "df", "cf", F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
 
 
