@@ -149,7 +149,6 @@ def p7_shares(documents: DataFrame, targets: DataFrame) -> DataFrame:
     schema = "source string, target_share double, max_repeats int, available_tokens double, mean double"
     wanted = spark.createDataFrame([(a["source"], a["share"], a["cap"], a["available"], a["mean"]) for a in aims], schema)
     got = mixture.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("copies"), F.max("copy").alias("most_copies"))
-    whole = mixture.agg(F.sum("tokens").alias("all_tokens"))
-    joined = wanted.join(got, "source", "left").join(F.broadcast(whole))
+    joined = wanted.join(got, "source", "left").withColumn("all_tokens", got.agg(F.sum("tokens")).scalar())
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return joined.select("source", "target_share", F.round(F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)), 6).alias("actual_share"), "max_repeats", "available_tokens", z("tokens"), z("copies"), z("most_copies"))
