@@ -180,9 +180,8 @@ def judge_verdict(text: str) -> dict | None:
 def search_index_pages(index: DataFrame) -> DataFrame:
     """``path`` of the pages in a docs search index (``location``), without fragments, each once."""
     base = F.split_part("location", F.lit("#"), F.lit(1))
-    path = F.when(base == "", "index.html").when(base.endswith("/"), F.concat(base, F.lit("index.html"))).otherwise(base)
-    asset = path.rlike(r"(?i)(^|/)(assets|search)/|404\.html$")
-    return index.select(path.alias("path")).where(F.col("path").endswith(".html") & ~asset).distinct()
+    path = F.when(base == "", "index.html").when(base.endswith("/"), F.concat(base, F.lit("index.html"))).when(base.endswith(".html"), base).otherwise(F.concat(base, F.lit("/index.html")))
+    return index.select(path.alias("path")).where(~F.col("path").rlike(r"^(assets|search)/|(^|/)404\.html$")).distinct()
 
 
 def context_rows(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import answers, graph, hierarchy, links, mapping
+from ..functions import scalars
+from ..operators import answers, catalog, graph, hierarchy, links, mapping
 from ..streaming import events
 from . import data
 from .sql import CHUNKS, PAGES, fold, q
@@ -356,3 +357,59 @@ def sync_log(spark: SparkSession, d: str) -> DataFrame:
     first = F.row_number().over(W.partitionBy("event_id").orderBy("received_at", F.asc_nulls_last("source"), F.asc_nulls_last("reason")))
     once = ev.withColumn("_n", first).where(F.col("_n") == 1)
     return once.select("event_id", "source", "reason", F.col("extra")["owner"].alias("owner"), (F.col("received_at") > F.col("emitted_at") + F.expr("INTERVAL 1 HOUR")).alias("late"))
+
+
+# ---- catalogs and scalars
+
+
+@query(
+    f"""WITH {CHUNKS}, p AS (SELECT string_split(rel_path, '/') AS p, count(*) AS n FROM ch WHERE rel_path IS NOT NULL GROUP BY 1)
+    SELECT array_to_string(p[1:least(CASE p[1] WHEN 'gitlab' THEN 3 WHEN 'confluence' THEN 2 ELSE 1 END, greatest(len(p) - 1, 1))], '/') AS grp, sum(n)::BIGINT AS n FROM p GROUP BY 1"""
+)
+def path_groups(spark: SparkSession, d: str) -> DataFrame:
+    ch = data.chunks(spark, d, "rel_path").where(F.col("rel_path").isNotNull())
+    return ch.groupBy(scalars.path_group(F.col("rel_path")).alias("grp")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {CHUNKS}, d AS (SELECT nullif(regexp_extract(trim(last_modified), '^(\\d{{4}}(?:-\\d{{2}}(?:-\\d{{2}})?)?)(?:$|T)', 1), '') AS day FROM ch) SELECT day, count(*) AS n FROM d GROUP BY day")
+def date_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    return data.chunks(spark, d, "last_modified").groupBy(scalars.date_prefix(F.col("last_modified")).alias("day")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {PAGES}, r AS (SELECT source_url AS u FROM kb WHERE source_url IS NOT NULL), p AS (SELECT lower(regexp_replace(regexp_replace(regexp_replace(regexp_extract(u, '^https?://[^/?#]+/+([^?#]*)', 1), '/(?:-|blob|tree|raw|commits)(?:/.*)?$', ''), '\\.git$', ''), '/+$', '')) AS p,
+    lower(regexp_extract(trim(u), '^https?://([^/?#]+)', 1)) AS h FROM r) SELECT p AS repo, count(*) AS n FROM p WHERE contains(p, '/') AND h = 'git.tarnfield.example' GROUP BY p"""
+)
+def repositories_of_pages(spark: SparkSession, d: str) -> DataFrame:
+    kb = data.pages(spark, d, "source_url").where(F.col("source_url").isNotNull())
+    repo = scalars.repository_of(F.col("source_url"), "git.tarnfield.example")
+    return kb.select(repo.alias("repo")).where(F.col("repo").isNotNull()).groupBy("repo").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {PAGES}, f AS (SELECT source_id, split_part(rel_path, '/', 1) || '/all.md' AS rel_path, source_id AS seq FROM kb WHERE rel_path IS NOT NULL),
+    n AS (SELECT *, row_number() OVER (PARTITION BY rel_path ORDER BY seq, source_id) AS c, regexp_replace(translate(base64(source_id::BLOB), '+/', '-_'), '=', '', 'g') AS b FROM f)
+    SELECT source_id, CASE WHEN c = 1 THEN rel_path ELSE regexp_replace(rel_path, '\\.md$', '') || '-' || right(b, 6) || '.md' END AS rel_path FROM n"""
+)
+def path_collisions(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that all claim one file of their source's folder."""
+    kb = data.pages(spark, d, "rel_path").where(F.col("rel_path").isNotNull())
+    return catalog.free_paths(kb.select("source_id", F.concat(F.split_part("rel_path", F.lit("/"), F.lit(1)), F.lit("/all.md")).alias("rel_path"), F.col("source_id").alias("seq")))
+
+
+@query(
+    f"""WITH {CHUNKS}, s AS (SELECT source_type, coalesce(lang, '(none)') AS language, sum(length(content))::BIGINT AS s FROM ch GROUP BY 1, 2)
+    SELECT source_type, language, round(100 * s / sum(s) OVER (PARTITION BY source_type), 1) AS percent, row_number() OVER (PARTITION BY source_type ORDER BY s DESC, language) AS rank FROM s QUALIFY rank <= 6"""
+)
+def language_shares(spark: SparkSession, d: str) -> DataFrame:
+    ch = data.chunks(spark, d, "source_type", "lang", "content").select("source_type", F.coalesce("lang", F.lit("(none)")).alias("lang"), F.length("content").alias("n"))
+    return catalog.language_shares(ch, "source_type", "lang", "n")
+
+
+@query(
+    f"""WITH RECURSIVE {_FOLDERS}, w AS (SELECT id, parent AS ancestor, 1 AS depth FROM par UNION ALL SELECT w.id, p.parent, depth + 1 FROM w JOIN par p ON w.ancestor = p.id WHERE depth < 100),
+    roots AS (SELECT id FROM f WHERE regexp_matches(id, '(?i)^.*/docs$')) SELECT id FROM roots UNION SELECT id FROM w WHERE ancestor IN (SELECT id FROM roots)"""
+)
+def tree_exclusion(spark: SparkSession, d: str) -> DataFrame:
+    folders = ancestor_prefixes(spark, d)
+    return catalog.excluded_by_tree(folders.withColumn("title", F.col("id")), ancestor_chain(spark, d), [], ["*/docs"])
