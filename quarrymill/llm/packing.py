@@ -111,46 +111,51 @@ def pack(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return out
 
 
-def limits_of(capacity: int) -> np.ndarray:
-    return np.array([capacity, max(1, capacity // TOKENS_A_SEGMENT), max(1, math.floor(capacity * LOSS_SHARE))], float)
+def limits_of(capacity: int, tokens_a_segment: int = TOKENS_A_SEGMENT, loss_share: float = LOSS_SHARE) -> np.ndarray:
+    """A container's limits on tokens, segments and loss-bearing tokens."""
+    return np.array([capacity, max(1, capacity // tokens_a_segment), max(1, math.floor(capacity * loss_share))], float)
 
 
 _PACKED = "capacity int, grp long, bin int, doc_id long, part int, first_token long, tokens int, loss_tokens int"
 
 
-def _pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    capacity = int(pdf["capacity"].iloc[0])
-    pdf = pdf.sort_values(["tokens", "doc_id", "part"], ascending=[False, True, True], kind="stable")
-    limits = limits_of(capacity)
-    loss = np.minimum(pdf["loss_tokens"].to_numpy(float), limits[2])
-    pdf["bin"] = pack(np.stack([pdf["tokens"].to_numpy(float), np.ones(len(pdf)), loss], axis=1), limits)
-    return pdf[["capacity", "grp", "bin", "doc_id", "part", "first_token", "tokens", "loss_tokens"]]
+def _packer(tokens_a_segment: int, loss_share: float):
+    def pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        limits = limits_of(int(pdf["capacity"].iloc[0]), tokens_a_segment, loss_share)
+        pdf = pdf.sort_values(["tokens", "doc_id", "part"], ascending=[False, True, True], kind="stable")
+        # One example that alone bears more loss than a container may still has to go somewhere: alone.
+        loss = np.minimum(pdf["loss_tokens"].to_numpy(float), limits[2])
+        pdf["bin"] = pack(np.stack([pdf["tokens"].to_numpy(float), np.ones(len(pdf)), loss], axis=1), limits)
+        return pdf[["capacity", "grp", "bin", "doc_id", "part", "first_token", "tokens", "loss_tokens"]]
 
+    return pack_group
 
-def _round(items: DataFrame, counts: dict[int, int], seed: int) -> DataFrame:
+
+def _round(items: DataFrame, counts: dict[int, int], seed: int, packer) -> DataFrame:
     groups = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, max(1, math.ceil(n / GROUP_ROWS)))]) if counts else F.create_map(F.lit(0), F.lit(1))
     grp = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "part", "capacity"), groups[F.col("capacity")].cast("long"))
-    return items.withColumn("grp", grp).groupBy("capacity", "grp").applyInPandas(_pack_group, _PACKED)
+    return items.withColumn("grp", grp).groupBy("capacity", "grp").applyInPandas(packer, _PACKED)
 
 
-def pack_documents(documents: DataFrame, capacities: list[int], path: str = T.VOCABULARY) -> DataFrame:
+def pack_documents(documents: DataFrame, capacities: list[int], path: str = T.VOCABULARY, tokens_a_segment: int = TOKENS_A_SEGMENT, loss_share: float = LOSS_SHARE) -> DataFrame:
     """``capacity, container, doc_id, part, first_token, tokens, loss_tokens``: where every text goes.
 
     Each capacity is a packing of its own.  ``container`` names it uniquely within its capacity.  Parts of
     one text are numbered from 0; rows with a null or empty text, or without a doc_id, are left out, repeated
     rows are examples of their own.
     """
+    packer = _packer(tokens_a_segment, loss_share)
     items = checkpointed(examples(documents.where(F.col("doc_id").isNotNull()), capacities, path))
     full = items.where(F.col("tokens") >= F.col("capacity"))
     rest = items.where(F.col("tokens") < F.col("capacity"))
     counts = {r["capacity"]: r["n"] for r in rest.groupBy("capacity").agg(F.count("*").alias("n")).collect()}
-    first = checkpointed(_round(rest, counts, 1))
+    first = checkpointed(_round(rest, counts, 1, packer))
     fill = first.groupBy("capacity", "grp", "bin").agg(F.sum("tokens").alias("used"))
     open_bins = fill.where(F.col("used") < F.col("capacity") * KEEP_FILL).select("capacity", "grp", "bin")
     kept = first.join(open_bins, ["capacity", "grp", "bin"], "left_anti")
     again = first.join(open_bins, ["capacity", "grp", "bin"], "left_semi").drop("bin", "grp")
     left = {r["capacity"]: r["n"] for r in again.groupBy("capacity").agg(F.count("*").alias("n")).collect()}
-    second = _round(again, left, 2)
+    second = _round(again, left, 2, packer)
     name = lambda tag: F.concat_ws("-", F.lit(tag), F.col("grp").cast("string"), F.col("bin").cast("string")).alias("container")
     cols = ["doc_id", "part", "first_token", "tokens", "loss_tokens"]
     whole = full.select("capacity", F.concat_ws("-", F.lit("whole"), F.col("doc_id").cast("string"), F.col("part").cast("string")).alias("container"), *cols)

@@ -58,6 +58,14 @@ def test_every_text_once(spark):
     assert P.p6_packing(df.where("false"), caps).count() == 0
 
 
+@needs_vocabulary
+def test_segments_and_loss_are_limits_too(spark):
+    df = spark.createDataFrame([(i, ("# head of it\n" * (i % 4)) + f"short text {i} " * (1 + i % 9)) for i in range(400)], "doc_id long, text string")
+    out = P.pack_documents(df, [256], tokens_a_segment=64, loss_share=0.5).toPandas()
+    g = out.groupby("container").agg(tokens=("tokens", "sum"), loss=("loss_tokens", "sum"), n=("doc_id", "count"))
+    assert g.tokens.max() <= 256 and g.n.max() <= 4 and g.loss.max() <= 128 and len(out) == 400
+
+
 def test_poisson_inverse():
     u = (np.arange(100_000) + 0.5) / 100_000
     for mean in (0.0, 0.3, 1.7, 4.0):
