@@ -132,6 +132,8 @@ def test_connector(spark):
     reader = connector.ListingReader({"transport": "tests.test_documents:listing", "roots": "a,b", "prefix": "p"})
     rows = [r for p in reader.partitions() for r in reader.read(p)]
     assert [r[1] for r in rows] == ["a:0", "a:1", "a:2", "a:3", "b:0", "b:1", "b:2", "b:3"]
+    df = spark.read.format("listing").options(transport="tests.test_documents:listing", roots="a,b", prefix="p").load()
+    assert df.count() == 8 and {r["title"] for r in df.collect()} == {"p"}
     tries = []
 
     def flaky():
