@@ -38,7 +38,7 @@ def tokenize_alnum_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {CHUNKS}, {ASKED}, {BM25} SELECT term, df.df AS df, sum(tf)::BIGINT AS cf, round(max(ln(1 + (n - df.df + 0.5) / (df.df + 0.5))), 6) AS idf FROM postings JOIN df USING (term) CROSS JOIN corpus GROUP BY term, df.df")
 def bm25_build_stats(spark: SparkSession, d: str) -> DataFrame:
-    ix = bm25.build(data.chunks(spark, d, "text"))
+    ix = bm25.build(data.chunks(spark, d, "text"), keep=True)
     cf = ix.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).withColumn("n", ix.corpus.select("n").scalar())
     return cf.select("term", "df", "cf", F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
 
@@ -48,13 +48,13 @@ _TOP = "SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY scor
 
 @query(f"WITH {CHUNKS}, {ASKED}, {BM25} {_TOP.format(src='scored', k=24)}")
 def bm25_top24(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.search(bm25.build(data.chunks(spark, d, "text")), data.asked(spark, d))
+    return bm25.search(bm25.build(data.chunks(spark, d, "text"), keep=True), data.asked(spark, d))
 
 
 @query(f"WITH {CHUNKS}, {ASKED}, {BM25}, f AS (SELECT s.* FROM scored s JOIN ch USING (id) WHERE ch.lang IN ('en', 'it') AND ch.kind = 'doc') {_TOP.format(src='f', k=24)}")
 def bm25_filtered_stats_invariant(spark: SparkSession, d: str) -> DataFrame:
     ch = data.chunks(spark, d, "text", "lang", "kind")
-    return bm25.search(bm25.build(ch), data.asked(spark, d), allowed=ch.where(predicate(Filters(lang=["en", "it"], kind=["doc"]))))
+    return bm25.search(bm25.build(ch, keep=True), data.asked(spark, d), allowed=ch.where(predicate(Filters(lang=["en", "it"], kind=["doc"]))))
 
 
 _VEC = """SELECT qid, id, d AS distance, round(1 - d, 6) AS similarity, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM (
@@ -114,27 +114,29 @@ def _search_chunks(spark: SparkSession, d: str) -> DataFrame:
 @query(_FUSED + " SELECT qid, id, round(score, 6) AS score, vector_rank, keyword_rank, similarity FROM fused")
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     ch, qs = _search_chunks(spark, d), _asked_vectors(spark, d)
-    fused = retrieval.fuse(vectors.search(ch.select("id", "vector"), qs, 24, 64), bm25.search(bm25.build(ch), qs))
+    fused = retrieval.fuse(vectors.search(ch.select("id", "vector"), qs, 24, 64), bm25.search(bm25.build(ch, keep=True), qs))
     return fused.select("qid", "id", F.round("score", 6).alias("score"), "vector_rank", "keyword_rank", "similarity")
 
 
 @query(_FUSED + _RANKED + " QUALIFY rank <= 6")
 def hybrid_rrf_boosted(spark: SparkSession, d: str) -> DataFrame:
-    found = retrieval.search(_search_chunks(spark, d), _asked_vectors(spark, d), o=retrieval.Options(drop_duplicates=False))
+    ch = _search_chunks(spark, d)
+    found = retrieval.search(ch, _asked_vectors(spark, d), bm25.build(ch, keep=True), o=retrieval.Options(drop_duplicates=False))
     return found.select("qid", "id", "source_id", "score", "rank")
 
 
 @query(f"SELECT qid, source_id, count(*) AS n FROM ({_FUSED + _RANKED}) GROUP BY qid, source_id")
 def hybrid_doc_cap(spark: SparkSession, d: str) -> DataFrame:
     ch, qs = _search_chunks(spark, d), _asked_vectors(spark, d)
-    fused = retrieval.fuse(vectors.search(ch.select("id", "vector"), qs, 24, 64), bm25.search(bm25.build(ch), qs))
+    fused = retrieval.fuse(vectors.search(ch.select("id", "vector"), qs, 24, 64), bm25.search(bm25.build(ch, keep=True), qs))
     return retrieval.rank_fused(fused, ch).groupBy("qid", "source_id").agg(F.count("*").alias("n"))
 
 
 @query()
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """The whole chain, with filters and without near duplicates (greedy, so no SQL)."""
-    return retrieval.search(_search_chunks(spark, d), _asked_vectors(spark, d), filters=Filters(kind=["doc", "api", "project"])).select("qid", "id", "source_id", "score", "rank", F.size("duplicates").alias("n_duplicates"))
+    ch = _search_chunks(spark, d)
+    return retrieval.search(ch, _asked_vectors(spark, d), bm25.build(ch, keep=True), filters=Filters(kind=["doc", "api", "project"])).select("qid", "id", "source_id", "score", "rank", F.size("duplicates").alias("n_duplicates"))
 
 
 _CASES = f"""cases AS (SELECT a.qid, a.text, d.lang, d.source, coalesce(e.expected, []) AS expected, len(coalesce(e.expected, [])) = 0 AS should_abstain FROM asked a JOIN documents d ON a.qid = d.doc_id
@@ -157,7 +159,7 @@ def _cases(spark: SparkSession, d: str, ch: DataFrame) -> DataFrame:
 
 def _scored(spark: SparkSession, d: str, k: int = 24) -> DataFrame:
     ch = data.chunks(spark, d, "text", "title", "source_id")
-    hits = bm25.search(bm25.build(ch), data.asked(spark, d), k).join(ch.select("id", "source_id"), "id")
+    hits = bm25.search(bm25.build(ch, keep=True), data.asked(spark, d), k).join(ch.select("id", "source_id"), "id")
     return evaluate.score_cases(_cases(spark, d, ch), hits)
 
 
@@ -204,5 +206,5 @@ def eval_dataset_validate(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT qid, source_id, min(rank) AS best, count(*) AS passages FROM (WITH {CHUNKS}, {ASKED}, {BM25} SELECT s.*, ch.source_id FROM ({_TOP.format(src='scored', k=24)}) s JOIN ch USING (id)) GROUP BY qid, source_id")
 def results_by_document(spark: SparkSession, d: str) -> DataFrame:
     ch = data.chunks(spark, d, "text", "source_id")
-    hits = bm25.search(bm25.build(ch), data.asked(spark, d)).join(ch.select("id", "source_id"), "id")
+    hits = bm25.search(bm25.build(ch, keep=True), data.asked(spark, d)).join(ch.select("id", "source_id"), "id")
     return answers.group_by_document(hits).select("qid", "source_id", "best", "passages")
