@@ -84,30 +84,29 @@ def neighbours(doc_edges: DataFrame, hub_edges_: DataFrame, of: DataFrame, max_h
     return ranked.where(F.col("rank") <= limit) if limit else ranked
 
 
-def components(edges: DataFrame, rounds: int = 40, every: int = 3) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``id, component``: the smallest id that undirected edges (``a, b``) lead to.
 
     Alternating star contraction: each round hangs every vertex under the smallest label around it, and every
     label under its own, so long chains shrink by doubling.  Lineage is cut by checkpoints in the shared
     folder; the number of moved labels, one number, decides when to stop.
     """
-    checkpointed = _checkpointed
     e = edges.where(F.col("a") != F.col("b")).select("a", "b")
-    both = checkpointed(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = _checkpointed(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("id"), "label")
-    labels = checkpointed(labels)
+    labels = _checkpointed(labels)
     for r in range(rounds):
         seen = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
         hung = labels.join(seen, labels["id"] == seen["a"], "left").select("id", "label", F.least("label", F.coalesce("near", F.col("label"))).alias("new"))
         # Pointer jumping: take the label of one's label.
         other = hung.select(F.col("id").alias("jid"), F.col("new").alias("jump"))
         jumped = hung.join(other, hung["new"] == other["jid"], "left").select("id", "label", F.least("new", F.coalesce("jump", F.col("new"))).alias("new"))
-        jumped = checkpointed(jumped)
+        jumped = _checkpointed(jumped)
         moved = jumped.where(F.col("new") != F.col("label")).limit(1).count()
         labels = jumped.select("id", F.col("new").alias("label"))
         if not moved:
-            break
-    return labels.select("id", F.col("label").alias("component"))
+            return labels.select("id", F.col("label").alias("component"))
+    raise RuntimeError(f"labels still move after {rounds} rounds")
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:

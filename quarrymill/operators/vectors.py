@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from .graph import _checkpointed
+
+#: Queries that one pass over the rows answers.
+MAX_QUERIES = 50_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -72,8 +78,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = V.CANDIDATES, dims:
     Arrow batches with one matrix product a block; a block hands on its ``k`` best, so what is shuffled is
     blocks x queries x k rows, not all pairs.  Ties by id.  Unusable vectors take no part.
     """
-    rows = [(r["qid"], r["qvec"]) for r in queries.where(usable(F.col("qvec"), dims)).select("qid", "qvec").collect()]
-    qids = [q for q, _ in rows]
+    asked = queries.where(usable(F.col("qvec"), dims)).select("qid", F.col("qvec").cast("array<double>").alias("qvec"))
+    passes = max(1, -(-asked.count() // MAX_QUERIES))
+    if passes > 1:
+        # Too many for one broadcast: a pass over the rows for each part of them, its result written before the next.
+        part = F.pmod(F.xxhash64("qid"), F.lit(passes))
+        done = [_checkpointed(_search_pass(vectors, asked.where(part == p), k, dims)) for p in range(passes)]
+        hits = reduce(DataFrame.unionByName, done)
+    else:
+        hits = _search_pass(vectors, asked, k, dims)
+    order = W.partitionBy("qid").orderBy("distance", "id")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _search_pass(vectors: DataFrame, queries: DataFrame, k: int, dims: int) -> DataFrame:
+    """The candidates of at most about ``MAX_QUERIES`` queries, which go out once: 25 MB at 64 numbers."""
+    rows = [(r["qid"], r["qvec"]) for r in queries.collect()]
     kinds = {f.name: f.dataType.simpleString() for f in queries.schema}
     id_kind = vectors.schema["id"].dataType.simpleString()
     schema = f"qid {kinds['qid']}, id {id_kind}, distance double, similarity double"
@@ -91,15 +111,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = V.CANDIDATES, dims:
             ids = b["id"].to_numpy()
             sim = q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
             near = np.clip(np.round(1 - sim, 6), 0, 2)
-            for i, qid in enumerate(qids):
+            for i, (qid, _) in enumerate(rows):
                 # All that tie with the k-th stay, so that ties are broken once, over all blocks.
                 kth = np.partition(near[i], min(k, len(ids)) - 1)[min(k, len(ids)) - 1]
                 keep = np.flatnonzero(near[i] <= kth)
                 yield pd.DataFrame({"qid": qid, "id": ids[keep], "distance": near[i][keep], "similarity": np.round(1 - near[i][keep], 6)})
 
-    hits = vectors.where(usable(F.col("vector"), dims)).select("id", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(block, schema)
-    order = W.partitionBy("qid").orderBy("distance", "id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return vectors.where(usable(F.col("vector"), dims)).select("id", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(block, schema)
 
 
 def random_projection(vectors: DataFrame, dims_in: int, dims_out: int, seed: int = 42) -> DataFrame:

@@ -47,6 +47,14 @@ def test_vector_ties_and_unusable(spark):
     assert [(r["id"], r["distance"]) for r in out] == [("a", 0.0), ("b", 0.0)]
 
 
+def test_many_queries_take_passes(spark, monkeypatch):
+    v = spark.createDataFrame([(f"v{i}", [float(i), 1.0]) for i in range(50)], "id string, vector array<double>")
+    q = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(20)], "qid int, qvec array<double>")
+    want = sorted(map(tuple, vectors.search(v, q, 3, 2).collect()))
+    monkeypatch.setattr(vectors, "MAX_QUERIES", 7)
+    assert sorted(map(tuple, vectors.search(v, q, 3, 2).collect())) == want and len(want) == 60
+
+
 def test_fusion_and_cap(spark):
     v = spark.createDataFrame([(1, "a", 1, 0.9), (1, "b", 2, 0.8)], "qid int, id string, rank int, similarity double")
     k = spark.createDataFrame([(1, "b", 1), (1, "c", 2)], "qid int, id string, rank int")
