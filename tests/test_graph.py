@@ -34,6 +34,19 @@ def test_components_of_chain_and_cycle(spark):
     assert {v for k, v in out.items() if k.startswith("n")} == {"n000"} and out["z"] == "x" and "s" not in out and len(out) == 74
 
 
+def test_components_of_a_shuffled_chain_and_a_hub(spark):
+    """Labels in no order along a chain, where passing them on by hops would take as many rounds as vertices."""
+    import random
+
+    names = list(range(600))
+    random.Random(2).shuffle(names)
+    chain = list(zip(names, names[1:]))
+    hub = [(5000, 6000 + i) for i in range(300)]
+    out = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(chain + hub + [(9, 9)], "a long, b long")).collect()}
+    assert out == {**{n: 0 for n in names}, **{n: 5000 for n in [5000, *range(6000, 6300)]}}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_ancestors_stop_at_cycles(spark):
     p = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "e"), ("f", "f"), (None, "x"), ("g", None)], "id string, parent string")
     out = sorted((r["id"], r["depth"], r["ancestor"]) for r in graph.ancestor_chain(p).collect())
