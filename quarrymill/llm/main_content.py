@@ -10,10 +10,11 @@ one down give each line's marginal.
 Both are trained from labelled pages: a bounded sample (``MAX_LABELLED_PAGES``)
 in which repository files are main body throughout, what stands before a site
 page's own title is not, and short lines that several pages of one site share,
-while no repository file has them, are not.
+while no repository file has them, are not.  Which of the sample's lines those
+are is counted over all documents.
 
-Pages are independent once the model is fitted: no shuffle but the one that
-counts a page once, however often it was fetched.
+Pages are independent once the model is fitted: no shuffle but those that
+count a page once, however often it was fetched.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ from . import maxent
 from .common import hash_sample
 
 #: Bound of the pages that the model is fitted on (smallest hashes of the source id first).
-MAX_LABELLED_PAGES = 1_500
+MAX_LABELLED_PAGES = 4_000
 #: Longer pages do not serve to fit it.
 MAX_LABELLED_CHARS = 40_000
 SLOTS = 1 << 16
@@ -259,42 +261,109 @@ def site_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def label_pages(pages: list[tuple[str | None, str | None, str]]) -> list[tuple[list[Line], int | None, list[int | None]]]:
-    """Lines, title and labels (0 main body, 1 not, None unknown) of (url, title, body) pages."""
-    parsed = [(url, parse(body), title) for url, title, body in pages]
-    parsed = [(url, lines, title_at(lines, title)) for url, lines, title in parsed if lines]
-    in_files = Counter(_bare(l.text) for url, lines, _ in parsed if is_repository_file(url) for l in lines)
-    shared: dict[tuple[str, str], int] = defaultdict(int)
-    for url, lines, _ in parsed:
-        if not is_repository_file(url) and (site := site_of(url)):
-            for text in {_bare(l.text) for l in lines}:
-                shared[site, text] += 1
-    anywhere = Counter(text for (_, text), n in shared.items() if n >= SHARED_BY)
-    furniture = lambda url, text: text not in in_files and (shared[site_of(url), text] >= SHARED_BY or anywhere[text] > 0)
-    out = []
-    for url, lines, title in parsed:
+@dataclass(frozen=True)
+class LineCounts:
+    """What the collection says of a sample's lines, by their hashes."""
+
+    in_files: set[int]  # lines of some repository file
+    shared: set[int]  # lines of SHARED_BY pages of some one site
+
+
+def line_hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)  # as a signed long
+
+
+def body_lines(body: str) -> set[int]:
+    """Hashes of the non-blank lines of a body, as they are compared between pages."""
+    return {line_hash(_bare(t)) for raw in body.split("\n") if (t := raw.strip())}
+
+
+def site_lines(url: str | None, body: str, wanted: set[int] | None = None) -> tuple[str, set[int]]:
+    """(site, line hashes) of a page; a repository file's site is ``_FILES``, and "" says that the page has none."""
+    site = _FILES if is_repository_file(url) else site_of(url)
+    lines = body_lines(body) if site else set()
+    return site, lines if wanted is None else lines & wanted
+
+
+_FILES = "/"  # no host
+
+
+def counts_of(pages: list[tuple[str | None, str | None, str]]) -> LineCounts:
+    """The counts when ``pages`` are the whole collection."""
+    shared: Counter = Counter()
+    for url, _, body in pages:
+        site, lines = site_lines(url, body)
+        shared.update((site, h) for h in lines)
+    return LineCounts({h for site, h in shared if site == _FILES}, {h for (site, h), n in shared.items() if site not in ("", _FILES) and n >= SHARED_BY})
+
+
+def count_lines(documents: DataFrame, wanted: set[int]) -> LineCounts:
+    """The counts of the lines ``wanted`` over all documents.
+
+    A task sends on at most ``SHARED_BY`` pages of a site and line, which is all that the threshold asks,
+    and only lines of the sample, so neither shuffle nor result grows with the texts.
+    """
+    shipped = documents.sparkSession.sparkContext.broadcast(wanted)  # lines of the sample
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sent: dict[tuple[str, int], set] = {}
+        for b in batches:
+            rows = []
+            for key, url, body in zip(b["source_id"], b["source_url"], b["body"]):
+                site, lines = site_lines(url, body, shipped.value)
+                for h in lines:
+                    pages = sent.setdefault((site, h), set())
+                    if key not in pages and len(pages) < (1 if site == _FILES else SHARED_BY):
+                        pages.add(key)
+                        rows.append((site, h, key))
+            if len(sent) > _MOST_SENT:
+                sent.clear()
+            yield pd.DataFrame(rows, columns=["site", "line", "source_id"])
+
+    pages = documents.where(F.col("source_id").isNotNull() & (F.length("body") > 0)).select("source_id", "source_url", "body")
+    counted = pages.mapInPandas(run, "site string, line long, source_id string").groupBy("site", "line").agg(F.count_distinct("source_id").alias("n"))
+    kept = counted.where((F.col("site") == _FILES) | (F.col("n") >= SHARED_BY)).select((F.col("site") == _FILES).alias("file"), "line").distinct().collect()
+    return LineCounts({r["line"] for r in kept if r["file"]}, {r["line"] for r in kept if not r["file"]})
+
+
+#: Sites and lines that a task remembers at once; it forgets them all above that and sends some pages again.
+_MOST_SENT = 500_000
+
+
+def label_pages(pages: list[tuple[str | None, str | None, str]], counts: LineCounts | None = None) -> Iterator[tuple[list[Line], int | None, list[int | None]]]:
+    """Lines, title and labels (0 main body, 1 not, None unknown) of (url, title, body) pages.
+
+    Without ``counts`` the pages are the whole collection.
+    """
+    counts = counts or counts_of(pages)
+    in_files = lambda text: line_hash(text) in counts.in_files
+    furniture = lambda text: line_hash(text) in counts.shared and not in_files(text)
+    for url, wanted, body in pages:
+        lines = parse(body)
+        if not lines:
+            continue
+        title = title_at(lines, wanted)
         if is_repository_file(url):
-            out.append((lines, title, [0] * len(lines)))
+            yield lines, title, [0] * len(lines)
             continue
         labels: list[int | None] = []
         for i, l in enumerate(lines):
             text = _bare(l.text)
             lead = _lead(lines, i)
-            boxed = lead < i and lines[lead].form == "short" and l.form in ("link", "links", "counted", "short", "short-item") and furniture(url, _bare(lines[lead].text))
+            boxed = lead < i and lines[lead].form == "short" and l.form in ("link", "links", "counted", "short", "short-item") and furniture(_bare(lines[lead].text))
             if (title is not None and i < title) or boxed:
                 labels.append(1)
             elif i == title or l.form in ("code", "table", "heading", "quote"):
                 labels.append(0)
-            elif furniture(url, text) and l.form != "item" and len(l.words) <= 16:
+            elif furniture(text) and l.form != "item" and len(l.words) <= 16:
                 labels.append(1)
             elif l.form in ("prose", "item") and len(l.words) >= 5 and "©" not in l.text:
                 labels.append(0)
-            elif l.form == "short" and text in in_files and lead == i and (i + 1 == len(lines) or lines[i + 1].run != l.run or lines[i + 1].form == "item"):
+            elif l.form == "short" and in_files(text) and lead == i and (i + 1 == len(lines) or lines[i + 1].run != l.run or lines[i + 1].form == "item"):
                 labels.append(0)  # a heading without its mark
             else:
                 labels.append(None)
-        out.append((lines, title, labels))
-    return out
+        yield lines, title, labels
 
 
 def _bare(text: str) -> str:
@@ -309,12 +378,18 @@ def _second(lines: list[Line], title: int | None, plain: list[np.ndarray], first
     return [np.concatenate([a, b]) for a, b in zip(plain, _slots(zones(lines, title, first_odds)))]
 
 
-def fit(pages: list[tuple[str | None, str | None, str]]) -> ContentModel:
-    labelled = label_pages(pages)
-    plain = [_slots(features(lines)) for lines, _, _ in labelled]
+def fit(pages: list[tuple[str | None, str | None, str]], counts: LineCounts | None = None) -> ContentModel:
+    labelled, plain = [], []
+    for lines, title, labels in label_pages(pages, counts):
+        plain.append(_slots(features(lines)))
+        for l in lines:  # from here on only their forms and places are asked for
+            l.text, l.words = "", []
+        labelled.append((lines, title, labels))
     known = [(k, i, label) for k, (_, _, labels) in enumerate(labelled) for i, label in enumerate(labels) if label is not None]
     first = maxent.fit([plain[k][i] for k, i, _ in known], [label for _, _, label in known], SLOTS, epochs=4)
-    full = [_second(lines, title, p, maxent.score(p, first)) for (lines, title, _), p in zip(labelled, plain)]
+    full = plain
+    for k, (lines, title, _) in enumerate(labelled):  # in place: one copy of the features at a time
+        full[k] = _second(lines, title, plain[k], maxent.score(plain[k], first))
     weights = maxent.fit([full[k][i] for k, i, _ in known], [label for _, _, label in known], SLOTS, epochs=4)
     # The potentials are counted where labels are known; unknown lines take the classifier's label.
     root, page_block, block_run, run_line = np.ones(2), np.ones((2, 2)), np.ones((2, 2)), np.ones((2, 2))
@@ -341,10 +416,11 @@ def fit(pages: list[tuple[str | None, str | None, str]]) -> ContentModel:
 
 
 def fit_model(documents: DataFrame) -> ContentModel:
-    """The model from a bounded sample of ``source_id, source_url, title, body`` rows."""
+    """The model from a bounded sample of ``source_id, source_url, title, body`` rows, its lines counted over all of them."""
     rows = hash_sample(documents.where(F.length("body").between(1, MAX_LABELLED_CHARS)).select("source_id", "source_url", "title", "body"), "source_id", MAX_LABELLED_PAGES, documents.count()).collect()
     once = {r["source_id"]: (r["source_url"], r["title"], r["body"]) for r in rows}  # a page fetched again is no second page of its site
-    return fit(list(once.values()))
+    pages = list(once.values())
+    return fit(pages, count_lines(documents, set().union(*(body_lines(body) for _, _, body in pages))))
 
 
 def outside_lines(bodies: list[str | None], titles: list[str | None], model: ContentModel) -> list[list[int]]:

@@ -74,3 +74,20 @@ def test_dirty_rows(spark, model):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "source_id string, source_url string, title string, body string")
     assert M.p1_found(empty).count() == 0
+
+
+def test_furniture_is_counted_over_all_documents(spark, monkeypatch):
+    """Sites of which the sample holds one page: their menus are known all the same."""
+    menu = "Menu of {0}\n\n# Page {1}\n\nThe page number {1} of {0} tells its own story here.\n\nLegal notes of {0}"
+    pages = [(f"{s}-{n}", f"https://{s}.example/{n}", f"Page {n}", menu.format(s, "abcde"[n])) for s in (a + b for a in "abcdefghij" for b in "klmno") for n in range(5)]
+    pages += [("twice", "https://once.example/1", "Only", "# Only\n\nOnly here\n\nThis page was fetched three times over.")] * 3
+    df = spark.createDataFrame(pages, "source_id string, source_url string, title string, body string").repartition(3)
+    seen = []
+    monkeypatch.setattr(M, "MAX_LABELLED_PAGES", 4)
+    monkeypatch.setattr(M, "fit", lambda *a: seen.append(list(M.label_pages(*a))))
+    M.fit_model(df)
+    labels = {l.text: y for lines, _, ys in seen[0] for l, y in zip(lines, ys)}
+    legal = {t: y for t, y in labels.items() if t.startswith("Legal")}
+    assert legal and set(legal.values()) == {1} and labels.get("Only here") is None
+    all_lines = set().union(*(M.body_lines(b) for *_, b in pages))
+    assert M.count_lines(df, all_lines) == M.counts_of([p[1:] for p in dict((p[0], p) for p in pages).values()])
