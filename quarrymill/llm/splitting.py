@@ -3,7 +3,7 @@
 Method: range processing.  An item is read in ranges of ``RANGE_LIMITS`` times
 its limit, each with halos on both sides.  A worker finds the boundaries of its
 range and cuts it; the cut between two ranges is the best boundary of a window
-at the range's start, which both neighbours see in their halo and choose alike,
+about the range's start, which both neighbours see in their halo and choose alike,
 so their boundary tables stitch without a word between them.  Piece numbers are
 prefix sums of the ranges' piece counts.  No worker holds a whole giant item:
 rows are cut by ``split_items`` and files, by byte ranges, by ``split_files``.
@@ -46,6 +46,7 @@ _CODE = (
     re.compile(r"\s+"),
 )
 _STRETCH = re.compile(r"[^\s。！？]+")
+_DIVIDES = re.compile(r"[\s。！？]")
 
 
 @dataclass(frozen=True)
@@ -118,16 +119,24 @@ def _best(text: str, levels: tuple[re.Pattern, ...], low: int, high: int, wanted
     return None
 
 
-def section_cut(text: str, at: int, limit: Limit) -> int:
-    """Where a range that starts at ``at`` really begins: the best boundary of the half limit after ``at``.
+def section_cut(text: str, at: int, limit: Limit) -> tuple[int, bool]:
+    """(where a range that starts at ``at`` really begins, whether that divides a stretch).
 
-    Both the range and the one before it call this on the same characters, so they agree.
+    The best boundary of the half limit after ``at``, else the nearest within a limit on either side.  Where
+    there is none, a stretch above the limit lies over ``at``, which then divides it.  Both the range and the
+    one before it call this on the same characters, so they agree.
     """
     levels = _CODE if limit.code else _PROSE
-    ruler = _Ruler(text[at : at + limit.most])
-    high = at + ruler.reach(0, limit.most // 2, len(text) - at)
-    found = _best(text[:high + 1], levels, at + 1, high - 1, at)
-    return min(found[1], high) if found else at
+    low = max(0, at - limit.most)
+    seam, own = text[low : at + 2 * limit.most], at - low  # what both neighbours see
+    high = own + _Ruler(seam[own : own + limit.most]).reach(0, limit.most // 2, len(seam) - own)
+    if found := _best(seam[: high + 1], levels, own + 1, high - 1, own):
+        return low + min(found[1], high), False
+    if not own or own >= len(seam) or _DIVIDES.match(seam, own - 1) or _DIVIDES.match(seam, own):
+        return at, False
+    far = min(len(seam), own + limit.most)
+    ends = [m.end() for m in _DIVIDES.finditer(seam, 0, own)][-1:] + [m.start() for m in _DIVIDES.finditer(seam, own, far)][:1]
+    return (low + min(ends, key=lambda x: abs(x - own)), False) if ends else (at, True)
 
 
 def cut_section(text: str, begin: int, stop: int, limit: Limit) -> list[Piece]:
@@ -203,11 +212,14 @@ def has_stretch(text: str, limit: Limit) -> bool:
 def cut_range(text: str, at: int, range_no: int, is_last: bool, limit: Limit) -> list[Piece]:
     """Pieces of one range.  ``text`` is its slice with halos, which begins at code point ``at`` of the item.
 
-    The slice reaches ``limit.most`` to the left of the range and ``2 * limit.most`` beyond its end.
+    The slice reaches ``2 * limit.most`` beyond either end of the range (to the left, ``limit.most`` will do, with
+    less overlap).
     """
-    begin = 0 if range_no == 0 else section_cut(text, range_no * limit.range - at, limit)
-    stop = len(text) if is_last else section_cut(text, (range_no + 1) * limit.range - at, limit)
+    begin = 0 if range_no == 0 else section_cut(text, range_no * limit.range - at, limit)[0]
+    stop, divides = (len(text), False) if is_last else section_cut(text, (range_no + 1) * limit.range - at, limit)
     pieces = cut_section(text, begin, stop, limit)
+    if divides and pieces:
+        pieces[-1].forced = True
     for p in pieces:
         p.start += at
         p.fresh += at
@@ -215,7 +227,7 @@ def cut_range(text: str, at: int, range_no: int, is_last: bool, limit: Limit) ->
     return pieces
 
 
-_PIECES = "item_id string, item string, range_no int, pieces array<struct<start_char:long,fresh_char:long,end_char:long,forced:boolean,size_tokens:int,text:string>>"
+_PIECES = "item_id string, item string, range_no int, pieces array<struct<start_char:long,fresh_char:long,end_char:long,forced:boolean,size_tokens:int,text:string>>, stretch boolean"
 
 
 def oversized(items: DataFrame) -> DataFrame:
@@ -231,19 +243,20 @@ def ranges_of(items: DataFrame) -> DataFrame:
     step = most * RANGE_LIMITS
     numbered = items.withColumns({"_most": most, "_n": F.greatest(F.lit(1), F.ceil(length / step)).cast("int")})
     exploded = numbered.withColumn("range_no", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    at = F.when(F.col("range_no") == 0, 0).otherwise(F.col("range_no") * step - F.col("_most"))
+    at = F.when(F.col("range_no") == 0, 0).otherwise(F.col("range_no") * step - F.col("_most") * 2)
     return exploded.withColumns({"_at": at.cast("long"), "is_last": F.col("range_no") == F.col("_n") - 1}).withColumn(
-        "text", F.when(F.col("_n") == 1, F.col("text")).otherwise(F.col("text").substr((F.col("_at") + 1).cast("int"), (step + F.col("_most") * 3).cast("int")))
+        "text", F.when(F.col("_n") == 1, F.col("text")).otherwise(F.col("text").substr((F.col("_at") + 1).cast("int"), (step + F.col("_most") * 4).cast("int")))
     )
 
 
 def _cut_rows(with_text: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
+            rows, stretches = [], []
             for r in b.itertuples():
                 limit = Limit.of(r.target_tokens, r.max_tokens, r.overlap_tokens, r.chars_per_token, r.item == "code")
                 pieces = cut_range(r.text, r.slice_at, r.range_no, r.is_last, limit)
+                stretches.append(has_stretch(r.text, limit))  # the slice shows more than a limit of any that is above it
                 rows.append(
                     [
                         {
@@ -257,7 +270,7 @@ def _cut_rows(with_text: bool):
                         for p in pieces
                     ]
                 )
-            yield pd.DataFrame({"item_id": b["item_id"], "item": b["item"], "range_no": b["range_no"], "pieces": rows})
+            yield pd.DataFrame({"item_id": b["item_id"], "item": b["item"], "range_no": b["range_no"], "pieces": rows, "stretch": stretches})
 
     return run
 
@@ -299,10 +312,9 @@ def with_limits(drafts: DataFrame, documents: DataFrame, limits: DataFrame) -> D
 
 
 def p5_found(drafts: DataFrame, documents: DataFrame, limits: DataFrame) -> DataFrame:
-    """``item_id, cut``: every item above its limit, ``forced`` when a cut had to split a stretch."""
+    """``item_id, cut``: every item above its limit, ``forced`` when some stretch is by itself above the limit."""
     cut = cut_ranges(with_limits(drafts, documents, limits).where(F.col("item_id").isNotNull()), with_text=False)
-    forced = F.exists("pieces", lambda p: p["forced"])
-    return cut.groupBy("item_id").agg(F.max(forced.cast("int")).alias("f")).select("item_id", F.when(F.col("f") == 1, "forced").otherwise("natural").alias("cut"))
+    return cut.groupBy("item_id").agg(F.max(F.col("stretch").cast("int")).alias("f")).select("item_id", F.when(F.col("f") == 1, "forced").otherwise("natural").alias("cut"))
 
 
 def split_files(spark: SparkSession, files: list[tuple[str, int]], limit: tuple[int, int, int, float], range_bytes: int = 64 << 20) -> DataFrame:
@@ -335,7 +347,7 @@ def cut_file_range(path: str, k: int, size: int, limit: Limit, range_bytes: int)
     else:
         system, name = fs.LocalFileSystem(), path
     halo = 4 * limit.most  # UTF-8 needs at most 4 bytes for what UTF-16 needs one unit for
-    low = max(0, k * range_bytes - halo)
+    low = max(0, k * range_bytes - 2 * halo)
     high = min(size, (k + 1) * range_bytes + 2 * halo)
     with system.open_input_file(name) as f:
         raw = f.read_at(high - low, low)
@@ -344,9 +356,11 @@ def cut_file_range(path: str, k: int, size: int, limit: Limit, range_bytes: int)
     at = low + lead
     where = lambda byte: len(raw[lead : _char_start(raw, byte - low)].decode("utf-8", "ignore"))
     last = (k + 1) * range_bytes >= size
-    begin = 0 if k == 0 else section_cut(text, where(k * range_bytes), limit)
-    stop = len(text) if last else section_cut(text, where((k + 1) * range_bytes), limit)
+    begin = 0 if k == 0 else section_cut(text, where(k * range_bytes), limit)[0]
+    stop, divides = (len(text), False) if last else section_cut(text, where((k + 1) * range_bytes), limit)
     pieces = cut_section(text, begin, stop, limit)
+    if divides and pieces:
+        pieces[-1].forced = True
     # One pass over the text gives the bytes before each piece's ends.
     marks = sorted({x for p in pieces for x in (p.start, p.fresh, p.end)})
     offset, done, total = {}, 0, at

@@ -98,3 +98,28 @@ def test_files_by_byte_ranges(spark, tmp_path, unit):
         last = r["end_byte"]
     assert not raw[last:].decode().strip() and len({r["range_no"] for r in out}) > 5
     assert re.sub(r"\s", "", "".join(raw[r["fresh_byte"] : r["end_byte"]].decode() for r in out)) == re.sub(r"\s", "", text)
+
+
+@pytest.mark.parametrize("size", [0.6, 0.9, 1.5, 1.9, 2.1, 3.4])
+def test_stretches_over_a_range_start(monkeypatch, size):
+    """A stretch within the limit is never cut, one above it is reported forced, wherever it lies."""
+    monkeypatch.setattr(S, "RANGE_LIMITS", 4)
+    limit = S.Limit(150, 220, 30)
+    long = "x" * int(limit.most * size)
+    for before in range(limit.range - len(long) - 20, limit.range + 20, 17):
+        text = ("word " * before)[: before - 1] + " " + long + " " + "word " * 300
+        pieces = whole(text, limit)
+        checked(text, pieces, limit)
+        assert size > 1 or sum(text[p.fresh : p.end].count("x") == len(long) for p in pieces) == 1
+
+
+def test_found_by_ranges_as_by_the_whole(spark, tmp_path):
+    most = 30
+    text = ("w " * most * S.RANGE_LIMITS)[: most * S.RANGE_LIMITS - 22] + "y" * 43 + " w" * 80
+    drafts = spark.createDataFrame([("p", text, None), ("q", text.replace("y" * 43, "y" * 20 + " " + "y" * 22), None)], "id string, content string, line_start int")
+    docs = spark.createDataFrame([], "source_id string, body string")
+    limits = spark.createDataFrame([("prose", 20, most, 5, 1.0)], "item string, target_tokens int, max_tokens int, overlap_tokens int, chars_per_token double")
+    assert sorted((r["item_id"], r["cut"]) for r in S.p5_found(drafts, docs, limits).collect()) == [("p", "forced"), ("q", "natural")]
+    f = tmp_path / "file.txt"
+    f.write_text(text)
+    assert any(r["forced"] for r in S.split_files(spark, [(str(f), len(text))], (20, most, 5, 1.0), range_bytes=most * S.RANGE_LIMITS).collect())
