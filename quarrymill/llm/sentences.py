@@ -5,9 +5,11 @@ over the neighbouring tokens, their case, length, digits and script decides
 each.  It is trained on boundaries that need no judgement: a mark before a
 blank line ends a sentence and the next paragraph starts one; a mark whose
 token never ends a paragraph, before a token that never starts one, does not.
+"Never" is a rate (``NEVER``): one stray paragraph does not undo it.
 
 How often each token ends and starts paragraphs is counted over all documents,
-into ``STAT_SLOTS`` hashed counters, so what is broadcast has a fixed size.
+in ``STAT_ROWS`` of ``STAT_SLOTS`` hashed counters each, of which the smallest
+counts, so what is broadcast has a fixed size.
 The weights are fitted on the candidates of a bounded sample of documents
 (``MAX_FIT_DOCUMENTS``, smallest hashes of the id first) and applied to all.
 
@@ -22,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,12 +35,16 @@ from pyspark.sql import functions as F
 from . import maxent
 from .common import MAX_FIT_CHARS, hash_sample
 
-STAT_SLOTS = 1 << 20
+STAT_SLOTS = 1 << 21
+#: Counters of a token; all lie in the same slots.
+STAT_ROWS = 3
 WEIGHT_SLOTS = 1 << 15
 #: Bound of the documents whose candidates fit the weights.
 MAX_FIT_DOCUMENTS = 3_000
 #: Occurrences from which a token's never ending (or starting) a paragraph is reliable.
 RELIABLE = 4
+#: Share of its occurrences up to which a token never ends (or starts) a paragraph, by an upper bound of the rate.
+NEVER = 0.01
 
 _MARKS = ".!?…。！？｡।॥؟۔"
 _CLOSERS = "\"'»”’“)]}」』）】›"
@@ -171,13 +178,15 @@ def _lines(text: str, at: int, end: int) -> Iterator[tuple[str, int, int]]:
         yield kind, begun, at
 
 
-def _slot(token: str) -> int:
-    return xxhash.xxh64_intdigest(_DIGITS.sub("0", token)) % STAT_SLOTS
+@lru_cache(1 << 16)
+def _slots(token: str) -> tuple[int, ...]:
+    h = xxhash.xxh3_128_intdigest(_DIGITS.sub("0", token))
+    return tuple((h >> 40 * row) % STAT_SLOTS for row in range(STAT_ROWS))
 
 
-def count_tokens(texts: list[str]) -> tuple[Counter, Counter, Counter]:
-    """Counters by slot: before a mark, before a mark that ends a paragraph, first of a marked paragraph."""
-    seen, ends, starts = Counter(), Counter(), Counter()
+def count_tokens(texts: list[str]) -> tuple[Counter, Counter, Counter, Counter]:
+    """Counters by slot: before a mark, before a mark that ends a paragraph, first of a marked paragraph, after an inner mark."""
+    seen, ends, starts, follows = Counter(), Counter(), Counter(), Counter()
     for text in texts:
         for kind, a, b in units(text):
             if kind != "prose":
@@ -185,13 +194,22 @@ def count_tokens(texts: list[str]) -> tuple[Counter, Counter, Counter]:
             block = text[a:b]
             found = prose_candidates(block)
             for c in found:
-                s = _slot(c.before + c.mark)
-                seen[s] += 1
+                seen[c.before + c.mark] += 1
                 if c.gap == "E":
-                    ends[s] += 1
+                    ends[c.before + c.mark] += 1
+                else:
+                    follows[c.after] += 1
             if found and found[-1].gap == "E":
-                starts[_slot(_after(block, 0))] += 1
-    return seen, ends, starts
+                starts[_after(block, 0)[:24]] += 1
+    return tuple(_by_slot(c) for c in (seen, ends, starts, follows))
+
+
+def _by_slot(tokens: Counter) -> Counter:
+    out = Counter()
+    for token, n in tokens.items():
+        for s in set(_slots(token)):
+            out[s] += n
+    return out
 
 
 @dataclass(frozen=True)
@@ -199,13 +217,34 @@ class Statistics:
     seen: np.ndarray
     ends: np.ndarray
     starts: np.ndarray
+    follows: np.ndarray | None = None  # without it, a token that starts any paragraph does start them
+
+    def ending(self, before: str) -> tuple[int, int]:
+        """(paragraphs that the token ends, its occurrences before a mark)."""
+        slots = _slots(before)
+        return _least(self.ends, slots), _least(self.seen, slots)
+
+    def starting(self, after: str) -> tuple[int, int]:
+        """(paragraphs that the token starts, those and its occurrences after an inner mark)."""
+        slots = _slots(after[:24])
+        n = _least(self.starts, slots)
+        return n, n + (_least(self.follows, slots) if self.follows is not None else 0)
+
+
+def _least(counters: np.ndarray, slots: tuple[int, ...]) -> int:
+    return int(min(counters[s] for s in slots))
+
+
+def _never(part: int, whole: int) -> bool:
+    """Whether the rate lies below ``NEVER`` by two standard deviations of its count."""
+    return part == 0 or part + 2 * part**0.5 < whole * NEVER
 
 
 def token_statistics(documents: DataFrame) -> Statistics:
-    """Counts over all documents; three counters for each of ``STAT_SLOTS`` slots reach the driver."""
+    """Counts over all documents; four counters for each of ``STAT_SLOTS`` slots reach the driver."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((3, STAT_SLOTS), np.int64)
+        total = np.zeros((4, STAT_SLOTS), np.int64)
         for b in batches:
             for t, c in zip(total, count_tokens([x for x in b["text"] if x])):
                 t[list(c)] += list(c.values())
@@ -216,7 +255,7 @@ def token_statistics(documents: DataFrame) -> Statistics:
                 yield pd.DataFrame({"kind": kind, "slot": part, "n": t[part]})
 
     counted = documents.select("text").mapInPandas(run, "kind int, slot int, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toPandas()
-    arrays = [np.zeros(STAT_SLOTS, np.int32) for _ in range(3)]
+    arrays = [np.zeros(STAT_SLOTS, np.int32) for _ in range(4)]
     for kind, part in counted.groupby("kind"):
         arrays[kind][part["slot"].to_numpy()] = np.minimum(part["n"].to_numpy(), 2**31 - 1)
     return Statistics(*arrays)
@@ -235,14 +274,13 @@ def _shape(token: str) -> str:
 def _level(part: int, whole: int) -> str:
     if whole < RELIABLE:
         return "few"
-    return "never" if part == 0 else "rare" if part < whole * 0.02 else "some" if part < whole * 0.2 else "often"
+    return "never" if _never(part, whole) else "rare" if part < whole * 0.02 else "some" if part < whole * 0.2 else "often"
 
 
 def features(c: Candidate, st: Statistics) -> list[str]:
-    b, a = _slot(c.before + c.mark), _slot(c.after)
-    seen, ends, starts = int(st.seen[b]), int(st.ends[b]), int(st.starts[a])
-    ending = _level(ends, seen)
-    starting = "never" if starts == 0 else "few" if starts < RELIABLE else "often"
+    starts, around = st.starting(c.after)
+    ending = _level(*st.ending(c.before + c.mark))
+    starting = "never" if _never(starts, around) else "few" if starts < RELIABLE else "often"
     shape = _shape(c.after)
     kind = "num" if c.before.isdigit() else "letter" if len(c.before) == 1 else "dotted" if "." in c.before else "digits" if any(map(str.isdigit, c.before)) else "word"
     return [
@@ -270,12 +308,12 @@ def silver(c: Candidate, following: str | None, st: Statistics) -> tuple[int, Ca
     """A label that needs no judgement, or None."""
     if c.gap == "E":
         return (1, Candidate(c.end, c.before, following, c.mark, " ")) if following else None
-    b, a = _slot(c.before + c.mark), _slot(c.after)
-    never_ends = st.ends[b] == 0 and st.seen[b] >= RELIABLE
-    often_ends = _level(int(st.ends[b]), int(st.seen[b])) == "often"
-    if st.starts[a] == 0 and (never_ends or c.mark == "…" or (_shape(c.after) in ("low", "dig") and not often_ends)):
+    ends, seen = st.ending(c.before + c.mark)
+    never_ends = seen >= RELIABLE and _never(ends, seen)
+    often_ends = _level(ends, seen) == "often"
+    if _never(*st.starting(c.after)) and (never_ends or c.mark == "…" or (_shape(c.after) in ("low", "dig") and not often_ends)):
         return 0, c
-    if never_ends and st.seen[b] >= 5 * RELIABLE and c.mark not in _FULL:
+    if never_ends and seen >= 5 * RELIABLE and c.mark not in _FULL:
         return 0, c
     return None
 

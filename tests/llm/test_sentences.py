@@ -103,3 +103,22 @@ def test_whole_operator(spark):
     got = {(r["doc_id"], r["start_char"], r["end_char"]) for r in S.p8_found(df).collect()}
     want = {(i, a, b) for i, (_, spans) in enumerate(data) for a, b in spans}
     assert len(got & want) / len(want) > 0.95 and len(got & want) / len(got) > 0.95
+
+
+def test_stray_paragraphs_and_collisions_leave_the_negatives():
+    """One paragraph that ends in an abbreviation, or a slot that other tokens fill, is no evidence that it ends sentences."""
+    import numpy as np
+
+    texts = [t for t, _ in make(2000, 1)] + ["The gateway waits for a Dr.", "Vell opens the report."]
+    arrays = [np.zeros(S.STAT_SLOTS, np.int32) for _ in range(4)]
+    for a, c in zip(arrays, S.count_tokens(texts)):
+        for k, v in c.items():
+            a[k] = v
+    st = S.Statistics(*arrays)
+    c = S.Candidate(3, "Dr", "Vell", ".", " ")
+    assert S.silver(c, None, st) == (0, c)
+    for a in arrays:  # every other slot holds a stranger's counts
+        a[S._slots("Dr.")[0]] += 500
+        a[S._slots("Vell")[0]] += 500
+    assert S.silver(c, None, st) == (0, c)
+    assert S.silver(S.Candidate(3, "report", "The", ".", " "), None, st) is None
