@@ -5,8 +5,9 @@ Gaussians, which are 2-stable: a projected difference is the true distance times
 a Gaussian, its squared length a chi-square.  A kd-tree over the projections
 (thresholds from a bounded sample, every row indexed) cuts the collection into
 cells of about ``CELL_ROWS``.  A query visits cells in the order in which they
-can hold a neighbour at the search radius, until the mass left unvisited fails
-the test ``1 - P_VISIT``; in a cell, a row is verified by its exact cosine when
+can hold a neighbour at the search radius, until they hold ``P_VISIT`` of its
+places, however many that takes; the radius is that of the least similarity or,
+where none is given, the distance of the k-th of some sampled rows; in a cell, a row is verified by its exact cosine when
 its projected distance passes the chi-square test at ``P_VERIFY``.
 
 Both ends of a pair search, and a pair found by either counts for both, so the
@@ -33,6 +34,8 @@ from .common import checkpointed, hash_sample
 CELL_ROWS = 4096
 #: Bound of the vectors that set the tree's thresholds.
 SAMPLE_ROWS = 20_000
+#: Of these, the rows that give a query its radius where there is no least similarity.
+RADIUS_ROWS = 4_000
 PROJECTIONS = 24
 MAX_DEPTH = 20
 #: Mass of the places of a neighbour at the search radius that the visited cells must hold.
@@ -74,21 +77,63 @@ class Tree:
             node = 2 * node + 1 + (y[:, d] > self.thresholds[node])
         return node - (2**self.depth - 1)
 
-    def visits(self, y: np.ndarray, radius: float, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, cell) pairs: the likeliest cells of a neighbour at ``radius``, without the query's own."""
+    def visits(self, y: np.ndarray, radius: float | np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, cell) pairs: the likeliest cells of a neighbour at ``radius``, without the query's own.
+
+        Likeliest first, until they hold ``P_VISIT``.  Branches below a cut are left out of a walk; the queries
+        whose cells then hold too little walk again with a smaller cut, so no mass is lost for good.
+        """
+        radius = np.broadcast_to(np.asarray(radius, float), (len(y),))
+        queries, cells = [], []
+        todo, cut = [np.arange(len(y))], (1 - P_VISIT) / 256
+        while todo:
+            short = []
+            for part in todo:
+                query, cell, mass = self._walk(y[part], radius[part], cut)
+                order = np.lexsort((-mass, query))
+                query, cell, mass = query[order], cell[order], mass[order]
+                held = np.bincount(query, weights=mass, minlength=len(part)) >= P_VISIT - 1e-9
+                total = np.cumsum(mass)
+                begin = np.searchsorted(query, np.arange(len(part)))
+                before = total - mass - np.concatenate([[0], total])[begin][query]
+                keep = held[query] & (before < P_VISIT) & (cell != home[part][query])
+                queries.append(part[query[keep]])
+                cells.append(cell[keep])
+                short.append(part[~held])
+            cut /= 16
+            rest = np.concatenate(short)
+            size = max(1, min(len(rest), int(cut * _WALK_CELLS)))  # a walk has fewer than 1 / cut branches a query
+            todo = [rest[at : at + size] for at in range(0, len(rest), size)]
+        return np.concatenate(queries), np.concatenate(cells)
+
+    def _walk(self, y: np.ndarray, radius: np.ndarray, cut: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, cell, mass) of every cell whose mass is above ``cut``."""
         query, node, mass = np.arange(len(y)), np.zeros(len(y), np.int64), np.ones(len(y))
         for d in range(self.depth):
-            left = _normal((self.thresholds[node] - y[query, d]) / max(radius, 1e-6))
+            left = _normal((self.thresholds[node] - y[query, d]) / np.maximum(radius[query], 1e-6))
             query, node, mass = np.concatenate([query, query]), np.concatenate([2 * node + 1, 2 * node + 2]), np.concatenate([mass * left, mass * (1 - left)])
-            keep = mass > (1 - P_VISIT) / 256
+            keep = mass > cut
             query, node, mass = query[keep], node[keep], mass[keep]
-        order = np.lexsort((-mass, query))
-        query, cell, mass = query[order], node[order] - (2**self.depth - 1), mass[order]
-        total = np.cumsum(mass)
-        begin = np.searchsorted(query, np.arange(len(y)))
-        before = total - mass - np.concatenate([[0], total])[begin][query]
-        keep = (before < P_VISIT) & (cell != home[query])
-        return query[keep], cell[keep]
+        return query, node - (2**self.depth - 1), mass
+
+
+#: Branches that walks hold at once.
+_WALK_CELLS = 1 << 22
+
+
+def search_radius(x: np.ndarray, sample: np.ndarray, k: int, least: float) -> np.ndarray:
+    """Within which distance the ``k`` nearest of each row lie: that of ``least``, or of the ``k``-th other sampled row when nearer.
+
+    One sampled row may be the row itself, so ``k + 1`` are counted.
+    """
+    floor = math.sqrt(max(0.0, 2 - 2 * least))
+    if len(sample) <= k:
+        return np.full(len(x), floor)
+    out = np.empty(len(x))
+    for at in range(0, len(x), 256):
+        kth = np.partition(x[at : at + 256] @ sample.T, len(sample) - 1 - k, axis=1)[:, len(sample) - 1 - k]
+        out[at : at + 256] = np.sqrt(np.maximum(0.0, 2 - 2 * kth.astype(np.float64)) + 1e-6)  # float32 cosines
+    return np.minimum(out, floor)
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -175,8 +220,8 @@ def _best(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int) -> np.n
     return out
 
 
-def nearest(vectors: DataFrame, k: int = 5, least: float = 0.85, dims: int = 64) -> DataFrame:
-    """``id, neighbour, similarity, rank``: up to ``k`` other ids of each id, by cosine, ``least`` or more.
+def nearest(vectors: DataFrame, k: int = 5, least: float | None = 0.85, dims: int = 64) -> DataFrame:
+    """``id, neighbour, similarity, rank``: up to ``k`` other ids of each id, by cosine, ``least`` or more (any, if None).
 
     ``vectors`` has ``id, vector``.  Rows without id, and vectors that are not exactly ``dims`` finite numbers
     or are all zero, take no part.  An id that occurs again counts once (of differing vectors, the smallest
@@ -197,16 +242,19 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = 0.85, dims: int = 64)
     sample = np.stack([np.frombuffer(r["vec"], np.float32) for r in hash_sample(points.select("id", "vec"), "id", SAMPLE_ROWS, rows).collect()]) if rows else np.zeros((0, dims), np.float32)
     tree = Tree.fit(sample, rows, dims)
     shipped = spark.sparkContext.broadcast(tree)  # at most 2^MAX_DEPTH thresholds: 4 MB
-    radius = math.sqrt(max(0.0, 2 - 2 * least))
+    # With a least similarity its radius serves all, so that both ends of a pair can find it.
+    known = spark.sparkContext.broadcast(sample[: RADIUS_ROWS if least is None else 0])
+    least = -1.0 if least is None else least
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shipped.value
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 part = b.slice(at, 4096)
-                y = _matrix(part.column(1), dims) @ t.matrix
+                x = _matrix(part.column(1), dims)
+                y = x @ t.matrix
                 home = t.home(y)
-                query, cell = t.visits(y, radius, home)
+                query, cell = t.visits(y, search_radius(x, known.value, k, least) if t.depth else 1.0, home)
                 take = pa.array(np.concatenate([np.arange(part.num_rows), query]))
                 own = np.concatenate([np.ones(part.num_rows, bool), np.zeros(len(query), bool)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([home, cell]).astype(np.int32)), part.column(0).take(take), pa.array(own), part.column(1).take(take)], ["cell", "row", "home", "vec"])

@@ -60,3 +60,49 @@ def test_dirty_rows_and_copies(spark):
     assert [n for _, n in sorted(got["c08"])] == hubs[:5] and [n for _, n in sorted(got["near"])] == hubs[:5]
     assert [n for _, n in sorted(got["c02"])] == [h for h in hubs if h != "c02"]
     assert N.p4_found(df.where("false")).count() == 0
+
+
+def _mass(t, y, radius, home, cells):
+    """The mass that cells hold of one query's neighbours at a radius."""
+    total = 0.0
+    for cell in {int(home), *map(int, cells)}:
+        node, m = 0, 1.0
+        for d in range(t.depth):
+            left = N._normal(np.array([(t.thresholds[node] - y[d]) / radius]))[0]
+            right = cell >> (t.depth - 1 - d) & 1
+            m *= 1 - left if right else left
+            node = 2 * node + 1 + right
+        total += m
+    return total
+
+
+@pytest.mark.parametrize("depth, radius", [(10, 0.5477), (14, 0.5477), (14, 1.2)])
+def test_visited_cells_hold_their_mass_in_deep_trees(depth, radius):
+    r = np.random.default_rng(3)
+    matrix = r.standard_normal((64, 24)).astype(np.float32)
+    t = N.Tree(matrix, np.zeros(2**depth - 1, np.float32), depth)
+    x = r.standard_normal((12, 64))
+    y = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32) @ matrix
+    home = t.home(y)
+    q, c = t.visits(y, radius, home)
+    assert all(_mass(t, y[i], radius, home[i], c[q == i]) >= N.P_VISIT - 1e-6 for i in range(len(y)))
+    assert len(set(zip(q, c))) == len(q) and (c != home[q]).all()
+
+
+def test_the_radius_follows_the_kth_distance():
+    r = np.random.default_rng(4)
+    x = np.eye(64)[0] + 0.001 * r.standard_normal((3000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    got = N.search_radius(x[:50], x, 5, 0.85)
+    true = np.sort(np.linalg.norm(x[:50, None].astype(float) - x[None], axis=2), axis=1)[:, 5]
+    assert (got >= true).all() and (got < 0.05).all()
+    assert np.allclose(N.search_radius(x[:3], x[:5], 5, 0.85), 0.3**0.5)
+
+
+def test_nearest_without_a_least_similarity(spark, monkeypatch):
+    monkeypatch.setattr(N, "CELL_ROWS", 128)
+    ids, x = data(1500, 64, 6)
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in zip(ids, x)], "id string, vector array<float>")
+    got = {(min(r["id"], r["neighbour"]), max(r["id"], r["neighbour"])) for r in N.nearest(df, 5, None).collect()}
+    want = brute(ids, x.astype(np.float32), least=-1.0)
+    assert len(want & got) / len(want) > 0.85  # one end alone finds most pairs here: P_VISIT is what it holds
