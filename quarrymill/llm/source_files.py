@@ -58,10 +58,15 @@ VENDORED_FOLDERS = ("vendor", "third_party", "third-party", "thirdparty", "node_
 #: Names tools give their output.
 GENERATED_NAME = r"(?i)(\.min\.(js|css)|\.bundle\.js|[.-][0-9a-f]{8,}\.(js|css)|\.pb\.(go|cc|h)|_pb2(_grpc)?\.py|\.g\.(dart|cs)|\.designer\.cs|\.generated\.\w+|/zz_generated[^/]*|/(package-lock\.json|yarn\.lock|pnpm-lock\.yaml|poetry\.lock|cargo\.lock|go\.sum|composer\.lock|gemfile\.lock))$"
 
-HEADER_LINES = 12
 MIN_BODY_LINES = 5
 
 _COMMENT = re.compile(r"^\s*(//+|/\*+|\*+|#+|--+|<!--|;+|%+)\s?")
+#: What opens a comment of several lines, and what closes it.
+_OPENS = re.compile(r"(?:[rRuU]?(?=[\"']))?(/\*|<!--|\"\"\"|''')(?:(?<=/\*)(?:\*+(?!/)|!))?")
+_CLOSES = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''"}
+_SIGN = re.compile(r"\s*(?:\*+|(?://+|#+|--+|;+|%+)(?=\s|$))?")
+#: Lines that may stand above a header comment.
+_PROLOGUE = re.compile(r"""(?i)<\?(?:php\b|xml\b[^>]*\?>)|<!doctype\b[^>]*>|["']use strict["'];?|@charset\s+["'][^"']*["'];?|\ufeff""")
 _NAMESPACE = (
     re.compile(r"^package\s+(?:[\w-]+\.)*([\w-]+)\s*;?$"),
     re.compile(r"^from\s+([\w-]+)\.[\w.]+\s+import\b"),
@@ -97,24 +102,53 @@ def unfenced(content: str) -> list[str]:
     return lines
 
 
+def header_comments(lines: list[str]) -> Iterator[tuple[str, bool]]:
+    """(text, whether it begins something) of each comment line above the first code line, without the comment signs.
+
+    Block comments and docstrings go on until they close.  A line of running text in them begins something unless
+    it goes on with the sentence of the line before.
+    """
+    closing, going_on = "", False
+    for line in lines:
+        text = line.strip()
+        if closing and not text:
+            going_on = False
+        while text:
+            if closing:
+                inner, shut, text = text.partition(closing)
+                signed = _SIGN.match(inner)
+                inner = inner[signed.end() :].strip()
+                if inner:
+                    yield inner, bool(signed[0].strip()) or not (going_on and inner[0].islower())
+                going_on = bool(inner) and inner[-1] not in ".!?:"
+                if shut:
+                    closing = ""
+                text = text.strip()
+            elif m := _OPENS.match(text):
+                closing, going_on = _CLOSES[m[1]], False
+                text = text[m.end() :]
+                if m[0].endswith("!"):
+                    yield "/*!" + text.partition(closing)[0], True
+                text = text.strip()
+            elif m := _COMMENT.match(text):
+                yield text[m.end() :].strip(), True
+                text = ""
+            elif m := _PROLOGUE.match(text):
+                text = text[m.end() :].strip()
+            else:
+                return
+
+
 def header_marks(lines: list[str]) -> tuple[bool, bool]:
     """(generated, foreign) by the notices in the comments above the first code line."""
     generated = foreign = False
-    seen = 0
-    for line in lines:
-        text = line.strip()
-        if not text:
-            continue
-        m = _COMMENT.match(text)
-        seen += 1
-        if not m or seen > HEADER_LINES:
-            break
-        low = text[m.end() :].strip().lower() if not text.startswith("/*!") else text.lower()
+    for text, begins in header_comments(lines):
+        low = text.lower()
         for end, (kind, n) in _automaton().iter(low):
             start = end - n + 1
             if kind == "foreign":
                 foreign = foreign or _is_foreign(low, start)
-            elif start == 0 or low[:start].strip() in ("this file was", "this file is", "this code was", "file"):
+            elif begins and (start == 0 or low[:start].strip() in ("this file was", "this file is", "this code was", "file")):
                 generated = True
     return generated, foreign
 

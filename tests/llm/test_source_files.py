@@ -57,3 +57,31 @@ def test_chunks_of_one_file_add_up(spark):
 def test_long_lines_end():
     S.chunk_features("x = [" + "1234567890" * 20_000 + "!")
     S.chunk_features("1 " * 200_000 + "x")
+
+
+def test_notices_anywhere_in_the_header():
+    notice = "Code generated by x. DO NOT EDIT."
+    licence = "\n".join(f"Term {i} of the licence holds for the files" for i in range(40))
+    found = [
+        "/*\n" + licence + "\n*/\n// " + notice,
+        "/* short licence */ // " + notice,
+        "/*\n   plain text of a licence\n   without stars\n   " + notice + "\n*/\nfunc a() {}",
+        "\n".join("// " + x for x in licence.split("\n")) + "\n// " + notice,
+        '"""' + licence + '\n"""\n# ' + notice,
+        '"""\nGenerated by x.\n"""\nimport os',
+        "<?php\n/**\n * " + notice + "\n */",
+        '<?xml version="1.0"?>\n<!--\n  ' + notice + "\n-->",
+        "'use strict';\n// " + notice,
+        "/** " + notice + " */",
+    ]
+    assert [S.header_marks(t.split("\n"))[0] for t in found] == [True] * len(found)
+    none = [
+        '"""Reads the rows\nproduced by the portal and\ngenerated by the worker.\n"""\nimport os',
+        "/* licence */\nfunc a() {}\n// " + notice,
+        "x = '''" + notice + "'''",
+        "/* The list is\n   generated from the tables. */\nfunc a() {}",
+        "<?php\n$a = 1;\n// " + notice,
+        "/**/ var a;\n// " + notice,
+    ]
+    assert [S.header_marks(t.split("\n")) for t in none] == [(False, False)] * len(none)
+    assert S.header_marks(["/*! tidy v1.2 | x */"]) == (False, True)
