@@ -65,6 +65,18 @@ def link_resolve(spark: SparkSession, d: str) -> DataFrame:
     return r.where(~host.isin(_HOSTS.portal)).select("source_id", "target")
 
 
+@query()
+def link_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Every link that resolves to a document of the collection, of any host; a page's own address has position -1."""
+    return _resolved(spark, d).where(F.col("target").isNotNull()).select("source_id", "pos", "href", "target")
+
+
+def _link_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that the resolved links of a body lead to, as edges."""
+    found = link_targets(spark, d).where((F.col("pos") >= 0) & (F.col("source_id") != F.col("target")))
+    return found.select(F.col("source_id").alias("src"), F.col("target").alias("dst"), F.lit("links_to").alias("relation")).distinct()
+
+
 @query()
 def link_reasons(spark: SparkSession, d: str) -> DataFrame:
     return _resolved(spark, d).where(F.col("pos") >= 0).groupBy("reason").agg(F.count("*").alias("n"))
@@ -139,6 +151,19 @@ def graph_components(spark: SparkSession, d: str) -> DataFrame:
     return graph.components(_same_title(kb).select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
+@query()
+def graph_link_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    """As graph_neighbors, over the links of the bodies."""
+    kb = data.pages(spark, d, "frontmatter", "rel_path")
+    return graph.neighbours(_link_edges(spark, d), _hub_edges(spark, d), kb.select(F.col("source_id").alias("id")))
+
+
+@query()
+def graph_link_components(spark: SparkSession, d: str) -> DataFrame:
+    """As graph_components, over the links of the bodies."""
+    return graph.components(_link_edges(spark, d).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
 _FOLDERS = f"""{PAGES}, f AS (SELECT DISTINCT unnest(list_transform(range(1, len(p) + 1), lambda i: array_to_string(p[1:i], '/'))) AS id FROM (SELECT string_split(rel_path, '/') AS p FROM kb WHERE rel_path IS NOT NULL)),
     par AS (SELECT id, regexp_replace(id, '/[^/]*$', '') AS parent FROM f WHERE contains(id, '/'))"""
 

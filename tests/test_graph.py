@@ -71,3 +71,18 @@ def test_labels(spark):
     df = spark.createDataFrame([("A", "S", "M"), ("A", None, None), (None, None, None)], "a string, s string, m string")
     a, s, m = hierarchy.place_labels(F.col("a"), F.col("s"), F.col("m"))
     assert [tuple(r) for r in df.select(a, s, m).collect()] == [("A", "S", "M"), ("A", "A · other", "A · other"), ("Not in the map",) * 3]
+
+
+def test_resolved_links_reach_the_graph(spark, monkeypatch):
+    from quarrymill.plans import graphs
+
+    wiki = "https://wiki.tarnfield.example/pages/{0}"
+    rows = [(f"confluence:OPS:{n}", f"See [next]({wiki.format(n + 1)}) and [self]({wiki.format(n)}).", wiki.format(n), None, f"ops/{n}.md") for n in (11, 12, 13, 14)] + [("confluence:OPS:90", "No link.", None, None, "other/90.md")]
+    kb = spark.createDataFrame(rows, "source_id string, body string, source_url string, frontmatter map<string,string>, rel_path string")
+    monkeypatch.setattr(graphs.data, "pages", lambda s, d, *cols: kb.select("source_id", *cols))
+    page = "confluence:OPS:{0}".format
+    targets = {(r["source_id"], r["pos"], r["target"]) for r in graphs.link_targets(spark, "").collect()}
+    assert {(page(n), 0, page(n + 1)) for n in (11, 12, 13)} | {(page(n), -1, page(n)) for n in (11, 12, 13, 14)} <= targets
+    assert {tuple(r) for r in graphs.graph_link_components(spark, "").collect()} == {(page(n), page(11)) for n in (11, 12, 13, 14)}
+    got = {(r["src"], r["dst"], r["direction"]) for r in graphs.graph_link_neighbors(spark, "").where("relation = 'links_to'").collect()}
+    assert (page(11), page(12), "out") in got and (page(13), page(12), "in") in got
