@@ -38,6 +38,10 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_items(splitting.with_limits(read(spark, d, "chunk_drafts"), read(spark, d, "kb_documents"), read(spark, d, "size_limits")))
 
 
+def p5_files(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.p5_files(read(spark, d, "kb_documents"), read(spark, d, "size_limits"))
+
+
 def p6_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.p6_packing(read(spark, d, "documents"), read(spark, d, "pack_capacities"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p5_files": p5_files,
     "p6_packing": p6_packing,
     "p6_fill": p6_fill,
     "p7_mixture": p7_mixture,

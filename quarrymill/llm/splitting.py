@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,8 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import checkpoint_dir, checkpointed
+
 #: Length of a range, in limits of its item.
 RANGE_LIMITS = 64
+#: Bytes of a range of a file.
+RANGE_BYTES = 64 << 20
 
 #: Boundaries from strong to weak: before a heading, blank line, line break, sentence, clause, white space.
 #: Each matches what lies between two pieces; a cut leaves its white space out.
@@ -237,16 +242,27 @@ def oversized(items: DataFrame) -> DataFrame:
 
 
 def ranges_of(items: DataFrame) -> DataFrame:
-    """One row for each range of an item, with the slice of its text that a worker needs."""
+    """One row for each range of an item, with the slice of its text that a worker needs.
+
+    A longer item is cut into its ranges in one pass over its text; each then takes its halos from the ranges beside it.
+    """
     most = F.greatest(F.lit(1), F.floor(F.col("max_tokens") * F.col("chars_per_token") + 1e-9)).cast("int")
-    length = F.length("text")
-    step = most * RANGE_LIMITS
-    numbered = items.withColumns({"_most": most, "_n": F.greatest(F.lit(1), F.ceil(length / step)).cast("int")})
-    exploded = numbered.withColumn("range_no", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    at = F.when(F.col("range_no") == 0, 0).otherwise(F.col("range_no") * step - F.col("_most") * 2)
-    return exploded.withColumns({"_at": at.cast("long"), "is_last": F.col("range_no") == F.col("_n") - 1}).withColumn(
-        "text", F.when(F.col("_n") == 1, F.col("text")).otherwise(F.col("text").substr((F.col("_at") + 1).cast("int"), (step + F.col("_most") * 4).cast("int")))
-    )
+    step = F.col("_most") * RANGE_LIMITS
+    keep = [c for c in items.columns if c != "text"]
+    sized = items.withColumn("_most", most).withColumn("_n", F.greatest(F.lit(1), F.ceil(F.length("text") / step)).cast("int"))
+    alone = sized.where(F.col("_n") == 1).select(*keep, F.lit(0).alias("range_no"), F.lit(0).cast("long").alias("_at"), F.lit(True).alias("is_last"), "text")
+    parts = F.regexp_extract_all("text", F.concat(F.lit("(?s).{1,"), step.cast("string"), F.lit("}")), F.lit(0))
+    halo = F.col("_most") * 2
+
+    def slice_of(part: F.Column, i: F.Column) -> F.Column:
+        beside = lambda k: F.coalesce(F.get("_parts", i + k), F.lit(""))
+        before = F.when(i > 0, F.substr(beside(-1), -halo, halo)).otherwise("")
+        return F.struct(i.alias("range_no"), F.concat(before, part, F.substr(beside(1), F.lit(1), halo)).alias("text"))
+
+    several = sized.where(F.col("_n") > 1).withColumn("_parts", parts).select(*keep, "_most", "_n", F.explode(F.transform("_parts", slice_of)).alias("_r"))
+    at = F.when(F.col("_r.range_no") == 0, 0).otherwise(F.col("_r.range_no").cast("long") * step - halo)
+    ranges = several.select(*keep, F.col("_r.range_no").alias("range_no"), at.cast("long").alias("_at"), (F.col("_r.range_no") == F.col("_n") - 1).alias("is_last"), F.col("_r.text").alias("text"))
+    return alone.unionByName(ranges.repartition("item_id", "range_no"))  # a giant item's ranges are tasks of their own
 
 
 def _cut_rows(with_text: bool):
@@ -278,7 +294,8 @@ def _cut_rows(with_text: bool):
 def cut_ranges(items: DataFrame, *, with_text: bool = True) -> DataFrame:
     """The pieces of every range of the oversized rows of ``items``."""
     cols = ["item_id", "item", "text", "target_tokens", "max_tokens", "overlap_tokens", "chars_per_token", "range_no", F.col("_at").alias("slice_at"), "is_last"]
-    return ranges_of(oversized(items)).select(*cols).mapInPandas(_cut_rows(with_text), _PIECES)
+    own = items.select("item_id", "item", "text", "target_tokens", "max_tokens", "overlap_tokens", "chars_per_token")
+    return ranges_of(oversized(own)).select(*cols).mapInPandas(_cut_rows(with_text), _PIECES)
 
 
 def split_items(items: DataFrame) -> DataFrame:
@@ -291,16 +308,21 @@ def split_items(items: DataFrame) -> DataFrame:
     """
     keep = ["text", "item", "target_tokens", "max_tokens", "overlap_tokens", "chars_per_token"]
     once = oversized(items).where(F.col("item_id").isNotNull()).groupBy("item_id").agg(F.min(F.struct(*keep)).alias("r")).select("item_id", *[F.col(f"r.{c}").alias(c) for c in keep])
-    cut = cut_ranges(once)
-    # Piece numbers: a prefix sum over the ranges of an item, by counts alone.
-    counts = cut.select("item_id", "range_no", F.size("pieces").alias("n")).where(F.col("range_no") >= 0)
-    many = counts.groupBy("item_id").agg(F.max("range_no").alias("last")).where(F.col("last") > 0).select("item_id")
-    before = F.sum("n").over(W.partitionBy("item_id").orderBy("range_no").rowsBetween(W.unboundedPreceding, -1))
-    offsets = counts.join(many, "item_id", "left_semi").select("item_id", "range_no", F.coalesce(before, F.lit(0)).alias("offset"))
-    placed = cut.join(offsets, ["item_id", "range_no"], "left")
-    return placed.select("item_id", "item", F.coalesce("offset", F.lit(0)).alias("offset"), F.posexplode("pieces").alias("k", "p")).select(
-        "item_id", "item", (F.col("offset") + F.col("k") + 1).cast("int").alias("piece_no"), *[F.col(f"p.{c}").alias(c) for c in ("start_char", "fresh_char", "end_char", "size_tokens", "forced", "text")]
-    )
+    cols = ("start_char", "fresh_char", "end_char", "size_tokens", "forced", "text")
+    out = lambda cut, before: cut.select("item_id", "item", before.alias("_before"), F.posexplode("pieces").alias("k", "p")).select("item_id", "item", (F.col("_before") + F.col("k") + 1).cast("int").alias("piece_no"), *[F.col(f"p.{c}").alias(c) for c in cols])
+    several = F.length("text") > F.greatest(F.lit(1), F.floor(F.col("max_tokens") * F.col("chars_per_token") + 1e-9)) * RANGE_LIMITS
+    # The few items of several ranges: cut once, kept, and numbered by a prefix sum over their ranges' counts alone.
+    long = checkpointed(cut_ranges(once.where(several)))
+    placed = numbered(long, "item_id", F.size("pieces"))
+    return out(cut_ranges(once.where(~several)), F.lit(0)).unionByName(out(placed, F.col("_before")))
+
+
+def numbered(cut: DataFrame, key: str, pieces: F.Column) -> DataFrame:
+    """``cut`` (one row for each ``key, range_no``) with ``_before``, the pieces of the ranges before its own."""
+    counts = cut.select(key, "range_no", pieces.cast("long").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(key).orderBy("range_no").rowsBetween(W.unboundedPreceding, -1))
+    offsets = counts.select(key, "range_no", F.coalesce(before, F.lit(0)).alias("_before"))
+    return cut.join(offsets, [key, "range_no"])
 
 
 def with_limits(drafts: DataFrame, documents: DataFrame, limits: DataFrame) -> DataFrame:
@@ -317,32 +339,36 @@ def p5_found(drafts: DataFrame, documents: DataFrame, limits: DataFrame) -> Data
     return cut.groupBy("item_id").agg(F.max(F.col("stretch").cast("int")).alias("f")).select("item_id", F.when(F.col("f") == 1, "forced").otherwise("natural").alias("cut"))
 
 
-def split_files(spark: SparkSession, files: list[tuple[str, int]], limit: tuple[int, int, int, float], range_bytes: int = 64 << 20) -> DataFrame:
-    """Pieces of UTF-8 files by byte ranges: ``path, range_no, start_byte, fresh_byte, end_byte, forced``.
+_FILE_PIECES = "path string, range_no int, pieces array<struct<start_byte:long,fresh_byte:long,end_byte:long,forced:boolean>>"
 
-    ``files`` are (path on a shared file system, size in bytes).  A task reads one range and a halo on either
-    side, never the file.  A range's real begin is the best boundary after its first byte, chosen alike by
-    both neighbours.  Empty files give no rows.
+
+def split_files(files: DataFrame, limit: Limit, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Pieces of UTF-8 files by byte ranges: ``path, piece_no, start_byte, fresh_byte, end_byte, forced``.
+
+    ``files`` has ``path`` (on a shared file system) and ``size`` in bytes.  A task reads one range and a halo on either
+    side, never the file.  A range's real begin is the best boundary about its first byte, chosen alike by
+    both neighbours; piece numbers are prefix sums of the ranges' counts.  Empty files give no rows.
     """
-    rows = [(path, k, size) for path, size in files for k in range(max(1, math.ceil(size / range_bytes))) if size]
-    schema = "path string, range_no int, size long"
-    tasks = spark.createDataFrame(rows, schema).repartition(max(1, len(rows)), "path", "range_no")
-    own = Limit.of(*limit)
+    many = F.ceil(F.col("size") / range_bytes).cast("int")
+    ranges = files.where(F.col("size") > 0).select("path", F.col("size").cast("long").alias("size"), F.explode(F.sequence(F.lit(0), many - 1)).alias("range_no"))
+    tasks = ranges.repartition(int(min(20_000, max(1, ranges.count()))))  # round robin: a range a task
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for path, k, size in b.itertuples(index=False):
-                out = cut_file_range(path, int(k), int(size), own, range_bytes)
-                yield pd.DataFrame(out, columns=["path", "range_no", "start_byte", "fresh_byte", "end_byte", "forced"])
+            for path, size, k in b.itertuples(index=False):
+                pieces = [dict(zip(("start_byte", "fresh_byte", "end_byte", "forced"), p)) for p in cut_file_range(path, int(k), int(size), limit, range_bytes)]
+                yield pd.DataFrame({"path": [path], "range_no": [k], "pieces": [pieces]})
 
-    return tasks.mapInPandas(run, "path string, range_no int, start_byte long, fresh_byte long, end_byte long, forced boolean")
+    cut = checkpointed(tasks.mapInPandas(run, _FILE_PIECES))
+    pieces = numbered(cut, "path", F.size("pieces")).select("path", "_before", F.posexplode("pieces").alias("k", "p"))
+    return pieces.select("path", (F.col("_before") + F.col("k") + 1).alias("piece_no"), *[F.col(f"p.{c}").alias(c) for c in ("start_byte", "fresh_byte", "end_byte", "forced")])
 
 
 def cut_file_range(path: str, k: int, size: int, limit: Limit, range_bytes: int) -> list[tuple]:
     """Pieces of the ``k``-th byte range of a file; offsets in bytes."""
     from pyarrow import fs
 
-    if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]+://", path):
+    if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]+:/", path):
         system, name = fs.FileSystem.from_uri(path)
     else:
         system, name = fs.LocalFileSystem(), path
@@ -368,7 +394,7 @@ def cut_file_range(path: str, k: int, size: int, limit: Limit, range_bytes: int)
         total += len(text[done:m].encode("utf-8"))
         done = m
         offset[m] = total
-    return [(path, k, offset[p.start], offset[p.fresh], offset[p.end], p.forced) for p in pieces]
+    return [(offset[p.start], offset[p.fresh], offset[p.end], p.forced) for p in pieces]
 
 
 def _char_start(raw: bytes, i: int) -> int:
@@ -376,3 +402,27 @@ def _char_start(raw: bytes, i: int) -> int:
     while 0 < i < len(raw) and raw[i] & 0xC0 == 0x80:
         i -= 1
     return i
+
+
+def p5_files(documents: DataFrame, limits: DataFrame, range_bytes: int = 1 << 20) -> DataFrame:
+    """The bodies, written one after another to files of the shared folder, cut there by byte ranges as giant files are.
+
+    ``file`` (from 0, by name), ``piece_no`` and the bytes of each piece.  The limits are those of ``document``.
+    """
+    spark = documents.sparkSession
+    row = limits.where(F.col("item") == "document").select("target_tokens", "max_tokens", "overlap_tokens", "chars_per_token").first()
+    if row is None:
+        return spark.createDataFrame([], "file int, piece_no long, start_byte long, fresh_byte long, end_byte long, forced boolean")
+    folder = f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+    documents.where(F.col("body").isNotNull()).select(F.col("body").alias("value")).write.text(folder, lineSep="\n\n")
+    files = spark.createDataFrame(list_files(spark, folder), "path string, size long")
+    order = F.row_number().over(W.orderBy("path")) - 1  # one row a file
+    return split_files(files, Limit.of(*row), range_bytes).join(files.select("path", order.alias("file")), "path").drop("path")
+
+
+def list_files(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """(path, bytes) of a folder's data files, on whatever file system it lies."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted((f.getPath().toString(), f.getLen()) for f in found if not f.getPath().getName().startswith(("_", ".")))

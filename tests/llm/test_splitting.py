@@ -89,14 +89,16 @@ def test_files_by_byte_ranges(spark, tmp_path, unit):
     f.write_text(text, encoding="utf-8")
     (tmp_path / "empty.txt").write_text("")
     raw = text.encode()
-    out = S.split_files(spark, [(str(f), len(raw)), (str(tmp_path / "empty.txt"), 0)], (100, 150, 10, 2.0), range_bytes=7001).orderBy("fresh_byte").collect()
+    files = spark.createDataFrame([(str(f), len(raw)), (str(tmp_path / "empty.txt"), 0)], "path string, size long")
+    out = S.split_files(files, S.Limit.of(100, 150, 10, 2.0), range_bytes=7001).orderBy("fresh_byte").collect()
+    assert [r["piece_no"] for r in out] == list(range(1, len(out) + 1))
     last = 0
     for r in out:
         piece = raw[r["start_byte"] : r["end_byte"]].decode("utf-8")
         assert S.utf16_length(piece) <= 300 and not r["forced"]
         assert r["fresh_byte"] >= last and not raw[last : r["fresh_byte"]].decode().strip()
         last = r["end_byte"]
-    assert not raw[last:].decode().strip() and len({r["range_no"] for r in out}) > 5
+    assert not raw[last:].decode().strip()
     assert re.sub(r"\s", "", "".join(raw[r["fresh_byte"] : r["end_byte"]].decode() for r in out)) == re.sub(r"\s", "", text)
 
 
@@ -122,4 +124,38 @@ def test_found_by_ranges_as_by_the_whole(spark, tmp_path):
     assert sorted((r["item_id"], r["cut"]) for r in S.p5_found(drafts, docs, limits).collect()) == [("p", "forced"), ("q", "natural")]
     f = tmp_path / "file.txt"
     f.write_text(text)
-    assert any(r["forced"] for r in S.split_files(spark, [(str(f), len(text))], (20, most, 5, 1.0), range_bytes=most * S.RANGE_LIMITS).collect())
+    files = spark.createDataFrame([(str(f), len(text))], "path string, size long")
+    assert any(r["forced"] for r in S.split_files(files, S.Limit.of(20, most, 5, 1.0), range_bytes=most * S.RANGE_LIMITS).collect())
+
+
+@pytest.mark.parametrize("limits", [57, 63, 65, 130, 400])
+@pytest.mark.parametrize("length", [10, 30, 45, 55, 80, 99])
+def test_no_word_is_cut_at_any_size(limits, length):
+    limit = S.Limit(60, 100, 10)
+    text = ("w" * length + " ") * (100 * limits // (length + 1))
+    pieces = whole(text, limit)
+    checked(text, pieces, limit)
+    assert all(text[p.end : p.end + 1] in ("", " ") and not p.forced for p in pieces)
+
+
+def test_files_and_rows_have_the_same_pieces(spark, tmp_path):
+    r = random.Random(6)
+    text = "".join(r.choice(["word ", "longer-word ", "end. ", "\n\n", "\n## Head\n", "x" * 50 + " "]) for _ in range(4000))
+    most = 60
+    rows = spark.createDataFrame([("a", "prose", text, 40, most, 8, 1.0)], "item_id string, item string, text string, target_tokens int, max_tokens int, overlap_tokens int, chars_per_token double")
+    by_row = [tuple(x) for x in S.split_items(rows).orderBy("piece_no").select("piece_no", "start_char", "fresh_char", "end_char", "forced").collect()]
+    f = tmp_path / "same.txt"
+    f.write_text(text)
+    files = spark.createDataFrame([(str(f), len(text))], "path string, size long")
+    by_file = [tuple(x) for x in S.split_files(files, S.Limit.of(40, most, 8, 1.0), most * S.RANGE_LIMITS).orderBy("piece_no").select("piece_no", "start_byte", "fresh_byte", "end_byte", "forced").collect()]
+    assert len(text) > 5 * most * S.RANGE_LIMITS and by_row == by_file
+
+
+def test_bodies_written_to_files(spark):
+    docs = spark.createDataFrame([("a", "One sentence is here. " * 80), ("b", None), ("c", "日本語の文です。" * 90), ("d", "")], "source_id string, body string")
+    limits = spark.createDataFrame([("document", 50, 100, 5, 2.0)], "item string, target_tokens int, max_tokens int, overlap_tokens int, chars_per_token double")
+    out = S.p5_files(docs, limits, range_bytes=500).collect()
+    assert out and not any(r["forced"] for r in out)
+    for file in {r["file"] for r in out}:
+        assert sorted(r["piece_no"] for r in out if r["file"] == file) == list(range(1, 1 + sum(r["file"] == file for r in out)))
+    assert S.p5_files(docs, limits.where("false")).count() == 0
