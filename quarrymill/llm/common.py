@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -13,17 +14,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="quarrymill-")
-        if not current.isDefined():
-            spark.sparkContext.setCheckpointDir(where)
-        return where
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(where)
-    return where
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    A temporary folder serves only where the session runs in this one machine's JVM; on a cluster, executors could
+    not read it, so there a missing setting is an error.
+    """
+    context = spark.sparkContext._jsc.sc()
+    if not context.getCheckpointDir().isDefined():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not context.isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="quarrymill-"))
+    return context.getCheckpointDir().get()
 
 
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -42,13 +44,22 @@ def spread(df: DataFrame) -> DataFrame:
 MAX_FIT_CHARS = 200_000
 
 
-def hash_sample(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
+#: Characters of text that a sample holds at most, whatever its rows are.
+MAX_SAMPLE_CHARS = 64_000_000
+
+
+def hash_sample(df: DataFrame, key: str, rows: int, total: int, text: str | None = None) -> DataFrame:
     """The ``rows`` rows with the smallest hashes of ``key``: a bounded sample that no order of the input changes.
 
     ``total`` is about how many rows there are (a count that a file's footer answers will do); a threshold from
     it leaves about twice ``rows`` before the sort, so what the tasks send on does not grow with the input.
+    Where ``text`` names a column, the sample ends with ``MAX_SAMPLE_CHARS`` of it.
     """
     h = F.xxhash64(F.col(key).cast("string"))
     if total > 2 * rows:
         df = df.where(h < F.lit(int(-(2**63) + (2 * rows + 200) / total * 2**64)))
-    return df.orderBy(h, key).limit(rows)
+    taken = df.orderBy(h, key).limit(rows)
+    if text is None:
+        return taken
+    length = F.sum(F.coalesce(F.length(text), F.lit(0))).over(W.orderBy(h, key))  # over ``rows`` rows at most
+    return taken.withColumn("_chars", length).where(F.col("_chars") <= MAX_SAMPLE_CHARS).drop("_chars")

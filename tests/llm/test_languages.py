@@ -1,4 +1,8 @@
+import os
+
 import pytest
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from quarrymill.llm import languages as L
 
@@ -28,7 +32,7 @@ def test_bit_slices_are_separate_filters(filters):
 
     for k, lang in enumerate(filters.languages):
         a, b, keep, _ = L._grams([L.normalised(t) for t in TEXTS[lang]])
-        assert ((filters.slots[a[keep]] & filters.slots[b[keep]]) >> np.uint32(k) & 1).all()
+        assert ((filters.slots[a[keep], 0] & filters.slots[b[keep], 0]) >> np.uint32(k) & 1).all()
     assert (filters.false_positive < 0.01).all()
 
 
@@ -43,6 +47,56 @@ def test_spans_leave_out_what_is_no_sentence():
     assert [text[a:b] for a, b, _ in spans] == ["One sentence `code. here` stands.", "Another one follows!"]
 
 
+def test_more_languages_than_bits():
+    texts = [f"{chr(0x4E00 + 40 * k)}{chr(0x4E01 + 40 * k)}{chr(0x4E02 + 40 * k)}{chr(0x4E03 + 40 * k)}" for k in range(70)]
+    f = L.LanguageFilters.fit(texts, [f"l{k:02d}" for k in range(70)])
+    assert f.slots.shape == (L.SLOTS, 2) and [x for x, _ in f.decide(texts)] == [f"l{k:02d}" for k in range(70)]
+
+
+def test_runs_between_sentences():
+    text = "# Un titolo lungo\n\n- prima voce\n- seconda voce\n\nUna frase intera qui. un resto senza punto"
+    got = [(text[a:b], whole) for a, b, _, whole in L.text_spans(text)]
+    assert got == [("# Un titolo lungo\n\n- prima voce\n- seconda voce", False), ("Una frase intera qui.", True), ("un resto senza punto", False)]
+    assert L.text_spans("```\ncode only\n```") == [] and L.text_spans("") == []
+
+
+#: A text of each language without any closing mark.
+OPEN = {
+    "it": "# Guida alla configurazione del servizio\n\n- avviare il programma con i parametri della tabella\n- controllare che la connessione sia attiva",
+    "en": "# Guide to the configuration of the service\n\n- start the program with the parameters of the table\n- check that the connection is still open",
+    "de": "# Anleitung für die Einrichtung des Dienstes\n\n- das Programm mit den Werten der Tabelle starten\n- prüfen, ob die Verbindung noch besteht",
+    "fr": "# Guide pour la configuration du service\n\n- lancer le programme avec les paramètres du tableau\n- vérifier que la connexion est toujours ouverte",
+    "es": "# Guía para la configuración del servicio\n\n- iniciar el programa con los parámetros de la tabla\n- comprobar que la conexión sigue abierta",
+    "ru": "# Настройка службы\n\n- запустить программу с параметрами из таблицы\n- проверить, что соединение открыто",
+    "zh": "# 服务配置指南\n\n- 使用表中的参数启动程序\n- 检查连接是否仍然打开",
+    "ja": "# サービスの設定ガイド\n\n- 表のパラメータでプログラムを起動する\n- 接続がまだ開いていることを確認する",
+    "hi": "# सेवा की सेटिंग\n\n- तालिका के मानों के साथ कार्यक्रम शुरू करें\n- देखें कि कनेक्शन खुला है",
+    "ar": "# دليل إعداد الخدمة\n\n- تشغيل البرنامج مع القيم الموجودة في الجدول\n- التأكد من أن الاتصال ما زال مفتوحا",
+    "th": "การตั้งค่าบริการ เริ่มโปรแกรมด้วยค่าจากตาราง ตรวจสอบว่าการเชื่อมต่อยังเปิดอยู่",
+}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables here")
+def test_every_language_without_a_full_stop(spark):
+    samples = spark.read.parquet("/root/testdata/sf0.01/lang_samples.parquet")
+    f = L.fit_filters(samples)
+    df = spark.createDataFrame([(k, None, v) for k, v in OPEN.items()], "id string, lang string, content string")
+    got = {r["id"]: (r["lang"], r["confidence"], [s["sentences"] for s in r["segments"]]) for r in L.label_languages(df, f).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: k for k in OPEN}
+    assert all(c > 0.5 and not any(n) for _, c, n in got.values())
+    late = samples.withColumn("sample_id", F.row_number().over(W.orderBy("lang"))).orderBy("lang")
+    assert set(L.fit_filters(late).languages) == set(OPEN)  # no order of the table leaves a language out
+
+
+def test_segments_of_every_chunk(spark):
+    it, en = TEXTS["it"][0], TEXTS["en"][0]
+    samples = spark.createDataFrame([(i, l, t) for i, (l, t) in enumerate((l, t) for l, ts in TEXTS.items() for t in ts)], "sample_id int, lang string, text string")
+    rows = [("a", "it", f"{it} {en}", None), ("c", None, en, "gitlab/x/code/README"), ("e", "it", None, None)]
+    df = spark.createDataFrame(rows, "id string, lang string, content string, rel_path string")
+    got = sorted((r["id"], r["lang"], r["segment"], r["segment_lang"], r["start_char"]) for r in L.p3_languages(df, samples).collect())
+    assert got == [("a", "en", 1, "en", len(it) + 1), ("a", "en", 0, "it", 0), ("c", "en", 0, "en", 0), ("e", "und", None, None, None)] or got == [("a", "it", 0, "it", 0), ("a", "it", 1, "en", len(it) + 1), ("c", "en", 0, "en", 0), ("e", "und", None, None, None)]
+
+
 def test_dirty_rows(spark, filters):
     it, en = TEXTS["it"][0], TEXTS["en"][0]
     rows = [("a", "it", it), ("b", "en", it), ("c", "it", f"{it} {en}"), ("d", None, en), ("d", None, en), ("e", "it", None), ("f", "", "```\nx\n```"), (None, "it", it), ("g", "IT", it * 5000)]
