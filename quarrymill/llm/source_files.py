@@ -1,9 +1,10 @@
 """Problem 2: source files that nobody wrote by hand for their project.
 
-Method: an Aho-Corasick automaton finds generation and third-party notices in
-file headers, and path rules add vendored folders, generated-name suffixes and
-minified names.  A path alone never condemns a file: it must also lack a
-declaration that it belongs to one of the collection's own projects.  Two
+Method: an Aho-Corasick automaton finds generation notices, warnings not to edit and
+third-party notices in file headers, and path rules add vendored folders, generated-name suffixes and
+minified names.  But for names that only tools give (lockfiles, protocol
+compilers), a path alone never condemns a file: it must also lack a declaration
+that it belongs to one of the collection's own projects.  Two
 things the notices cannot show are added after them: bodies made of one line
 pattern (templates, data, dense code) and bodies that occur in several
 projects (copies of a library whose notice was cut off).
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Phrases by which tools mark what they wrote.  They must begin a header comment.
+#: Phrases by which tools mark what they wrote.  They begin a header comment, say it of "this file", or stand by a warning.
 GENERATED_NOTICES = (
     "@generated",
     "<auto-generated",
@@ -34,6 +35,7 @@ GENERATED_NOTICES = (
     "autogenerated",
     "automatically generated",
     "code generated by",
+    "created by",
     "diese datei wurde automatisch",
     "diese datei wurde maschinell",
     "file generato automaticamente",
@@ -41,22 +43,48 @@ GENERATED_NOTICES = (
     "archivo generado automáticamente",
     "generated by",
     "generated from",
+    "machine generated",
     "machine-generated",
     "machine-written",
-    "output of `",
-    "produced by the",
+    "made by",
+    "output of",
+    "produced by",
     "this file is generated",
     "this file was automatically",
     "this file was generated",
     "this is an automatically generated",
     "this is a generated file",
 )
+#: Of these, the phrases that people use too, so that they need a warning in the same header.
+WEAK_NOTICES = ("created by", "made by", "output of", "produced by")
+#: Warnings that what is written here will not last.
+EDIT_WARNINGS = (
+    "be overwritten",
+    "changes will be lost",
+    "do not change",
+    "do not edit",
+    "do not modify",
+    "don't edit",
+    "don't modify",
+    "edit the source",
+    "edit the template",
+    "get overwritten",
+    "ne pas modifier",
+    "nicht bearbeiten",
+    "nicht ändern",
+    "no editar",
+    "no modificar",
+    "non modificare",
+    "regenerate",
+)
 #: Marks of a foreign package's header.
 FOREIGN_NOTICES = ("authors |", " contributors", ", release ", "homepage: http", "@license", "@preserve", "/*! ")
 #: Folders that hold foreign code when a package folder follows or they hold files themselves.
 VENDORED_FOLDERS = ("vendor", "third_party", "third-party", "thirdparty", "node_modules", "bower_components", "pods", "external", "deps", "site-packages", "vendored")
-#: Names tools give their output.
-GENERATED_NAME = r"(?i)(\.min\.(js|css)|\.bundle\.js|[.-][0-9a-f]{8,}\.(js|css)|\.pb\.(go|cc|h)|_pb2(_grpc)?\.py|\.g\.(dart|cs)|\.designer\.cs|\.generated\.\w+|/zz_generated[^/]*|/(package-lock\.json|yarn\.lock|pnpm-lock\.yaml|poetry\.lock|cargo\.lock|go\.sum|composer\.lock|gemfile\.lock))$"
+#: Names that only tools give: lockfiles and what protocol compilers and form designers write.
+TOOL_NAME = r"(?i)(\.pb\.(go|cc|h)|\.pb\.gw\.go|_grpc\.pb\.go|_pb2(_grpc)?\.pyi?|\.designer\.cs|/zz_generated[^/]*|/(package-lock\.json|npm-shrinkwrap\.json|yarn\.lock|pnpm-lock\.yaml|bun\.lockb?|deno\.lock|poetry\.lock|uv\.lock|pdm\.lock|pipfile\.lock|cargo\.lock|go\.sum|composer\.lock|gemfile\.lock|pubspec\.lock|mix\.lock|packages\.lock\.json|podfile\.lock|package\.resolved|flake\.lock|gradle\.lockfile))$"
+#: Names that tools give their output and people rarely theirs.
+GENERATED_NAME = r"(?i)(\.min\.(js|css)|\.bundle\.js|[.-][0-9a-f]{8,}\.(js|css)|\.g\.(dart|cs)|\.freezed\.dart|\.generated\.\w+|[._-]gen\.(go|ts|py|rs)|_generated\.(go|ts|py|rs|rb))$"
 
 MIN_BODY_LINES = 5
 
@@ -85,7 +113,7 @@ def _automaton():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for kind, words in (("generated", GENERATED_NOTICES), ("foreign", FOREIGN_NOTICES)):
+    for kind, words in (("generated", GENERATED_NOTICES), ("warning", EDIT_WARNINGS), ("foreign", FOREIGN_NOTICES)):
         for w in words:
             a.add_word(w, (kind, len(w)))
     a.make_automaton()
@@ -139,18 +167,36 @@ def header_comments(lines: list[str]) -> Iterator[tuple[str, bool]]:
                 return
 
 
+#: What may stand before a notice that is about the file itself: a warning word, "this file is", "file", or the name of a kind of file.
+_SUBJECT = re.compile(
+    r"\W*(?:(?:warning|note|notice|attention|caution|important|achtung|attenzione)\b\W*)*"
+    r"(?:(?:this|the following)\s+(?:\w+\s+){0,2}?(?:file|code|source|module|script|document|header|class|package)?\s*(?:is|are|was|were|has been|have been)?|file)?"
+    r"\s*(?:(?:an?\s+(?:[\w-]+\s+){0,3})?(?:automatically|mechanically|entirely)?)\s*"
+)
+_KIND_OF_FILE = re.compile(r"\W*an?\s+(?:[\w-]+\s+){1,4}")
+
+
 def header_marks(lines: list[str]) -> tuple[bool, bool]:
-    """(generated, foreign) by the notices in the comments above the first code line."""
-    generated = foreign = False
+    """(generated, foreign) by the notices in the comments above the first code line.
+
+    A notice says of this file that a tool wrote it: the phrase begins a comment, its subject is the file, or a warning not
+    to edit stands in the same header.  What people also say of their own work needs that warning.
+    """
+    generated = foreign = warned = said = False
     for text, begins in header_comments(lines):
         low = text.lower()
         for end, (kind, n) in _automaton().iter(low):
             start = end - n + 1
+            phrase = low[start : end + 1]
             if kind == "foreign":
                 foreign = foreign or _is_foreign(low, start)
-            elif begins and (start == 0 or low[:start].strip() in ("this file was", "this file is", "this code was", "file")):
-                generated = True
-    return generated, foreign
+            elif kind == "warning":
+                warned = True
+            elif not re.search(r"\b(?:not|never|isn't)\s+(?:\w+\s+)?$", low[:start]):
+                said = True
+                if begins and phrase not in WEAK_NOTICES:
+                    generated = generated or bool(_SUBJECT.fullmatch(low[:start])) or (phrase == "generated by" and bool(_KIND_OF_FILE.fullmatch(low[:start])))
+    return generated or (said and warned), foreign
 
 
 def _is_foreign(low: str, start: int) -> bool:
@@ -162,7 +208,7 @@ def _is_foreign(low: str, start: int) -> bool:
 
 def namespace(lines: list[str]) -> str:
     """The project a file says it belongs to: package clause, project import or search path; '' when none."""
-    for line in lines[:40]:
+    for line in lines:
         text = line.strip()
         for pattern in _NAMESPACE:
             if m := pattern.match(text):
@@ -248,7 +294,7 @@ def classify_source_files(chunks: DataFrame) -> DataFrame:
             "data": ((F.col("n_code") >= 4) & (F.col("n_data") / n >= 0.7)) | ((F.col("n_chars") > 300) & (F.col("blob_chars") / F.greatest(F.col("n_chars"), F.lit(1)) >= 0.6)),
             "minified": ~F.col("declared") & (F.col("n_chars") > 300) & (F.col("dense_chars") / F.greatest(F.col("n_chars"), F.lit(1)) >= 0.6),
             "templated": ~F.col("declared") & (F.col("n_code") >= 5) & (F.col("n_repeated") / n >= 0.5) & (F.col("n_digits") / n >= 0.25),
-            "named": ~F.col("declared") & F.col("inner").rlike(GENERATED_NAME),
+            "named": F.col("inner").rlike(TOOL_NAME) | (~F.col("declared") & F.col("inner").rlike(GENERATED_NAME)),
             "body": F.struct("n_body", "fp_low", "fp_high"),
         }
     )
@@ -260,7 +306,10 @@ def classify_source_files(chunks: DataFrame) -> DataFrame:
         .where((F.col("files") > 1) & (F.col("any_marked") | ((F.col("projects") > 1) & ~F.col("any_declared"))))
         .select(F.col("body").alias("copied"))
     )
-    files = files.join(bodies, files["body"] == bodies["copied"], "left")
+    # Shorter bodies are never compared: they get keys that spread them and meet nothing.
+    lone = F.struct(F.lit(-1).cast("long").alias("n_body"), F.xxhash64("source_id").alias("fp_low"), F.lit(0).cast("long").alias("fp_high"))
+    files = files.withColumn("key", F.when(F.col("n_body") >= MIN_BODY_LINES, F.col("body")).otherwise(lone))
+    files = files.join(bodies, F.col("key") == F.col("copied"), "left")
     copied = F.col("copied").isNotNull() & ~F.col("declared")
     reason = (
         F.when(F.col("generated"), "generated")

@@ -1,3 +1,5 @@
+import pytest
+
 from quarrymill.llm import source_files as S
 
 HAND = "package ledger\n\nfunc {n}(a int) int {{\n\t// keep the order\n\tif a > {k} {{\n\t\treturn a - {k}\n\t}}\n\treturn helper(a, \"x\")\n}}\n\ntype Thing struct {{\n\tName string\n\tSize int\n}}\n"
@@ -85,3 +87,47 @@ def test_notices_anywhere_in_the_header():
     ]
     assert [S.header_marks(t.split("\n")) for t in none] == [(False, False)] * len(none)
     assert S.header_marks(["/*! tidy v1.2 | x */"]) == (False, True)
+
+
+@pytest.mark.parametrize(
+    "header",
+    [
+        "// This file is automatically @generated by Cargo.\n// It is not intended for manual editing.",
+        "# WARNING: this file is generated, DO NOT EDIT",
+        "/* A lexical scanner generated by flex */",
+        "// DO NOT EDIT: output of protoc",
+        "/* A Bison parser, made by GNU Bison 3.8.2.  */\n/* DO NOT EDIT the output by hand; changes will be lost. */",
+        "// Code generated by protoc-gen-go. DO NOT EDIT.\n// versions:",
+        "# Generated by Django 4.2 on 2024-01-01",
+        "/*\n * Copyright 2024\n *\n * NOTE: This class was automatically generated from api.yaml\n */",
+        "-- This schema has been automatically generated",
+        "# -*- coding: utf-8 -*-\n# Generated by the protocol buffer compiler.  DO NOT EDIT!",
+    ],
+)
+def test_notices_of_common_tools(header):
+    assert S.header_marks(S.unfenced(header + "\nint x = 1;"))[0]
+
+
+@pytest.mark.parametrize(
+    "header",
+    [
+        "// Parses the code generated by protoc and checks its output.",
+        "# Reads what was produced by the nightly job.",
+        "// Created by Ann on 3 May 2021.",
+        "# This file is not generated; edit it freely.",
+        "// Regenerate the fixtures with make.",
+        "/* Tests for the generator. Do not edit the golden files. */",
+        "# The list of hosts. Do not change the order.",
+        "// Helpers for code that was generated from templates.",
+    ],
+)
+def test_hand_written_headers_that_speak_of_tools(header):
+    assert not S.header_marks(S.unfenced(header + "\nint x = 1;"))[0]
+
+
+@pytest.mark.parametrize("name", ["uv.lock", "bun.lock", "pubspec.lock", "mix.lock", "Pipfile.lock", "npm-shrinkwrap.json", "Cargo.lock", "api/user.pb.go", "api/user_pb2.py", "api/user_pb2_grpc.pyi"])
+def test_names_that_only_tools_give(spark, name):
+    own = "package ours\n\n" + "\n".join(f"call_{w}({w})" for w in ("alpha", "beta", "gamma", "delta", "eps", "zeta"))
+    rows = [("s", "s::0", f"gitlab/g/ours/code/{name}", 0, own), ("t", "t::0", "gitlab/g/ours/code/hand.go", 0, own + "\nmore()")]
+    df = spark.createDataFrame(rows, "source_id string, id string, rel_path string, ordinal int, content string")
+    assert [r["source_id"] for r in S.p2_found(df).collect()] == ["s"]
