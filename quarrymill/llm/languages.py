@@ -73,7 +73,7 @@ NO_LABEL = ("", "und", "unknown", "n/a", "na", "--", "-", "none", "null", "mul",
 
 _FENCE = re.compile(r"(?ms)^[ \t]*(```+|~~~+)[^\n]*$.*?(?:^[ \t]*\1[`~]*[ \t]*$|\Z)")
 _BLANKED = re.compile(r"`[^`\n]*`|\bhttps?://[^\s)>\]]+[^\s)>\].,;:!?]|\"[^\"\n]{1,80}\"|«[^»\n]{1,80}»|“[^”\n]{1,80}”|\([^()\n]{1,60}\)")
-_NO_PROSE = re.compile(r"^\s*(#{1,6}\s|\||\s*[-*+]\s+$|[-*+]?\s*`[^`]*`\s*$)")
+_NO_PROSE = re.compile(r"#{1,6}(?:\s|$)|\||[-*+]$|(?:[-*+]\s*)?`[^`]*`$")  # of a stripped line
 _ENDING = re.compile(r"[.!?…](?=[\s\"'»”)\]]|$)[\"'»”)\]]*|[。！？｡।؟]+[」』”]*")
 _LETTERS = re.compile(r"[^\W\d_]+(?:[̀-ͯऀ-ःऺ-ॏัิ-ฺ็-๎ً-ٟ]+[^\W\d_]*)*")
 
@@ -233,7 +233,7 @@ def _blocks(paragraph: str) -> list[tuple[int, str]]:
     """Runs of prose lines of a paragraph, with their offsets."""
     out, at, run, begun = [], 0, [], 0
     for line in paragraph.split("\n"):
-        if _NO_PROSE.match(line):
+        if _NO_PROSE.match(line.strip()):
             if run:
                 out.append((begun, "\n".join(run)))
             run = []
