@@ -8,8 +8,9 @@ by ``STEPS`` steps of the hashed number, a table of fixed size, over which the
 mean is solved.  So the shares hold for the very records drawn, not only on
 average.
 
-Unless a total is given, the mixture is the largest at which every source that
-has records can reach its share within its cap.
+Unless a total is given, the mixture is ``MARGIN`` of the largest at which every
+source that has records can reach its share within its cap, so that the scarcest source
+is drawn by a finite mean as the others are.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tokens as T
@@ -28,6 +30,8 @@ from .common import spread
 #: Steps of the hashed number by which tokens are summed.
 STEPS = 4096
 SEED = 7
+#: Share of the largest possible mixture that is drawn: at all of it the scarcest source would repeat every record up to its cap.
+MARGIN = 0.98
 NO_SOURCE = "(none)"
 
 
@@ -98,7 +102,7 @@ def plan(records: DataFrame, targets: DataFrame, total: float | None = None) ->
         a["share"], a["cap"] = float(a["share"] or 0), int(a["cap"] or 0)
     if total is None:
         reach = [a["available"] * a["cap"] / a["share"] for a in aims if a["share"] > 0 and a["available"] * a["cap"] > 0]
-        total = min(reach) if reach else 0.0
+        total = min(reach) * MARGIN if reach else 0.0
     for a in aims:
         a["wanted"] = min(total * a["share"], a["available"] * a["cap"])
         a["mean"] = solve_mean(a.pop("by_step"), a["wanted"], a["cap"])
@@ -138,8 +142,14 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, pa
 
 
 def p7_mixture(documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """The mixture in the order of ``place``.
+
+    Places are hashes, evenly spread, so the parts of the order are known beforehand and nothing is sampled for it.
+    """
     mixture, _ = mix(documents, targets)
-    return mixture.orderBy("place", "doc_id", "copy")
+    parts = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), documents.rdd.getNumPartitions())
+    part = F.least(F.floor((F.col("place") / F.lit(2.0**64) + F.lit(0.5)) * parts), F.lit(parts - 1)).cast("int")
+    return mixture.repartitionById(parts, part).sortWithinPartitions("place", "doc_id", "copy")
 
 
 def p7_shares(documents: DataFrame, targets: DataFrame) -> DataFrame:
@@ -149,6 +159,6 @@ def p7_shares(documents: DataFrame, targets: DataFrame) -> DataFrame:
     schema = "source string, target_share double, max_repeats int, available_tokens double, mean double"
     wanted = spark.createDataFrame([(a["source"], a["share"], a["cap"], a["available"], a["mean"]) for a in aims], schema)
     got = mixture.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("copies"), F.max("copy").alias("most_copies"))
-    joined = wanted.join(got, "source", "left").withColumn("all_tokens", got.agg(F.sum("tokens")).scalar())
+    joined = wanted.join(got, "source", "left").withColumn("all_tokens", F.sum("tokens").over(W.partitionBy(F.lit(0))))  # a row for each target
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return joined.select("source", "target_share", F.round(F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)), 6).alias("actual_share"), "max_repeats", "available_tokens", z("tokens"), z("copies"), z("most_copies"))
+    return joined.select("source", "target_share", F.round(F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)), 6).alias("actual_share"), "max_repeats", "available_tokens", F.round("mean", 6).alias("mean"), z("tokens"), z("copies"), z("most_copies"))

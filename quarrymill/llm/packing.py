@@ -32,6 +32,9 @@ KEEP_FILL = 0.995
 TOKENS_A_SEGMENT = 16
 #: Share of a container's tokens that may bear loss.
 LOSS_SHARE = 1.0
+#: Limits of ``p6_limits``, at which all three bind.
+TIGHT_SEGMENT = 192
+TIGHT_LOSS_SHARE = 0.9
 
 _HEADING = re.compile(rb"(?m)^[ \t]{0,3}#{1,6}[ \t][^\n]*\n?")
 
@@ -123,9 +126,12 @@ def _packer(tokens_a_segment: int, loss_share: float):
     def pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
         limits = limits_of(int(pdf["capacity"].iloc[0]), tokens_a_segment, loss_share)
         pdf = pdf.sort_values(["tokens", "doc_id", "part"], ascending=[False, True, True], kind="stable")
-        # One example that alone bears more loss than a container may still has to go somewhere: alone.
-        loss = np.minimum(pdf["loss_tokens"].to_numpy(float), limits[2])
-        pdf["bin"] = pack(np.stack([pdf["tokens"].to_numpy(float), np.ones(len(pdf)), loss], axis=1), limits)
+        sizes = np.stack([pdf["tokens"].to_numpy(float), np.ones(len(pdf)), pdf["loss_tokens"].to_numpy(float)], axis=1)
+        alone = sizes[:, 2] > limits[2]  # more loss than a container may bear: nothing else joins it
+        bins = np.zeros(len(pdf), np.int64)
+        bins[~alone] = pack(sizes[~alone], limits)
+        bins[alone] = bins.max(initial=-1, where=~alone) + 1 + np.arange(alone.sum())
+        pdf["bin"] = bins
         return pdf[["capacity", "grp", "bin", "doc_id", "part", "first_token", "tokens", "loss_tokens"]]
 
     return pack_group
@@ -162,10 +168,10 @@ def pack_documents(documents: DataFrame, capacities: list[int], path: str = T.VO
     return kept.select("capacity", name("a"), *cols).unionByName(second.select("capacity", name("b"), *cols)).unionByName(whole)
 
 
-def p6_packing(documents: DataFrame, capacities: DataFrame, path: str = T.VOCABULARY) -> DataFrame:
+def p6_packing(documents: DataFrame, capacities: DataFrame, path: str = T.VOCABULARY, tokens_a_segment: int = TOKENS_A_SEGMENT, loss_share: float = LOSS_SHARE) -> DataFrame:
     """The packing of ``documents`` for every row of ``pack_capacities`` (a few rows)."""
     sizes = [r for r in capacities.where(F.col("capacity_tokens") > 0).select("container", "capacity_tokens").distinct().collect()]
-    packed = pack_documents(documents, sorted({r["capacity_tokens"] for r in sizes}), path)
+    packed = pack_documents(documents, sorted({r["capacity_tokens"] for r in sizes}), path, tokens_a_segment, loss_share)
     names = F.broadcast(capacities.select(F.col("container").alias("kind"), F.col("capacity_tokens").cast("int").alias("capacity")).distinct())
     return packed.join(names, "capacity").select("kind", "container", "doc_id", "part", "first_token", "tokens", "loss_tokens")
 
@@ -178,3 +184,28 @@ def p6_fill(documents: DataFrame, capacities: DataFrame, path: str = T.VOCABULAR
     return bins.join(sizes, "kind").groupBy("kind").agg(
         F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.round(F.sum("used") / F.sum("capacity_tokens"), 6).alias("fill"), F.max("segments").alias("most_segments"), F.max("used").alias("most_tokens")
     )
+
+
+def p6_limits(documents: DataFrame, capacities: DataFrame, path: str = T.VOCABULARY) -> DataFrame:
+    """The packing under limits that all bind, by kind of container: how far each limit is used, and how often it is what is short.
+
+    ``fill_tokens``, ``fill_segments`` and ``fill_loss`` are what is used of each limit, ``fullest`` the mean of each
+    container's most used limit; ``by_tokens``, ``by_segments`` and ``by_loss`` count the containers by that limit.  A text
+    that bears more loss than a container may is ``alone`` in one.
+    """
+    packed = p6_packing(documents, capacities, path, TIGHT_SEGMENT, TIGHT_LOSS_SHARE)
+    bins = packed.groupBy("kind", "container").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("segments"), F.sum("loss_tokens").alias("loss"))
+    c = F.col("capacity_tokens")
+    most = {"tokens": c, "segments": F.greatest(F.lit(1), F.floor(c / TIGHT_SEGMENT)), "loss": F.greatest(F.lit(1), F.floor(c * F.lit(TIGHT_LOSS_SHARE)))}
+    sizes = F.broadcast(capacities.select(F.col("container").alias("kind"), "capacity_tokens").distinct())
+    used = bins.join(sizes, "kind").withColumns({f"u_{k}": F.col(k) / v for k, v in most.items()})
+    used = used.withColumn("top", F.greatest(*[F.col(f"u_{k}") for k in most]))
+    within = F.col("u_loss") <= 1
+    return used.groupBy("kind").agg(
+        F.count("*").alias("containers"),
+        *[F.round(F.avg(F.when(within, F.col(f"u_{k}"))), 4).alias(f"fill_{k}") for k in most],
+        F.round(F.avg(F.when(within, F.col("top"))), 4).alias("fullest"),
+        *[F.count_if(within & (F.col(f"u_{k}") == F.col("top"))).alias(f"by_{k}") for k in most],
+        F.count_if(~within).alias("alone"),
+        F.max(F.when(~within, F.col("segments"))).alias("most_alone"),
+    )

@@ -50,6 +50,10 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.p6_fill(read(spark, d, "documents"), read(spark, d, "pack_capacities"))
 
 
+def p6_limits(spark: SparkSession, d: str) -> DataFrame:
+    return packing.p6_limits(read(spark, d, "documents"), read(spark, d, "pack_capacities"))
+
+
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.p7_mixture(read(spark, d, "documents"), read(spark, d, "mix_targets"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_files": p5_files,
     "p6_packing": p6_packing,
     "p6_fill": p6_fill,
+    "p6_limits": p6_limits,
     "p7_mixture": p7_mixture,
     "p7_shares": p7_shares,
     "p8_found": p8_found,

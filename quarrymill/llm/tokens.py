@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -12,7 +13,8 @@ import numpy as np
 VOCABULARY = os.environ.get("TOKENIZER_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 #: Fixed value: how byte-level BPE of this family cuts a text into words before it merges bytes.
 WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Longer runs of letters are encoded piece by piece: merging one run takes time that grows faster than its length.
+#: Longer texts are encoded in parts that end where a word does.  Only a single word above this length is itself cut: merging its bytes takes time
+#: that grows faster than its length.
 LONGEST = 100_000
 
 
@@ -39,16 +41,29 @@ def encode(text: str, path: str = VOCABULARY) -> np.ndarray:
     e = tokenizer(path)
     if len(text) <= LONGEST:
         return np.array(e.encode_ordinary(text), np.int64)
-    # Whole text, in parts cut at white space where there is some.
-    parts, at = [], 0
-    while at < len(text):
-        end = min(len(text), at + LONGEST)
-        if end < len(text):
-            space = text.rfind(" ", at + LONGEST // 2, end)
-            end = space if space > at else end
-        parts.append(np.array(e.encode_ordinary(text[at:end]), np.int64))
-        at = end
-    return np.concatenate(parts)
+    return np.concatenate([np.array(e.encode_ordinary(text[a:b]), np.int64) for a, b in parts(text)])
+
+
+def parts(text: str, longest: int = LONGEST) -> Iterator[tuple[int, int]]:
+    """(start, end) of parts of at most ``longest`` characters, cut only where the tokenizer's own words end."""
+    begin = end = 0
+    for m in _words().finditer(text):
+        if m.end() - begin > longest and end > begin:
+            yield begin, end
+            begin = end
+        while m.end() - begin > longest:  # one word
+            yield begin, begin + longest
+            begin += longest
+        end = m.end()
+    if end > begin:
+        yield begin, end
+
+
+@lru_cache(1)
+def _words():
+    import regex
+
+    return regex.compile(WORDS)
 
 
 def count(text: str | None, path: str = VOCABULARY) -> int:
