@@ -23,6 +23,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -49,8 +50,9 @@ _LINKS = re.compile(r"\[[^\]]*\]\([^)]*\)")
 _COUNTED = re.compile(r"^\s*(?:[-*+•]\s+)?.{1,80}\(\d+\)\s*$")
 _SEPARATED = re.compile(r"\s(?:\||•|·)\s")
 _TRAIL = re.compile(r"\s(?:›|>|/|»|→)\s")
-_ENDS = re.compile(r"[.!?:;…。！？][\"'»”)\]]*\s*$")
+_ENDS = ".!?:;…。！？"
 _WORD = re.compile(r"[^\W\d_]+")
+_DATE = re.compile(r"\b\d{1,4}[/.-]\d{1,2}[/.-]\d{1,4}\b")
 
 
 @dataclass(slots=True)
@@ -61,6 +63,7 @@ class Line:
     block: int
     run: int
     words: list[str]
+    closed: bool  # by a mark
 
 
 def parse(body: str) -> list[Line]:
@@ -82,40 +85,50 @@ def parse(body: str) -> list[Line]:
         elif mark:
             form, fence = "code", mark[1]
         else:
-            form = _form(text)
+            form = ""
+        words, closed = _WORD.findall(text.lower()), _closed(text)
+        form = form or _form(text, len(words), closed)
         last = out[-1] if out else None
         if blank and last and not (form == "code" and last.form == "code"):
             block += 1
         if last and (block != last.block or not _same_run(last, form, out)):
             run += 1
         blank = False
-        out.append(Line(no, text, form, block, run, _WORD.findall(text.lower())))
+        out.append(Line(no, text, form, block, run, words, closed))
     return out
 
 
-def _form(text: str) -> str:
-    if text.startswith("#"):
+def _closed(text: str) -> bool:
+    return text.rstrip("\"'»”)]")[-1:] in _ENDS and text.rstrip("\"'»”)]") != ""
+
+
+def _form(text: str, words: int, closed: bool) -> str:
+    first = text[0]
+    if first == "#":
         return "heading"
-    if text.startswith("|"):
+    if first == "|":
         return "table"
-    if text.startswith(">"):
+    if first == ">":
         return "quote"
-    if text[0] in "©←→↑↓⇧" or text.startswith(("(c) ", "(C) ")):
+    if first in "©←→↑↓⇧" or text.startswith(("(c) ", "(C) ")):
         return "signed"
-    if _LINK_ONLY.match(text):
-        return "link"
-    words = len(_WORD.findall(text))
-    if len(_LINKS.findall(text)) > 1 and words - len(_WORD.findall(" ".join(_LINKS.findall(text)))) < 3:
-        return "links"
-    if _COUNTED.match(text) and _ITEM.match(text):
+    if "](" in text:
+        if _LINK_ONLY.match(text):
+            return "link"
+        links = _LINKS.findall(text)
+        if len(links) > 1 and words - len(_WORD.findall(" ".join(links))) < 3:
+            return "links"
+    item = _ITEM.match(text)
+    if item and text[-1] == ")" and _COUNTED.match(text):
         return "counted"
-    if _ITEM.match(text):
-        return "item" if words > 4 or _ENDS.search(text) else "short-item"
-    if len(_SEPARATED.findall(text)) >= 1 and words < 40:
-        return "separated"
-    if len(_TRAIL.findall(text)) >= 1 and not _ENDS.search(text) and words < 40:
-        return "trail"
-    return "prose" if _ENDS.search(text) and words >= 4 or words > 12 else "short"
+    if item:
+        return "item" if words > 4 or closed else "short-item"
+    if words < 40:
+        if _SEPARATED.search(text):
+            return "separated"
+        if not closed and _TRAIL.search(text):
+            return "trail"
+    return "prose" if closed and words >= 4 or words > 12 else "short"
 
 
 def _same_run(last: Line, form: str, out: list[Line]) -> bool:
@@ -144,46 +157,91 @@ def masked(text: str) -> str:
     return re.sub(r"\d+", "0", text.casefold())
 
 
-def features(lines: list[Line]) -> list[list[str]]:
+#: Slots of a page's lines: (slots, the line that each belongs to).
+Slots = tuple[np.ndarray, np.ndarray]
+
+
+@lru_cache(1 << 18)
+def _slot(feature: str) -> int:
+    return maxent.slot(feature, SLOTS)
+
+
+@lru_cache(1 << 18)
+def _word(word: str) -> int:
+    return xxhash.xxh64_intdigest(word)
+
+
+def _word_slots(lines: list[Line]) -> Slots:
+    """Slots of the words of each line, each once, and of its pairs of neighbouring words; code has none."""
+    own = [(i, l.words) for i, l in enumerate(lines) if l.form != "code" and l.words]
+    words = np.array([_word(w) for _, ws in own for w in ws], np.uint64)
+    owner = np.repeat(np.array([i for i, _ in own], np.int64), [len(ws) for _, ws in own])
+    single = _spread(words) + (owner << 32)
+    pairs = (owner[1:] == owner[:-1]) if len(owner) else np.zeros(0, bool)
+    double = (_spread(words[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ words[1:]) + (owner[1:] << 32))[pairs]
+    both = np.sort(np.concatenate([single, double]))
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+    return (both & 0xFFFFFFFF).astype(np.int32), both >> 32
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h >> np.uint64(40)) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def line_slots(lines: list[Line]) -> Slots:
     """Features of each line by itself and its neighbours: its words, its form, what leads its run in."""
-    out = []
+    rows: list[list[int]] = []
     n = len(lines)
+    leads = lead_lines(lines)
+    texts = [masked(l.text) if l.form != "code" else "" for l in lines]
     for i, l in enumerate(lines):
         prev = lines[i - 1].form if i else "start"
         nxt = lines[i + 1].form if i + 1 < n else "stop"
         size = min(len(l.words), 14)
-        f = [
-            "bias",
-            f"form={l.form}",
-            f"size={size}",
-            f"form+size={l.form}+{size}",
-            f"prev+form+next={prev}+{l.form}+{nxt}",
-            f"alone={(i == 0 or lines[i - 1].block != l.block) and (i + 1 == n or lines[i + 1].block != l.block)}+{l.form}",
-            f"closed={bool(_ENDS.search(l.text))}+{l.form}",
-        ]
+        alone = (i == 0 or lines[i - 1].block != l.block) and (i + 1 == n or lines[i + 1].block != l.block)
+        f = ["bias", f"form={l.form}", f"size={size}", f"form+size={l.form}+{size}", f"prev+form+next={prev}+{l.form}+{nxt}", f"alone={alone}+{l.form}", f"closed={l.closed}+{l.form}"]
         if l.form != "code":
-            f.append(f"line={masked(l.text)}")
-            f += [f"w={w}" for w in dict.fromkeys(l.words[:24])]
-            f += [f"w2={a} {b}" for a, b in zip(l.words[:12], l.words[1:13])]
-            for sign in "©←→|•·›":
-                if sign in l.text:
-                    f.append(f"sign={sign}")
-            if re.search(r"\b\d{1,4}[/.-]\d{1,2}[/.-]\d{1,4}\b", l.text):
+            f += [f"sign={sign}" for sign in "©←→|•·›" if sign in l.text]
+            if _DATE.search(l.text):
                 f.append(f"date+short={size < 8}")
-            lead = _lead(lines, i)
+            lead = leads[i]
             if lead < i:
-                f.append(f"lead={masked(lines[lead].text)}" if len(lines[lead].words) < 6 else "lead=long")
-                f += [f"leadw={w}" for w in lines[lead].words[:4]] if len(lines[lead].words) < 6 else []
+                few = len(lines[lead].words) < 6
+                f.append(f"lead={texts[lead]}" if few else "lead=long")
+                f += [f"leadw={w}" for w in lines[lead].words] if few else []
                 f.append(f"lead+form={lines[lead].form}+{l.form}")
-        out.append(f)
-    return out
+        own = [_slot(x) for x in f]
+        if l.form != "code":
+            own.append(maxent.slot(f"line={texts[i]}", SLOTS))
+        rows.append(own)
+    return _joined(_flat(rows), _word_slots(lines))
 
 
-def _lead(lines: list[Line], i: int) -> int:
-    """Index of the first line of a line's run."""
-    while i and lines[i - 1].run == lines[i].run:
-        i -= 1
-    return i
+def _flat(rows: list[list[int]]) -> Slots:
+    return np.array([x for r in rows for x in r], np.int32), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+
+
+def _joined(a: Slots, b: Slots) -> Slots:
+    return np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+
+
+def _odds(slots: Slots, weights: np.ndarray, n: int) -> np.ndarray:
+    """Log odds of each of ``n`` lines."""
+    return np.bincount(slots[1], weights=weights[slots[0]], minlength=n)
+
+
+def _by_line(slots: Slots, n: int) -> list[np.ndarray]:
+    order = np.argsort(slots[1], kind="stable")
+    return np.split(slots[0][order], np.cumsum(np.bincount(slots[1], minlength=n))[:-1])
+
+
+def lead_lines(lines: list[Line]) -> list[int]:
+    """Index of the first line of each line's run."""
+    out: list[int] = []
+    for i, l in enumerate(lines):
+        out.append(out[-1] if i and lines[i - 1].run == l.run else i)
+    return out
 
 
 def zones(lines: list[Line], title: int | None, first_odds: np.ndarray) -> list[list[str]]:
@@ -347,9 +405,10 @@ def label_pages(pages: list[tuple[str | None, str | None, str]], counts: LineCou
             yield lines, title, [0] * len(lines)
             continue
         labels: list[int | None] = []
+        leads = lead_lines(lines)
         for i, l in enumerate(lines):
             text = _bare(l.text)
-            lead = _lead(lines, i)
+            lead = leads[i]
             boxed = lead < i and lines[lead].form == "short" and l.form in ("link", "links", "counted", "short", "short-item") and furniture(_bare(lines[lead].text))
             if (title is not None and i < title) or boxed:
                 labels.append(1)
@@ -370,31 +429,28 @@ def _bare(text: str) -> str:
     return masked(text.lstrip("#").strip())
 
 
-def _slots(features_of_lines: list[list[str]]) -> list[np.ndarray]:
-    return [np.array([maxent.slot(t, SLOTS) for t in f], np.int32) for f in features_of_lines]
-
-
-def _second(lines: list[Line], title: int | None, plain: list[np.ndarray], first_odds: np.ndarray) -> list[np.ndarray]:
-    return [np.concatenate([a, b]) for a, b in zip(plain, _slots(zones(lines, title, first_odds)))]
+def _second(lines: list[Line], title: int | None, plain: Slots, first_odds: np.ndarray) -> Slots:
+    return _joined(plain, _flat([[_slot(x) for x in f] for f in zones(lines, title, first_odds)]))
 
 
 def fit(pages: list[tuple[str | None, str | None, str]], counts: LineCounts | None = None) -> ContentModel:
     labelled, plain = [], []
     for lines, title, labels in label_pages(pages, counts):
-        plain.append(_slots(features(lines)))
+        plain.append(line_slots(lines))
         for l in lines:  # from here on only their forms and places are asked for
             l.text, l.words = "", []
         labelled.append((lines, title, labels))
     known = [(k, i, label) for k, (_, _, labels) in enumerate(labelled) for i, label in enumerate(labels) if label is not None]
-    first = maxent.fit([plain[k][i] for k, i, _ in known], [label for _, _, label in known], SLOTS, epochs=4)
+    rows = lambda slots: [own[i] for (_, _, labels), x in zip(labelled, slots) for own in [_by_line(x, len(labels))] for i, label in enumerate(labels) if label is not None]
+    first = maxent.fit(rows(plain), [label for _, _, label in known], SLOTS, epochs=4)
     full = plain
     for k, (lines, title, _) in enumerate(labelled):  # in place: one copy of the features at a time
-        full[k] = _second(lines, title, plain[k], maxent.score(plain[k], first))
-    weights = maxent.fit([full[k][i] for k, i, _ in known], [label for _, _, label in known], SLOTS, epochs=4)
+        full[k] = _second(lines, title, plain[k], _odds(plain[k], first, len(lines)))
+    weights = maxent.fit(rows(full), [label for _, _, label in known], SLOTS, epochs=4)
     # The potentials are counted where labels are known; unknown lines take the classifier's label.
     root, page_block, block_run, run_line = np.ones(2), np.ones((2, 2)), np.ones((2, 2)), np.ones((2, 2))
     for (lines, title, labels), x in zip(labelled, full):
-        guess = maxent.score(x, weights) > 0
+        guess = _odds(x, weights, len(lines)) > 0
         final = [int(g) if l is None else l for l, g in zip(labels, guess)]
         runs, blocks = defaultdict(list), defaultdict(list)
         for l, v in zip(lines, final):
@@ -431,9 +487,9 @@ def outside_lines(bodies: list[str | None], titles: list[str | None], model: Con
         if not lines:
             out.append([])
             continue
-        plain = _slots(features(lines))
-        full = _second(lines, title_at(lines, title if isinstance(title, str) else None), plain, maxent.score(plain, model.first))
-        p = model.marginals(lines, maxent.score(full, model.weights))
+        plain = line_slots(lines)
+        full = _second(lines, title_at(lines, title if isinstance(title, str) else None), plain, _odds(plain, model.first, len(lines)))
+        p = model.marginals(lines, _odds(full, model.weights, len(lines)))
         out.append([l.no for l, x in zip(lines, p) if x > 0.5])
     return out
 
@@ -462,8 +518,8 @@ def main_bodies(documents: DataFrame, model: ContentModel) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            outside = outside_lines(list(b["body"]), list(b["title"]), shipped.value)
-            kept = [None if not isinstance(t, str) else "\n".join(l for i, l in enumerate(t.split("\n"), 1) if i not in set(o)).strip("\n") for t, o in zip(b["body"], outside)]
+            outside = map(set, outside_lines(list(b["body"]), list(b["title"]), shipped.value))
+            kept = [None if not isinstance(t, str) else "\n".join(l for i, l in enumerate(t.split("\n"), 1) if i not in o).strip("\n") for t, o in zip(b["body"], outside)]
             yield pd.DataFrame({"source_id": b["source_id"], "main_body": kept})
 
     found = documents.where(F.col("source_id").isNotNull()).select("source_id", "title", "body").mapInPandas(run, "source_id string, main_body string")
@@ -472,3 +528,8 @@ def main_bodies(documents: DataFrame, model: ContentModel) -> DataFrame:
 
 def p1_found(documents: DataFrame) -> DataFrame:
     return find_outside(documents, fit_model(documents))
+
+
+def p1_bodies(documents: DataFrame) -> DataFrame:
+    """``source_id, main_body``: every page's main body."""
+    return main_bodies(documents, fit_model(documents))

@@ -13,38 +13,44 @@ def slot(feature: str, slots: int) -> int:
 def fit(x: list, y: list[int], slots: int, *, epochs: int = 12, rate: float = 0.3, decay: float = 1e-5, seed: int = 11) -> np.ndarray:
     """Weights by AdaGrad over minibatches; both classes weigh the same.
 
-    Rows of ``x`` may differ in length: slot ``slots`` is added as padding and always weighs 0.
-    No rows give weights of 0.
+    Rows of ``x`` (slots) may differ in length.  No rows give weights of 0.
     """
-    weights = np.zeros(slots + 1)
+    weights = np.zeros(slots)
     if not x:
         return weights
-    a, b = padded(x, slots), np.array(y, float)
+    flat, size = flattened(x)
+    begin = np.cumsum(size) - size
+    b = np.array(y, float)
     share = b.mean()
     w = np.where(b == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
-    square = np.full(slots + 1, 1e-6)
+    square = np.full(slots, 1e-6)
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         order = rng.permutation(len(b))
         for at in range(0, len(b), 256):
             i = order[at : at + 256]
-            p = 1 / (1 + np.exp(-np.clip(weights[a[i]].sum(axis=1), -30, 30)))
-            touched, where = np.unique(a[i], return_inverse=True)
-            g = np.bincount(where.ravel(), weights=np.repeat((p - b[i]) * w[i] / len(i), a.shape[1]), minlength=len(touched)) + decay * weights[touched]
+            n = size[i]
+            own = flat[np.repeat(begin[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            row = np.repeat(np.arange(len(i)), n)
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=weights[own], minlength=len(i)), -30, 30)))
+            g = np.bincount(own, weights=((p - b[i]) * w[i] / len(i))[row], minlength=slots)
+            touched = np.flatnonzero(np.bincount(own, minlength=slots))
+            g = g[touched] + decay * weights[touched]
             square[touched] += g * g
             weights[touched] -= rate * g / np.sqrt(square[touched])
-            weights[slots] = 0
     return weights
 
 
-def padded(x: list, slots: int) -> np.ndarray:
-    width = max(map(len, x))
-    out = np.full((len(x), width), slots, np.int32)
-    for i, row in enumerate(x):
-        out[i, : len(row)] = row
-    return out
+def flattened(x: list) -> tuple[np.ndarray, np.ndarray]:
+    """(all slots one after another, how many each row has)."""
+    size = np.fromiter(map(len, x), np.int64, len(x))
+    flat = np.concatenate(x) if isinstance(x[0], np.ndarray) else np.fromiter((s for row in x for s in row), np.int64, size.sum())
+    return flat, size
 
 
 def score(x: list, weights: np.ndarray) -> np.ndarray:
     """Log odds of class 1."""
-    return weights[padded(x, len(weights) - 1)].sum(axis=1) if x else np.zeros(0)
+    if not x:
+        return np.zeros(0)
+    flat, size = flattened(x)
+    return np.bincount(np.repeat(np.arange(len(x)), size), weights=weights[flat], minlength=len(x))

@@ -14,6 +14,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return main_content.p1_found(read(spark, d, "kb_documents"))
 
 
+def p1_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return main_content.p1_bodies(read(spark, d, "kb_documents"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return source_files.p2_found(read(spark, d, "chunks"))
 
@@ -68,6 +72,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p1_bodies": p1_bodies,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_languages": p3_languages,
