@@ -23,7 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -56,7 +56,9 @@ _ITEM = re.compile(r"[ \t]*(?:[-*+•‣·]|\d{1,3}[.)]|[a-zA-Z][)])[ \t]+\S")
 _TOKEN_BEFORE = re.compile(r"\S*$")
 _TOKEN_AFTER = re.compile(r"[\s\"'«»„“”‘(\[¿¡「『（]*([^\s]+)")
 _OPENERS = {"(": ")", "[": "]", "（": "）", "「": "」", "『": "』", "【": "】", "«": "»", "„": "“", "‹": "›"}
+_CLOSES = {c: o for o, c in _OPENERS.items()}
 _DIGITS = re.compile(r"\d")
+_SPACE = re.compile(r"\s*")
 
 
 def _thai(ch: str) -> bool:
@@ -68,27 +70,34 @@ def nested(block: str) -> list[tuple[int, int]]:
 
     A mark that has no partner opens nothing.
     """
-    spans, stack = [], []
+    spans: list[tuple[int, int]] = []
+    stack: list[tuple[str, int]] = []
+    open_ = Counter()  # of each mark on the stack
+
+    def push(ch: str, at: int) -> None:
+        stack.append((ch, at))
+        open_[ch] += 1
+
+    def close(ch: str, at: int) -> None:
+        while True:
+            o, begun = stack.pop()
+            open_[o] -= 1
+            if o == ch:
+                spans.append((begun, at))
+                return
+
     for m in re.finditer(r"[()\[\]（）「」『』【】«»„“”‹›\"]", block):
         ch, at = m[0], m.start()
-        if ch == '"' or (ch == "”" and not any(o == "“" for o, _ in stack)) or (ch == "“" and not any(o == "„" for o, _ in stack)):
-            if ch == '"':
-                if any(o == '"' for o, _ in stack):
-                    while stack and stack[-1][0] != '"':
-                        stack.pop()
-                    spans.append((stack.pop()[1], at))
-                else:
-                    stack.append((ch, at))
-            elif ch == "“":
-                stack.append((ch, at))
+        if ch == '"':
+            close(ch, at) if open_[ch] else push(ch, at)
+        elif ch == "“" and not open_["„"]:
+            push(ch, at)
         elif ch in _OPENERS:
-            stack.append((ch, at))
+            push(ch, at)
         else:
-            wanted = {"”": "“"}.get(ch) or next((o for o, c in _OPENERS.items() if c == ch), None)
-            if any(o == wanted for o, _ in stack):
-                while stack[-1][0] != wanted:
-                    stack.pop()
-                spans.append((stack.pop()[1], at))
+            wanted = "“" if ch == "”" else _CLOSES[ch]
+            if open_[wanted]:
+                close(wanted, at)
     spans.sort()
     out: list[tuple[int, int]] = []
     for a, b in spans:
@@ -218,6 +227,10 @@ class Statistics:
     ends: np.ndarray
     starts: np.ndarray
     follows: np.ndarray | None = None  # without it, a token that starts any paragraph does start them
+    known: dict = field(default_factory=dict, compare=False, repr=False)
+
+    def __reduce__(self):
+        return Statistics, (self.seen, self.ends, self.starts, self.follows)  # what is remembered stays at home
 
     def ending(self, before: str) -> tuple[int, int]:
         """(paragraphs that the token ends, its occurrences before a mark)."""
@@ -277,31 +290,48 @@ def _level(part: int, whole: int) -> str:
     return "never" if _never(part, whole) else "rare" if part < whole * 0.02 else "some" if part < whole * 0.2 else "often"
 
 
-def features(c: Candidate, st: Statistics) -> list[str]:
-    starts, around = st.starting(c.after)
-    ending = _level(*st.ending(c.before + c.mark))
+def _of_before(before: str, mark: str, st: Statistics) -> tuple[str, str, str, list[int]]:
+    """(kind, how often it ends paragraphs, script, slots) of the token before a mark."""
+    ending = _level(*st.ending(before + mark))
+    kind = "num" if before.isdigit() else "letter" if len(before) == 1 else "dotted" if "." in before else "digits" if any(map(str.isdigit, before)) else "word"
+    own = ("bias", f"mark={mark}", f"kind={kind}", f"len={min(len(before), 8)}", f"case={_shape(before)}", f"ending={ending}", f"before={before}{mark}")
+    return kind, ending, _script(before[-1:]), [maxent.slot(f, WEIGHT_SLOTS) for f in own]
+
+
+def _of_after(after: str, st: Statistics) -> tuple[str, str, str, list[int]]:
+    """(shape, how often it starts paragraphs, script, slots) of the token after a mark."""
+    starts, around = st.starting(after)
     starting = "never" if _never(starts, around) else "few" if starts < RELIABLE else "often"
-    shape = _shape(c.after)
-    kind = "num" if c.before.isdigit() else "letter" if len(c.before) == 1 else "dotted" if "." in c.before else "digits" if any(map(str.isdigit, c.before)) else "word"
-    return [
-        "bias",
-        f"mark={c.mark}",
-        f"gap={c.gap}",
-        f"kind={kind}",
-        f"len={min(len(c.before), 8)}",
-        f"case={_shape(c.before)}",
-        f"shape={shape}",
-        f"script={_script(c.before[-1:])}>{_script(c.after[:1])}",
-        f"ending={ending}",
-        f"starting={starting}",
+    shape = _shape(after)
+    own = (f"shape={shape}", f"starting={starting}", f"starting+shape={starting}+{shape}", f"after={after}")
+    return shape, starting, _script(after[:1]), [maxent.slot(f, WEIGHT_SLOTS) for f in own]
+
+
+@lru_cache(1 << 14)
+def _of_both(mark: str, gap: str, kind: str, ending: str, script: str, shape: str, starting: str, next_script: str) -> list[int]:
+    own = (
+        f"gap={gap}",
+        f"script={script}>{next_script}",
         f"ending+starting={ending}+{starting}",
-        f"starting+shape={starting}+{shape}",
         f"ending+starting+shape={ending}+{starting}+{shape}",
-        f"mark+shape+starting={c.mark}+{shape}+{starting}",
+        f"mark+shape+starting={mark}+{shape}+{starting}",
         f"kind+shape+starting={kind}+{shape}+{starting}",
-        f"before={c.before}{c.mark}",
-        f"after={c.after}",
-    ]
+    )
+    return [maxent.slot(f, WEIGHT_SLOTS) for f in own]
+
+
+#: Tokens whose slots a task remembers; it forgets them all above that.
+_REMEMBERED = 1 << 18
+
+
+def features(c: Candidate, st: Statistics) -> list[int]:
+    """Slots of a candidate's features.  Those of a token alone are worked out once a task."""
+    key = (c.before, c.mark)
+    if len(st.known) > _REMEMBERED:
+        st.known.clear()
+    kind, ending, script, own = st.known.get(key) or st.known.setdefault(key, _of_before(c.before, c.mark, st))
+    shape, starting, next_script, other = st.known.get(c.after) or st.known.setdefault(c.after, _of_after(c.after, st))
+    return own + other + _of_both(c.mark, c.gap, kind, ending, script, shape, starting, next_script)
 
 
 def silver(c: Candidate, following: str | None, st: Statistics) -> tuple[int, Candidate] | None:
@@ -334,14 +364,10 @@ class SentenceModel:
     def boundaries(self, found: list[Candidate]) -> np.ndarray:
         if not found:
             return np.zeros(0, bool)
-        x = [[_weight_slot(f) for f in features(c, self.statistics)] for c in found]
+        x = [features(c, self.statistics) for c in found]
         return maxent.score(x, self.weights) + np.array([prior(c) for c in found]) > 0
 
 
-def _weight_slot(feature: str) -> int:
-    return maxent.slot(feature, WEIGHT_SLOTS)
-
-
 def fit_weights(texts: list[str], st: Statistics) -> np.ndarray:
     """Weights from the reliable candidates of ``texts``."""
     x, y = [], []
@@ -353,7 +379,7 @@ def fit_weights(texts: list[str], st: Statistics) -> np.ndarray:
             for c in own:
                 if s := silver(c, following, st):
                     y.append(s[0])
-                    x.append([_weight_slot(f) for f in features(s[1], st)])
+                    x.append(features(s[1], st))
     return maxent.fit(x, y, WEIGHT_SLOTS)
 
 
@@ -402,10 +428,12 @@ def split_all(texts: list[str | None], model: SentenceModel) -> list[list[tuple[
 def thai_ends(block: str) -> list[int]:
     """Where a Thai sentence ends: a space between Thai letters, or a line break beside one."""
     out = []
-    spans = None
+    spans, k = None, 0
     for m in re.finditer(r"(?<=[฀-๿])\s+(?=[฀-๿])|(?<=[฀-๿])[^\S\n]*\n\s*(?=\S)|(?<=\S)[^\S\n]*\n\s*(?=[฀-๿])", block):
         spans = nested(block) if spans is None else spans
-        if not any(a < m.start() < b for a, b in spans):
+        while k < len(spans) and spans[k][1] <= m.start():
+            k += 1
+        if k == len(spans) or spans[k][0] >= m.start():
             out.append(m.start())
     return out
 
