@@ -106,9 +106,15 @@ def detect_language(text: Column, least: int = 8, ratio: float = 1.5) -> Column:
     return F.when(it + en < least, "und").when(it >= en * F.lit(ratio), "it").when(en >= it * F.lit(ratio), "en").otherwise("und")
 
 
+def utf16_length(text: Column) -> Column:
+    return F.octet_length(F.encode(text, "UTF-16BE")) / F.lit(2)
+
+
 def estimate_tokens(text: Column, code: Column | None = None) -> Column:
-    prose = F.ceil(F.length(text) / F.lit(V.CHARS_PER_TOKEN))
-    return prose if code is None else F.when(code, F.ceil(F.length(text) / F.lit(V.CODE_CHARS_PER_TOKEN))).otherwise(prose)
+    """Tokens by the length in UTF-16 units."""
+    n = utf16_length(text)
+    prose = F.ceil(n / F.lit(V.CHARS_PER_TOKEN))
+    return prose if code is None else F.when(code, F.ceil(n / F.lit(V.CODE_CHARS_PER_TOKEN))).otherwise(prose)
 
 
 def heading_text(text: Column) -> Column:

@@ -70,14 +70,30 @@ OTHER_RELATION_WEIGHT, INCOMING_PENALTY, MAX_HUB, RELATED_LIMIT = 0.7, 0.05, 60,
 DOCUMENT_RELATIONS = ("links_to", "child_of", "described_by", "documents", "related_wiki")
 
 #: Phrases by which an answer declines to answer, English then Italian.
+ABSTENTION_SUBJECTS = (
+    "(knowledge base|kb|provided (context|documents|documentation|sources)|available (context|documents|documentation|sources)|context|documentation|documents|sources)",
+    "(knowledge base|kb|base di conoscenza|documentazione|contesto|documenti|fonti)( (fornit[ai]|fornit[ei]|disponibil[ei]|a disposizione))?",
+)
 ABSTENTIONS = (
-    r"\b(?:do(?:es)? not|don't|doesn't|cannot|can't|could not|couldn't) (?:contain|cover|include|mention|provide|find|answer)\b",
-    r"\bno (?:relevant )?(?:information|documentation|mention|evidence)\b",
-    r"\bnot (?:documented|covered|mentioned|specified|available)\b",
-    r"\bunable to (?:find|answer)\b",
-    r"\bnon (?:contiene|contengono|copre|menziona|trovo|ho trovato|è documentat[oa]|sono documentat[ie]|posso rispondere)\b",
-    r"\bnessuna (?:informazione|documentazione|menzione)\b",
-    r"\bnon (?:è|sono) (?:specificat|menzionat|disponibil)",
+    rf"\bthe {ABSTENTION_SUBJECTS[0]} (does not|doesn't|do not|don't|did not|didn't) (cover|contain|include|mention|address|provide|have|describe)",
+    rf"\b(not|isn't|is not|aren't|are not) (covered|documented|available|found|mentioned|present|addressed|described) (in|by) the {ABSTENTION_SUBJECTS[0]}",
+    r"\bthere is (no|not enough|insufficient) (information|documentation|detail)s? (in|about|on)\b",
+    r"\b(no|not enough|insufficient) (information|details|documentation) (is |was |are |were )?(available|found|provided) (in|about|on)\b",
+    r"could not find anything relevant",
+    r"\b(cannot|can't|could not|couldn't|do not|don't|did not|didn't) find (any |no )?(information|mention|reference|evidence|anything|details)\b",
+    r"\bthere is no (mention|reference|record|indication|information) (of|about|on)\b",
+    rf"\b(cannot|can't|could not|couldn't|do not|don't|did not|didn't) find\b[^.]{{0,90}}\bin (the|any) {ABSTENTION_SUBJECTS[0]}",
+    rf"\bno (mention|reference|indication) of\b.{{0,80}}\bin the {ABSTENTION_SUBJECTS[0]}",
+    r"\bnon (trovo|risulta|risultano|compare|compaiono) (alcun|alcuna|nessun|nessuna|traccia|menzione)\b",
+    r"\bnon (viene|vengono) (menzionat|citat|indicat|riportat)",
+    r"\b(outside|beyond) the scope of the (knowledge base|documentation|context)",
+    rf"\b(la|le|il|i|nella|nei)( (mia|mie|mio|miei|nostra|nostre|nostro|nostri))? {ABSTENTION_SUBJECTS[1]} non (copre|coprono|contiene|contengono|include|includono|menziona|menzionano|tratta|trattano|fornisce|forniscono|riporta|riportano|descrive|descrivono)",
+    rf"\bnon (è|sono|viene|vengono) (coperto|coperta|coperti|coperte|trattato|trattata|trattati|trattate|documentato|documentata|documentati|documentate|presente|presenti|disponibile|disponibili|menzionato|menzionata) (nella|nel|nei|nelle|dalla|dal|dai|dalle) {ABSTENTION_SUBJECTS[1]}",
+    r"\bnessuna informazione\b",
+    r"\b(cannot|can't|could not|couldn't|am not able to) answer (this|that|your) question\b",
+    r"\bnon (posso|riesco a|sono in grado di) rispondere\b",
+    r"\bnon (ho|abbiamo) trovato\b",
+    r"\bnon (sono|ci sono) (informazioni|dettagli|riferimenti) (su|riguardo|in merito|sul|sulla|sui)\b",
 )
 
 #: Language tags of source files by extension.
@@ -96,3 +112,6 @@ DECISION_STATUS = (
     ("proposed", r"propos|draft|bozza|in review|under review|in revisione|in discussione|\brfc\b|\bwip\b|pending|in attesa"),
     ("accepted", r"accept|approv|accettat|adopt|adottat|in force|in vigore|\bactive\b|attiv|decided|decis|implemented|implementat|final"),
 )
+
+#: Lines that hold nothing but links, images or addresses.
+LINK_ONLY = r"(?i)^\s*(?:[-*]\s*)?(?:\[[^\]]*\]\([^)]*\)\s*|\[image:[^\]]*\]\s*|<https?:[^>]+>\s*|https?://\S+\s*)+$"

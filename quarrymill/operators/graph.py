@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..session import shared_folder
+from . import links
 
 
 def team_key(owner: Column) -> Column:
@@ -21,22 +23,76 @@ def ancestor_prefixes(path: Column) -> Column:
     return F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).otherwise(F.array().cast("array<string>"))
 
 
-def hub_edges(docs: DataFrame, key: str = "source_id") -> DataFrame:
+def meta(name: str) -> Column:
+    """A value of the frontmatter, null when blank."""
+    return F.nullif(F.trim(F.col("frontmatter")[name]), F.lit(""))
+
+
+def meta_list(name: str) -> Column:
+    """The values of a list in the frontmatter: a JSON array, or values between commas or semicolons."""
+    value = meta(name)
+    parts = F.when(value.startswith("["), F.from_json(value, "array<string>")).otherwise(F.split(value, "[,;]"))
+    return F.filter(F.transform(F.coalesce(parts, F.array().cast("array<string>")), F.trim), lambda x: x != "")
+
+
+def hub_edges(docs: DataFrame, key: str = "source_id", places: DataFrame | None = None) -> DataFrame:
     """``src, dst, relation, label`` from documents' metadata (``frontmatter``, ``rel_path``) to hubs.
 
-    Spaces, repositories, owners and every folder on the path; one projection, one explode.
+    Spaces, repositories, owners, entities, tags (lower case), every prefix of the ancestor chain in a space and every folder on
+    the path; one projection, one explode.  ``places`` (``key``, area, subarea, module) adds the hierarchy's levels.
     """
-    fm = lambda k: F.nullif(F.trim(F.col("frontmatter")[k]), F.lit(""))
     edge = lambda ok, dst, rel, label: F.when(ok.isNotNull(), F.struct(dst.alias("dst"), F.lit(rel).alias("relation"), label.alias("label")))
-    folders = F.transform(ancestor_prefixes(F.regexp_replace(F.coalesce("rel_path", F.lit("")), r"/?[^/]*$", "")), lambda p: F.struct(F.concat(F.lit("tree:"), p).alias("dst"), F.lit("under").alias("relation"), p.alias("label")))
+    hub = lambda kind, name, rel, label: edge(name, F.concat(F.lit(f"{kind}:"), name), rel, label)
+    folders = F.transform(ancestor_prefixes(F.regexp_replace(F.coalesce("rel_path", F.lit("")), r"/?[^/]*$", "")), lambda p: hub("tree", p, "under", p))
+    tags = F.transform(F.array_distinct(F.transform(meta_list("tags"), F.lower)), lambda t: hub("tag", t, "tagged", t))
+    chain = F.when(meta("space").isNotNull(), meta_list("ancestors")).otherwise(F.array().cast("array<string>"))
+    above = F.transform(chain, lambda _, i: F.slice(chain, F.lit(1), i + 1))
+    above = F.transform(above, lambda c: edge(F.lit(1), F.concat(F.lit("tree:"), meta("space"), F.lit("/"), F.array_join(c, "/")), "under", F.array_join(c, " › ")))
     fixed = F.array(
-        edge(fm("space"), F.concat(F.lit("space:"), fm("space")), "in_space", F.coalesce(fm("space_name"), fm("space"))),
-        edge(fm("project"), F.concat(F.lit("repo:"), fm("project")), "in_repo", F.coalesce(fm("project_name"), fm("project"))),
-        edge(fm("owner"), F.concat(F.lit("team:"), team_key(fm("owner"))), "owned_by", fm("owner")),
-        edge(fm("entity"), F.concat(F.lit("entity:"), fm("entity")), "about_entity", F.coalesce(fm("entity_title"), fm("entity"))),
+        hub("space", meta("space"), "in_space", F.coalesce(meta("space_name"), meta("space"))),
+        hub("repo", meta("project"), "in_repo", F.coalesce(meta("project_name"), meta("project"))),
+        edge(meta("owner"), F.concat(F.lit("team:"), team_key(meta("owner"))), "owned_by", meta("owner")),
+        hub("entity", meta("entity"), "about_entity", F.coalesce(meta("entity_title"), meta("entity_name"), meta("entity"))),
     )
-    rows = docs.select(F.col(key).alias("src"), F.explode(F.concat(F.filter(fixed, lambda x: x.isNotNull()), folders)).alias("e"))
-    return rows.select("src", "e.dst", "e.relation", "e.label")
+    rows = docs.select(F.col(key).alias("src"), F.explode(F.concat(F.filter(fixed, lambda x: x.isNotNull()), tags, above, folders)).alias("e"))
+    out = rows.select("src", "e.dst", "e.relation", "e.label")
+    if places is None:
+        return out
+    levels = F.filter(F.array(*[hub(n, F.col(n), f"in_{n}", F.col(n)) for n in ("area", "subarea", "module")]), lambda x: x.isNotNull())
+    return out.unionByName(places.select(F.col(key).alias("src"), F.explode(levels).alias("e")).select("src", "e.dst", "e.relation", "e.label"))
+
+
+def document_references(docs: DataFrame, hosts: links.Hosts, key: str = "source_id") -> DataFrame:
+    """Every reference of documents to documents: ``key, pos, href, text, relation, place, target, reason``.
+
+    ``docs`` has ``key, kind, frontmatter, body``.  From the body (``place`` body): ``links_to``.  From the frontmatter:
+    ``child_of`` (parent_id of a page in a space), ``described_by`` (the card of a project), ``documents`` (a card's
+    techdocs_ref), ``related_wiki`` (confluence_pages).  ``target`` is null where it is not in the collection, with the reason.
+    """
+    text = F.lit(None).cast("string")
+    ref = lambda pos, href, rel: F.struct(pos.alias("pos"), href.alias("href"), F.lit(rel).alias("relation"))
+    card = F.when((F.lower("kind") == "project") & meta("techdocs_ref").isNotNull(), ref(F.lit(-1), meta("techdocs_ref"), "documents"))
+    wiki = F.transform(meta_list("confluence_pages"), lambda u, i: ref(-2 - i, u, "related_wiki"))
+    urls = docs.select(key, F.explode(F.concat(F.filter(F.array(card), lambda x: x.isNotNull()), wiki)).alias("r"))
+    urls = urls.select(key, "r.pos", "r.href", text.alias("text"), "r.relation", F.lit("frontmatter").alias("place"))
+    body = links.extract_links(docs, key).withColumns({"relation": F.lit("links_to"), "place": F.lit("body")})
+    found = links.resolve_links(body.unionByName(urls), docs.select(key), hosts, key)
+    parent = F.when(meta("space").isNotNull() & meta("parent_id").isNotNull(), F.struct(F.concat(F.lit("page:"), meta("parent_id")).alias("lookup"), F.concat(F.lit("parent_id:"), meta("parent_id")).alias("href"), F.lit("child_of").alias("relation"), F.lit("wiki-page").alias("reason")))
+    project = F.when(meta("project").isNotNull(), F.struct(F.lower(F.concat(F.lit("file:"), meta("project"), F.lit(":__project"))).alias("lookup"), F.concat(F.lit("project:"), meta("project")).alias("href"), F.lit("described_by").alias("relation"), F.lit(None).cast("string").alias("reason")))
+    keyed = docs.select(key, F.explode(F.filter(F.array(parent, project), lambda x: x.isNotNull())).alias("r")).select(key, "r.*")
+    known = links.lookup_keys(docs, key).withColumnRenamed("id", "target")
+    keyed = keyed.join(known, "lookup", "left").where(F.col("target").isNotNull() | F.col("reason").isNotNull())  # a project without a card is no gap
+    return found.unionByName(keyed.select(key, F.lit(None).cast("int").alias("pos"), "href", text.alias("text"), "relation", F.lit("frontmatter").alias("place"), "target", F.when(F.col("target").isNull(), F.col("reason")).alias("reason")))
+
+
+def document_edges(references: DataFrame, key: str = "source_id") -> DataFrame:
+    """``src, dst, relation``: each resolved reference once, without loops."""
+    return references.where(F.col("target").isNotNull() & (F.col("target") != F.col(key))).select(F.col(key).alias("src"), F.col("target").alias("dst"), "relation").distinct()
+
+
+def reference_gaps(references: DataFrame) -> DataFrame:
+    """``place, reason, n``: references without a target.  Those of the frontmatter are decisions about scope, those of bodies dangle."""
+    return references.where(F.col("target").isNull() & (F.col("reason") != "unparsable")).groupBy("place", "reason").agg(F.count("*").alias("n"))
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
@@ -112,12 +168,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    import tempfile
-
-    spark = df.sparkSession
-    context = spark.sparkContext._jsc.sc()
-    if not context.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarrymill-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(True)
 
 

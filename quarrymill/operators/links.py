@@ -31,6 +31,8 @@ class Hosts:
     portal: list[str]
     wiki: list[str]
     repository: list[str]
+    wiki_suffix: str = r"\.atlassian\.net$"  # hosted wikis
+    page: str = r"/pages/(\d+)"  # where a wiki's address names its page
 
 
 def extract_links(docs: DataFrame, key: str = "source_id", body: str = "body") -> DataFrame:
@@ -111,9 +113,9 @@ def resolve_links(links: DataFrame, docs: DataFrame, hosts: Hosts, key: str = "s
     blob_project = F.regexp_extract(path, r"^/(.+?)/-/(?:blob|raw)/[^/]+/", 1)
     blob_file = F.regexp_extract(path, r"^/.+?/-/(?:blob|raw)/[^/]+/(.*)$", 1)
     root_project = F.regexp_replace(path, "^/|/$", "")
-    page = F.regexp_extract(path, r"/(?:pages|docs|view)/(\d+)", 1)
+    page = F.regexp_extract(path, hosts.page, 1)
     none = F.array().cast("array<string>")
-    is_portal, is_wiki, is_repo = host.isin(hosts.portal), host.isin(hosts.wiki), host.isin(hosts.repository)
+    is_portal, is_wiki, is_repo = host.isin(hosts.portal), host.isin(hosts.wiki) | host.rlike(hosts.wiki_suffix), host.isin(hosts.repository)
     keys = (
         F.when(bad, none)
         .when(absolute & is_wiki & (page != ""), F.array(F.concat(F.lit("page:"), page)))

@@ -39,7 +39,7 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
     return links.extract_links(data.pages(spark, d, "body")).select("source_id", "href", "pos")
 
 
-_HOSTS = links.Hosts(portal=["docs.ledgerline.example", "portal.quorvia.example"], wiki=["wiki.tarnfield.example", "confluence.morvane.example"], repository=["git.tarnfield.example"])
+_HOSTS = links.Hosts(portal=["docs.ledgerline.example", "portal.quorvia.example"], wiki=["wiki.tarnfield.example", "confluence.morvane.example"], repository=["git.tarnfield.example"], page=r"/(?:pages|docs|view)/(\d+)")
 
 
 def _resolved(spark: SparkSession, d: str) -> DataFrame:
@@ -119,36 +119,78 @@ def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
     return graph.nodes(kb, graph.hub_edges(kb)).select("id", "type")
 
 
-#: Documents that the same title links: the direct edges of the check.
-_SAME = "same AS (SELECT a.source_id AS src, b.source_id AS dst, 'links_to' AS relation FROM kb a JOIN (SELECT title, min(source_id) AS source_id FROM kb WHERE title IS NOT NULL GROUP BY title) b ON a.title = b.title WHERE a.source_id <> b.source_id)"
+#: Cards of the projects, and the edges between documents that metadata state.  The tables' pages name neither parents nor cards, so
+#: the page with the smallest number of each space stands for the parent of its pages; each project gets a card, which names its first file and two pages.
+_DOC_EDGES = """fmd AS (SELECT source_id, source_url, nullif(trim(frontmatter['space']), '') AS space, nullif(trim(frontmatter['project']), '') AS project, nullif(trim(frontmatter['page_id']), '') AS page_id FROM kb),
+    par AS (SELECT space, min(page_id) AS parent_id FROM fmd WHERE space IS NOT NULL AND source_id LIKE 'confluence:%' GROUP BY space),
+    pgs AS (SELECT regexp_extract(source_id, '^[^:]+:.*[:/](\\d+)$', 1) AS page, min(source_id) AS target FROM kb WHERE source_id LIKE 'confluence:%' GROUP BY 1),
+    fls AS (SELECT lower(regexp_replace(source_id, '^(gitlab|adr):', '')) AS file, min(source_id) AS target FROM kb WHERE regexp_matches(source_id, '^(gitlab|adr):') GROUP BY 1),
+    cards AS (SELECT 'gitlab:' || project || ':__project' AS source_id, project, min(CASE WHEN source_id LIKE 'gitlab:%' THEN source_url END) AS ref FROM fmd WHERE project IS NOT NULL GROUP BY project),
+    two AS (SELECT min(page_id) AS a, max(page_id) AS b FROM fmd WHERE source_id LIKE 'confluence:%'),
+    doc_edges AS (SELECT DISTINCT src, dst, relation FROM (
+        SELECT f.source_id AS src, p.target AS dst, 'child_of' AS relation FROM fmd f JOIN par USING (space) JOIN pgs p ON p.page = par.parent_id
+        UNION ALL SELECT source_id, 'gitlab:' || project || ':__project', 'described_by' FROM fmd WHERE project IS NOT NULL
+        UNION ALL SELECT c.source_id, f.target, 'documents' FROM cards c JOIN fls f ON f.file = lower(regexp_extract(ref, '^https?://[^/]+/(.+?)/-/(?:blob|raw)/[^/]+/', 1) || ':' || regexp_extract(ref, '/-/(?:blob|raw)/[^/]+/([^?#]*)', 1))
+        UNION ALL SELECT c.source_id, p.target, 'related_wiki' FROM cards c, two JOIN pgs p ON p.page IN (two.a, two.b)) WHERE src <> dst)""".replace("\\\\", "\\")
 
 
-def _same_title(kb: DataFrame) -> DataFrame:
-    first = kb.where(F.col("title").isNotNull()).groupBy("title").agg(F.min("source_id").alias("dst"))
-    return kb.join(first, "title").where(F.col("source_id") != F.col("dst")).select(F.col("source_id").alias("src"), "dst", F.lit("links_to").alias("relation"))
+def _graph_docs(spark: SparkSession, d: str) -> DataFrame:
+    """The pages with their parents named, and the cards of their projects."""
+    kb = data.pages(spark, d, "kind", "body", "source_url", "frontmatter", "rel_path")
+    space, project, page = graph.meta("space"), graph.meta("project"), graph.meta("page_id")
+    wiki = F.col("source_id").startswith("confluence:")
+    parents = kb.where(space.isNotNull() & wiki).groupBy(space.alias("_s")).agg(F.min(page).alias("parent_id"))
+    two = kb.where(wiki).agg(F.min(page).alias("a"), F.max(page).alias("b"))
+    url = lambda c: F.concat(F.lit("https://confluence.morvane.example/pages/"), two.select(c).scalar())
+    files = kb.where(project.isNotNull()).groupBy(project.alias("_p")).agg(F.min(F.when(F.col("source_id").startswith("gitlab:"), F.col("source_url"))).alias("ref"))
+    null = F.lit(None).cast("string")
+    named = kb.join(parents, space == F.col("_s"), "left").withColumn("frontmatter", F.map_concat(F.coalesce("frontmatter", F.create_map().cast("map<string,string>")), F.when(F.col("parent_id").isNotNull(), F.create_map(F.lit("parent_id"), "parent_id")).otherwise(F.create_map().cast("map<string,string>"))))
+    # A null value in the map stands for a key that is not there.
+    cards = files.select(F.concat(F.lit("gitlab:"), "_p", F.lit(":__project")).alias("source_id"), F.lit("project").alias("kind"), null.alias("body"), F.create_map(F.lit("techdocs_ref"), "ref", F.lit("confluence_pages"), F.concat_ws(", ", url("a"), url("b"))).alias("frontmatter"), null.alias("rel_path"))
+    return named.select("source_id", "kind", "body", "frontmatter", "rel_path").unionByName(cards)
+
+
+def _doc_edges(docs: DataFrame) -> DataFrame:
+    return graph.document_edges(graph.document_references(docs, _HOSTS))
+
+
+@query(f"WITH {PAGES}, {_DOC_EDGES} SELECT src, dst, relation FROM doc_edges")
+def graph_doc_edges(spark: SparkSession, d: str) -> DataFrame:
+    """What documents say of documents: parents, cards, what cards document and the pages that go with them, links of the bodies."""
+    return _doc_edges(_graph_docs(spark, d))
+
+
+@query(f"WITH {PAGES}, {_DOC_EDGES} SELECT relation, count(*) AS n, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM doc_edges GROUP BY relation")
+def graph_relation_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _doc_edges(_graph_docs(spark, d)).groupBy("relation").agg(F.count("*").alias("n"), F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets"))
+
+
+@query()
+def graph_reference_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return graph.reference_gaps(graph.document_references(_graph_docs(spark, d), _HOSTS))
 
 
 @query(
-    f"""WITH {_EDGES}, {_SAME}, sizes AS (SELECT dst AS hub, relation, count(*) AS size FROM edges GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 60),
+    f"""WITH {_EDGES}, {_DOC_EDGES}, sizes AS (SELECT dst AS hub, relation, count(*) AS size FROM edges GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 60),
     m AS (SELECT e.src, e.dst AS hub, e.relation, s.size FROM edges e JOIN sizes s ON e.dst = s.hub AND e.relation = s.relation),
-    every AS (SELECT src, dst, relation, 'out' AS direction, NULL AS via, 1.0 AS weight, 0 AS b, 0 AS s FROM same
-        UNION ALL SELECT dst, src, relation, 'in', NULL, 0.95, 1, 0 FROM same
+    w AS (SELECT *, CASE relation WHEN 'child_of' THEN 0.95 WHEN 'documents' THEN 0.95 WHEN 'described_by' THEN 0.9 WHEN 'related_wiki' THEN 0.8 ELSE 1.0 END AS weight FROM doc_edges),
+    every AS (SELECT src, dst, relation, 'out' AS direction, NULL AS via, round(weight, 6) AS weight, 0 AS b, 0 AS s FROM w
+        UNION ALL SELECT dst, src, relation, 'in', NULL, round(weight - 0.05, 6), 1, 0 FROM w
         UNION ALL SELECT x.src, y.src, x.relation, 'sibling', x.hub, round(0.6 / log2(greatest(x.size, 2) + 2), 6), 2, x.size FROM m x JOIN m y ON x.hub = y.hub AND x.relation = y.relation AND x.src <> y.src),
     best AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY weight DESC, b, s, relation, via) = 1)
-    SELECT src, dst, relation, direction, via, weight, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rank FROM best QUALIFY rank <= 12"""
+    SELECT src, dst, relation, direction, via, weight::DOUBLE AS weight, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rank FROM best QUALIFY rank <= 12"""
 )
 def graph_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    kb = data.pages(spark, d, "frontmatter", "rel_path")
-    return graph.neighbours(_same_title(kb), _hub_edges(spark, d), kb.select(F.col("source_id").alias("id")))
+    docs = _graph_docs(spark, d)
+    return graph.neighbours(_doc_edges(docs), _hub_edges(spark, d), docs.select(F.col("source_id").alias("id")))
 
 
 @query(
-    f"""WITH RECURSIVE {PAGES}, {_SAME}, e AS (SELECT src AS a, dst AS b FROM same UNION SELECT dst, src FROM same), r AS (SELECT a AS id, a AS reach FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.reach = e.a)
+    f"""WITH RECURSIVE {PAGES}, {_DOC_EDGES}, e AS (SELECT src AS a, dst AS b FROM doc_edges UNION SELECT dst, src FROM doc_edges), r AS (SELECT a AS id, a AS reach FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.reach = e.a)
     SELECT id, min(reach) AS component FROM r GROUP BY id"""
 )
 def graph_components(spark: SparkSession, d: str) -> DataFrame:
-    kb = data.pages(spark, d)
-    return graph.components(_same_title(kb).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return graph.components(_doc_edges(_graph_docs(spark, d)).select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
 @query()

@@ -24,6 +24,24 @@ def open_session(master: str = "local[*]", **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, named by ``spark.checkpoint.dir``.
+
+    A temporary folder serves only in local mode, where this machine runs everything; elsewhere a missing setting is an error.
+    """
+    context = spark.sparkContext._jsc.sc()
+    if not context.getCheckpointDir().isDefined():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not context.isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if not where:
+            import tempfile
+
+            where = tempfile.mkdtemp(prefix="quarrymill-")
+        spark.sparkContext.setCheckpointDir(where)
+    return context.getCheckpointDir().get()
+
+
 def ship_package(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """``query`` with a check that Python workers can import this package.
 

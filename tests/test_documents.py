@@ -1,7 +1,11 @@
+import random
 import json
 
 import pytest
 
+from hypothesis import given
+from hypothesis import strategies as st
+
 from quarrymill.operators import chunking, html, quality, specs
 from quarrymill.sources import connector, markdown, tables
 
@@ -43,10 +47,73 @@ def test_chunk_documents_with_nulls(spark):
     assert [(r["id"], r["line_start"]) for r in out] == [("s::0", -1)] and out[0]["heading_path"] == "Home > s > T"
 
 
-def test_prose_stats():
+def counted_line_by_line(text):
+    """The five counts by reading one line after another."""
+    import regex
+
+    from quarrymill.functions import values as V
+
+    words = cells = blocks = heads = links = 0
+    fence = ""
+    for line in (x.strip() for x in (text or "").split("\n")):
+        mark = regex.match(r"`{3,}|~{3,}", line)
+        if fence:
+            fence = "" if line.startswith(fence) else fence
+        elif mark:
+            fence, blocks = mark[0], blocks + 1
+        elif regex.match(r"#{1,6}\s", line):
+            heads += 1
+        elif line.startswith("|"):
+            cells += 0 if regex.match(r"\|{1,2}\s*:?-{2,}", line) else sum(bool(c.strip()) for c in line.split("|")[1:-1])
+        elif regex.match(V.LINK_ONLY, line):
+            links += 1
+        else:
+            words += len(regex.findall(r"\p{L}[\p{L}\p{M}'’-]+", regex.sub(r"`[^`]*`|<[^>]+>", " ", regex.sub(r"(!?)\[([^\]]*)\]\([^)]*\)", lambda m: " " if m[1] else m[2], line))))
+    return words, cells, blocks, heads, links
+
+
+def test_prose_stats(spark):
     md = "# H\n\nSome words [link](u) `code` here.\n\n- [only](u)\n\n```\nx\n```\n\n| a | |\n|---|---|\n| b | c |"
-    assert quality.prose_stats_of(md) == (4, 3, 1, 1, 1)
-    assert quality.prose_stats_of(None) == (0, 0, 0, 0, 0)
+    assert counted_line_by_line(md) == (4, 3, 1, 1, 1)
+    r = random.Random(3)
+    parts = ["# A\n", "```py\n", "```\n", "~~~~\n", "| a | b |\n", "|---|---|\n", "words here [link](x) ![i](y) `c d` <b>z</b>\n", "- [a](b)\n", "https://x.y z\n", "https://x.y\n", "  ```js inline\n", "l'été naïve\n", "\n"]
+    texts = [md, None, "", "```", *["".join(r.choices(parts, k=r.randrange(25))) for _ in range(400)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, body string")
+    got = {x["i"]: tuple(x)[1:] for x in quality.prose_stats(df, "i", "body").collect()}
+    assert all(got[i] == counted_line_by_line(t) for i, t in enumerate(texts))
+
+
+def packed_one_by_one(sizes, heading, s):
+    """The ranges by taking one block after another."""
+    out, held, total = [], [], 0
+    for i, n in enumerate(sizes):
+        if held and heading[i] and total >= s.least:
+            out.append(held)
+            held, total = [], 0
+        elif held and total + n > s.target and total >= s.least:
+            out.append(held)
+            held = [i - 1] if not heading[i - 1] and sizes[i - 1] <= s.overlap * 1.5 else []
+            total = sum(sizes[k] for k in held)
+        held, total = held + [i], total + n
+        if total > s.most and len(held) > 1:
+            out.append(held[:-1])
+            held, total = [i], n
+    return [(h[0], h[-1] + 1) for h in out + ([held] if held else [])]
+
+
+@given(st.lists(st.tuples(st.integers(1, 90), st.booleans()), max_size=60))
+def test_passages(blocks):
+    s = chunking.Sizes(60, 90, 20)
+    sizes, heading = [n for n, _ in blocks], [h and n < 10 for n, h in blocks]
+    assert chunking.passages(sizes, heading, s) == packed_one_by_one(sizes, heading, s)
+
+
+@given(st.lists(st.integers(0, 30), max_size=40), st.integers(5, 60))
+def test_runs(lengths, room):
+    got = chunking.runs(lengths, room)
+    assert [k for a, b in got for k in range(a, b)] == list(range(len(lengths)))
+    size = lambda a, b: sum(lengths[a:b]) + b - a - 1
+    assert all(size(a, b) <= room or b == a + 1 for a, b in got) and all(size(a, z) > room for (a, _), (z0, z) in zip(got, [(b0, b0 + 1) for b0, _ in got[1:]]))
 
 
 def test_cut_json():
