@@ -2,30 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
-
-    A temporary folder serves only where the session runs in this one machine's JVM; on a cluster, executors could
-    not read it, so there a missing setting is an error.
-    """
-    context = spark.sparkContext._jsc.sc()
-    if not context.getCheckpointDir().isDefined():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where and not context.isLocal():
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="quarrymill-"))
-    return context.getCheckpointDir().get()
+    return shared_folder(spark)
 
 
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
