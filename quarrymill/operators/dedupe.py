@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
+from ..session import shared_folder, spread
 
 
 def latest(rows: DataFrame, key: str = "id", at: str = "indexed_at", *ties: str) -> DataFrame:
@@ -45,12 +46,15 @@ def first_wins(docs: DataFrame, scope: str, order: str, text: str, key: str, lea
     return joined.where(F.col("id") != F.col("first.id")).select(F.col("id").alias(key), F.col("first.id").alias("kept_id"))
 
 
-def shingles(text: Column, size: int = V.SHINGLE_WORDS) -> Column:
-    """The distinct runs of ``size`` words of a text, lower case."""
-    w = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    # Bound as a lambda's variable, the words are found once and not once a run.
-    runs = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - (size - 1), F.lit(1))), lambda i: F.when(F.size(x) >= size, F.array_join(F.slice(x, i, size), " ")))
-    return F.array_distinct(F.filter(F.transform(F.array(w), runs)[0], lambda r: r.isNotNull()))
+def words_of(text: Column) -> Column:
+    """The words of a text, lower case."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def shingles(words: Column, size: int = V.SHINGLE_WORDS) -> Column:
+    """Hashes of the distinct runs of ``size`` words; no run is put together as a text."""
+    run = lambda x, i: F.xxhash64(*[F.element_at(x, i + k) for k in range(size)])
+    return F.when(F.size(words) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)), lambda i: run(words, i)))).otherwise(F.array().cast("array<bigint>"))
 
 
 def drop_near_duplicates(ranked: DataFrame, threshold: float = V.CONTAINMENT, least: int = V.LEAST_SHINGLES) -> DataFrame:
@@ -97,9 +101,11 @@ def near_duplicate_links(docs: DataFrame, key: str, text: str, threshold: float
     of n shingles needs only its n - ceil(t * n) + 1 rarest to meet every set that it could share the
     threshold with, whichever of the two is smaller.  No candidate is capped.
     """
-    classes = duplicate_classes(docs, key, text)
-    reps = docs.join(classes.where(F.col(key) == F.col("class_id")).select(key), key, "left_semi").select(F.col(key).alias("id"), shingles(F.col(text)).alias("s")).where(F.size("s") >= least)
-    reps = reps.select("id", F.transform("s", lambda x: F.xxhash64(x)).alias("s"), F.size("s").alias("n"))
+    # Words are found and hashed once; all that follows reads the hashes from the shared folder.
+    worded = spread(docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t"))).select("id", words_of(F.col("t")).alias("w"))
+    hashed = _checkpointed(worded.select("id", F.xxhash64("w").alias("h1"), F.hash("w").alias("h2"), F.size("w").alias("words"), shingles(F.col("w")).alias("s")))
+    first = hashed.groupBy("h1", "h2", "words").agg(F.min("id").alias("id")).select("id")
+    reps = hashed.where(F.size("s") >= least).join(first, "id", "left_semi").select("id", "s", F.size("s").alias("n"))
     gram = reps.select("id", "n", F.explode("s").alias("g"))
     counts = gram.groupBy("g").agg(F.count("*").alias("df")).where(F.col("df") > 1)
     own = W.partitionBy("id")
@@ -108,7 +114,9 @@ def near_duplicate_links(docs: DataFrame, key: str, text: str, threshold: float
     # Containment is over the smaller set, so the smaller set's prefix meets all grams of the larger.
     prefix = ranked.where(F.col("r") + F.col("alone") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select(F.col("id").alias("a"), F.col("n").alias("na"), "g")
     full = ranked.select(F.col("id").alias("b"), F.col("n").alias("nb"), "g")
-    candidates = prefix.join(full, "g").where((F.col("a") != F.col("b")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))).select("a", "b").distinct()
+    candidates = prefix.join(full, "g").where((F.col("a") != F.col("b")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))).select("a", "b")
+    # A stated number of parts: pairs are few bytes but much work, which joining small parts would put into one task.
+    candidates = candidates.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b").distinct()
     sets = reps.select("id", "s", "n")
     pairs = candidates.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     scored = pairs.withColumn("shared", F.size(F.array_intersect("sa", "sb")))
@@ -121,3 +129,8 @@ def duplicate_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     hashed = docs.select(key, F.sha2(w, 256).alias("h"))
     classes = hashed.groupBy("h").agg(F.min(key).alias("class_id"), F.count("*").alias("class_size"))
     return hashed.join(classes, "h").select(key, "class_id", "class_size")
+
+
+def _checkpointed(df: DataFrame) -> DataFrame:
+    shared_folder(df.sparkSession)
+    return df.checkpoint(True)

@@ -14,7 +14,12 @@ def fit_clusters(vectors: DataFrame, k: int, dims: int, sample: int = 20_000, se
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = vectors.where(V.usable(F.col("vector"), dims)).orderBy(F.xxhash64("id"), "id").limit(sample)
+    h = F.xxhash64("id")
+    found = vectors.where(V.usable(F.col("vector"), dims))
+    total = vectors.count()
+    if total > 2 * sample:  # about twice the sample is left before the sort, so what tasks send on does not grow
+        found = found.where(h < F.lit(int(-(2**63) + (2 * sample + 200) / total * 2**64)))
+    rows = found.orderBy(h, "id").limit(sample)
     fitted = KMeans(k=k, distanceMeasure="cosine", maxIter=25, seed=seed, featuresCol="f").fit(rows.select(array_to_vector(F.transform("vector", lambda x: x.cast("double"))).alias("f")))
     return [[float(x) for x in c] for c in fitted.clusterCenters()]
 

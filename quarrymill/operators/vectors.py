@@ -11,8 +11,14 @@ from pyspark.sql import functions as F
 from ..functions import values as V
 from .graph import _checkpointed
 
-#: Queries that one pass over the rows answers.
+#: Queries that one pass over the rows answers, and bytes of a task's product of queries and rows.
 MAX_QUERIES = 50_000
+PRODUCT_BYTES = 64 << 20
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it: a lambda's variable is not expanded."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -20,12 +26,12 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def norm(v: Column) -> Column:
-    return F.sqrt(dot(v, v))
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
 def l2_normalise(v: Column) -> Column:
-    n = norm(v)
-    return F.transform(v, lambda x: x.cast("double") / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    by = lambda v: bound(F.coalesce(F.nullif(norm(v), F.lit(0.0)), F.lit(1.0)), lambda n: F.transform(v, lambda x: x.cast("double") / n))
+    return F.when(v.isNotNull(), bound(v, by))
 
 
 def truncate(v: Column, dims: int) -> Column:
@@ -35,8 +41,8 @@ def truncate(v: Column, dims: int) -> Column:
 
 def usable(v: Column, dims: int) -> Column:
     """Exactly ``dims`` finite numbers, not all of them zero."""
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-    return F.coalesce((F.size(v) == dims) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
+    finite = lambda v: F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
+    return bound(v, lambda v: F.coalesce((F.size(v) == dims) & finite(v) & F.exists(v, lambda x: x != 0), F.lit(False)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -104,18 +110,20 @@ def _search_pass(vectors: DataFrame, queries: DataFrame, k: int, dims: int) -> D
 
         q = np.array([v for _, v in rows], float).reshape(-1, dims)
         q /= np.linalg.norm(q, axis=1, keepdims=True)
+        qids = np.array([r for r, _ in rows])
         for b in batches:
             if not len(b) or not len(q):
                 continue
             x = np.stack(b["vector"].to_numpy()).astype(float)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
             ids = b["id"].to_numpy()
-            sim = q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-            near = np.clip(np.round(1 - sim, 6), 0, 2)
-            for i, (qid, _) in enumerate(rows):
+            most = min(k, len(ids)) - 1
+            step = max(1, PRODUCT_BYTES // (8 * len(ids)))
+            for at in range(0, len(q), step):
+                near = np.clip(np.round(1 - q[at : at + step] @ x.T, 6), 0, 2)
                 # All that tie with the k-th stay, so that ties are broken once, over all blocks.
-                kth = np.partition(near[i], min(k, len(ids)) - 1)[min(k, len(ids)) - 1]
-                keep = np.flatnonzero(near[i] <= kth)
-                yield pd.DataFrame({"qid": qid, "id": ids[keep], "distance": near[i][keep], "similarity": np.round(1 - near[i][keep], 6)})
+                i, j = np.nonzero(near <= np.partition(near, most, axis=1)[:, most : most + 1])
+                yield pd.DataFrame({"qid": qids[at + i], "id": ids[j], "distance": near[i, j], "similarity": np.round(1 - near[i, j], 6)})
 
     return vectors.where(usable(F.col("vector"), dims)).select("id", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(block, schema)
 

@@ -42,6 +42,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().get()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round robin over the cores where a scan has fewer parts than they; large inputs have more and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship_package(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """``query`` with a check that Python workers can import this package.
 
