@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .patterns import wildcard_regex
+
 #: Words too general to search a wiki for a repository.
 GENERIC_TERMS = (
     "api apis app apps web core common lib libs library service services frontend backend platform docs doc documentation demo test tests tools utils util sdk cli ui client server infra infrastructure "
     "config configuration template templates example examples training playground archive archived deprecated legacy old new main master monorepo repo repository project"
 ).split()
+#: Ids and titles of decision records.
+DECISION_ID = r"(?i)(?:^|[/:_-])adrs?(?:[/_.-]|\d|$)"
+DECISION_TITLE = r"(?i)\badr[- _]?\d"
 #: Fixed value: words by which a question shows that it is Italian.
 ITALIAN_QUESTION = r"(?i)(^|[^\p{L}])(quali|quale|come|cosa|perch[eé]|dove|quando|sono|della|delle|degli|nel|nella|posso|deve|devono|possibile|funziona|utilizzare|usare)($|[^\p{L}])"
 
@@ -94,3 +99,75 @@ def token_usage(texts: Column) -> Column:
 def round3(x: Column) -> Column:
     """To three decimals, halves upwards."""
     return F.floor(x * 1000 + 0.5) / 1000
+
+
+def clamp(x: Column, low: float, high: float) -> Column:
+    """``x`` within the bounds; null and NaN become the lower one."""
+    return F.least(F.greatest(F.when(F.isnan(x.cast("double")), None).otherwise(x), F.lit(low)), F.lit(high))
+
+
+def as_int(x: Column, default: int, low: int, high: int) -> Column:
+    """A whole number within the bounds from a number or text, rounded down; the default where there is none."""
+    n = F.floor(x.cast("string").try_cast("double"))
+    return F.when(n.isNull() | F.isnan(n.cast("double")), default).otherwise(F.least(F.greatest(n, F.lit(low)), F.lit(high))).cast("long")
+
+
+def mean_or_zero(x: Column) -> Column:
+    return F.coalesce(F.avg(x), F.lit(0.0))
+
+
+def percent(part: Column, whole: Column, digits: int = 1) -> Column:
+    """``12.5%``; a dash where the whole is 0."""
+    return F.when(whole == 0, "–").otherwise(F.concat(F.format_string(f"%.{digits}f", F.round(part * F.lit(100.0) / whole, digits)), F.lit("%")))
+
+
+def entity_ref(namespace: Column, kind: Column, name: Column) -> Column:
+    """``ns/kind/name``: namespace (``default`` when missing) and kind in lower case, the name as it is."""
+    return F.concat_ws("/", F.lower(F.coalesce(F.nullif(F.trim(namespace), F.lit("")), F.lit("default"))), F.lower(kind), name)
+
+
+def entity_excluded(ref: Column, patterns: list[str]) -> Column:
+    """Whether wildcards name an entity, as ``kind/name`` or ``ns/kind/name``."""
+    short = F.regexp_replace(ref, "^[^/]+/", "")
+    out = F.lit(False)
+    for p in patterns:
+        out = out | ref.rlike(wildcard_regex(p)) | short.rlike(wildcard_regex(p))
+    return out
+
+
+def is_decision(source_id: Column, source_type: Column, title: Column) -> Column:
+    """Whether an id, a source or a title is that of a decision record."""
+    return F.coalesce((source_type == "adr") | source_id.rlike(DECISION_ID) | title.rlike(DECISION_TITLE), F.lit(False))
+
+
+def demote_headings(text: Column) -> Column:
+    """Every heading one level deeper; the sixth stays."""
+    return F.regexp_replace(text, r"(?m)^(#{1,5})(?=[ \t])", "$1#")
+
+
+def first_heading(text: Column) -> Column:
+    """The words of the first heading of level 1, else null."""
+    return F.nullif(F.trim(F.regexp_extract(text, r"(?m)^#[ \t]+(.+?)[ \t]*#*[ \t]*$", 1)), F.lit(""))
+
+
+def with_title(text: Column, title: Column) -> Column:
+    """A body that begins with a heading of level 1: its own, or one put before it."""
+    return F.when(first_heading(text).isNotNull(), text).otherwise(F.concat(F.lit("# "), title, F.lit("\n\n"), text))
+
+
+def query_text(question: Column, instruction: str) -> Column:
+    """What is embedded for a question: documents are embedded as they are, questions after an instruction."""
+    return F.concat(F.lit(f"Instruct: {instruction}\nQuery: "), question) if instruction else question
+
+
+def highlighted(text: Column, question: Column) -> Column:
+    """``text`` with the words of ``question`` (two characters or more) between asterisks, the longest first."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower(question), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)))
+    longest = F.array_sort(found, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    return F.when(F.size(found) > 0, F.regexp_replace(text, F.concat(F.lit("(?iu)("), F.array_join(longest, "|"), F.lit(")")), F.lit("**$1**"))).otherwise(text)
+
+
+def search_clause(field: str, values: list[str]) -> str:
+    """``field in ("a","b")`` of a wiki's query language, quotes escaped; empty for no values."""
+    quoted = ",".join('"' + v.replace("\\", "\\\\").replace('"', '\\"') + '"' for v in values)
+    return f"{field} in ({quoted})" if values else ""

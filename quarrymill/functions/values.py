@@ -115,3 +115,12 @@ DECISION_STATUS = (
 
 #: Lines that hold nothing but links, images or addresses.
 LINK_ONLY = r"(?i)^\s*(?:[-*]\s*)?(?:\[[^\]]*\]\([^)]*\)\s*|\[image:[^\]]*\]\s*|<https?:[^>]+>\s*|https?://\S+\s*)+$"
+
+#: How relations between documents read, outwards and inwards.
+RELATION_LABELS = {
+    "links_to": ("links to", "linked from"),
+    "child_of": ("child of", "parent of"),
+    "described_by": ("described by", "describes"),
+    "documents": ("documents", "documented by"),
+    "related_wiki": ("related wiki page", "related repository"),
+}

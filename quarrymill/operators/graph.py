@@ -32,7 +32,7 @@ def meta_list(name: str) -> Column:
     """The values of a list in the frontmatter: a JSON array, or values between commas or semicolons."""
     value = meta(name)
     parts = F.when(value.startswith("["), F.from_json(value, "array<string>")).otherwise(F.split(value, "[,;]"))
-    return F.filter(F.transform(F.coalesce(parts, F.array().cast("array<string>")), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.coalesce(parts, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def hub_edges(docs: DataFrame, key: str = "source_id", places: DataFrame | None = None) -> DataFrame:

@@ -77,3 +77,15 @@ def search(chunks: DataFrame, queries: DataFrame, index: bm25.Index | None = Non
         kept = ranked.select(*cols).withColumn("duplicates", F.array().cast("array<string>"))
     final = F.row_number().over(W.partitionBy("qid").orderBy("rank"))
     return kept.withColumn("rank", final).where(F.col("rank") <= o.top_k)
+
+
+def rerank(hits: DataFrame, scores: DataFrame, k: int, wide: int = 3) -> DataFrame:
+    """``qid, id, score, rank``: the first ``wide * k`` hits ordered by a judge's scores (0 to 10), then by their own.
+
+    ``hits`` has ``qid, id, score, rank``; ``scores`` has ``qid, id, judged``.  A hit's new score is a tenth of the judged one and its own;
+    those that the judge left out count as 0.
+    """
+    few = hits.where(F.col("rank") <= wide * k).join(scores.select("qid", "id", "judged"), ["qid", "id"], "left")
+    judged = F.least(F.greatest(F.coalesce("judged", F.lit(0.0)), F.lit(0.0)), F.lit(10.0))
+    scored = few.withColumn("_j", judged).withColumn("_r", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("_j"), F.desc("score"), "rank")))
+    return scored.where(F.col("_r") <= k).select("qid", "id", F.round(F.col("_j") / 10 + F.col("score"), 6).alias("score"), F.col("_r").alias("rank"))

@@ -63,7 +63,7 @@ def facets(spark: SparkSession, d: str) -> DataFrame:
 # ---- text functions
 
 
-@query(f"WITH {CHUNKS} SELECT lower(kind) = 'code' AS is_code, count(*) AS n, sum(t)::BIGINT AS tokens, max(t)::BIGINT AS most, round(avg(t), 4) AS average FROM (SELECT kind, ceil(length(text) / CASE WHEN lower(kind) = 'code' THEN 3.2e0 ELSE 3.5e0 END) AS t FROM ch) GROUP BY 1")
+@query(f"WITH {CHUNKS} SELECT lower(kind) = 'code' AS is_code, count(*) AS n, sum(t)::BIGINT AS tokens, max(t)::BIGINT AS most, round(avg(t), 4) AS average FROM (SELECT kind, ceil((length(text) + len(regexp_extract_all(text, '[\\x{{10000}}-\\x{{10FFFF}}]'))) / CASE WHEN lower(kind) = 'code' THEN 3.2e0 ELSE 3.5e0 END) AS t FROM ch) GROUP BY 1")
 def token_estimate(spark: SparkSession, d: str) -> DataFrame:
     code = F.lower("kind") == "code"
     t = data.chunks(spark, d, "text", "kind").select(code.alias("is_code"), T.estimate_tokens(F.col("text"), F.coalesce(code, F.lit(False))).alias("t"))

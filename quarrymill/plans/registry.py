@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, graphs, search
+from . import corpus, graphs, runs, search
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = search.QUERIES | corpus.QUERIES | graphs.QUERIES
-ORACLE: dict[str, str] = search.ORACLE | corpus.ORACLE | graphs.ORACLE
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = search.QUERIES | corpus.QUERIES | graphs.QUERIES | runs.QUERIES
+ORACLE: dict[str, str] = search.ORACLE | corpus.ORACLE | graphs.ORACLE | runs.ORACLE

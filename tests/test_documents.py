@@ -76,7 +76,7 @@ def test_prose_stats(spark):
     md = "# H\n\nSome words [link](u) `code` here.\n\n- [only](u)\n\n```\nx\n```\n\n| a | |\n|---|---|\n| b | c |"
     assert counted_line_by_line(md) == (4, 3, 1, 1, 1)
     r = random.Random(3)
-    parts = ["# A\n", "```py\n", "```\n", "~~~~\n", "| a | b |\n", "|---|---|\n", "words here [link](x) ![i](y) `c d` <b>z</b>\n", "- [a](b)\n", "https://x.y z\n", "https://x.y\n", "  ```js inline\n", "l'été naïve\n", "\n"]
+    parts = ["# A\n", "```py\n", "```\n", "~~~~\n", "| a | b |\n", "|---|---|\n", "words here [link](x) ![i](y) `c d` <b>z</b>\n", "- [a](b)\n", "https://x.y z\n", "https://x.y\n", "  ```js inline\n", "l'été naïve\n", "\n", "  # Set off\n", "   | x | y |\n", "\t9 words 9\n"]
     texts = [md, None, "", "```", *["".join(r.choices(parts, k=r.randrange(25))) for _ in range(400)]]
     df = spark.createDataFrame(list(enumerate(texts)), "i long, body string")
     got = {x["i"]: tuple(x)[1:] for x in quality.prose_stats(df, "i", "body").collect()}
