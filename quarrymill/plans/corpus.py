@@ -39,10 +39,10 @@ def filter_date_prefix(spark: SparkSession, d: str) -> DataFrame:
     return data.chunks(spark, d, "source_type", "kind", "last_modified").where(predicate(Filters(after="2025-03", before="2026"))).select("id")
 
 
-@query(f"WITH {CHUNKS} SELECT id FROM ch WHERE contains(lower(text), 'orbital-tax_') OR contains(lower(text), '100%')")
+@query(f"WITH {CHUNKS} SELECT id FROM ch WHERE contains(lower(text), 'e_') OR contains(lower(text), '0%')")
 def filter_contains_literal(spark: SparkSession, d: str) -> DataFrame:
     ch = data.chunks(spark, d, "text")
-    return ch.where(predicate(Filters(contains="Orbital-Tax_")) | predicate(Filters(contains="100%"))).select("id")
+    return ch.where(predicate(Filters(contains="E_")) | predicate(Filters(contains="0%"))).select("id")
 
 
 @query(

@@ -157,9 +157,9 @@ def _cases(spark: SparkSession, d: str, ch: DataFrame) -> DataFrame:
     return j.select("qid", "text", "lang", "source", "expected", (F.size("expected") == 0).alias("should_abstain"))
 
 
-def _scored(spark: SparkSession, d: str, k: int = 24) -> DataFrame:
+def _scored(spark: SparkSession, d: str, k: int = 24, after: int = 0) -> DataFrame:
     ch = data.chunks(spark, d, "text", "title", "source_id")
-    hits = bm25.search(bm25.build(ch, keep=True), data.asked(spark, d), k).join(ch.select("id", "source_id"), "id")
+    hits = bm25.search(bm25.build(ch, keep=True), data.asked(spark, d), k).where(F.col("rank") > after).join(ch.select("id", "source_id"), "id")
     return evaluate.score_cases(_cases(spark, d, ch), hits)
 
 
@@ -183,12 +183,13 @@ def eval_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {CHUNKS}, {ASKED}, {BM25}, {_SCORED}, few AS (SELECT qid, list(source_id ORDER BY r, source_id) AS got FROM (SELECT qid, source_id, min(rank) AS r FROM hits WHERE rank <= 3 GROUP BY qid, source_id) GROUP BY qid),
+    f"""WITH {CHUNKS}, {ASKED}, {BM25}, {_SCORED}, few AS (SELECT qid, list(source_id ORDER BY r, source_id) AS got FROM (SELECT qid, source_id, min(rank) AS r FROM hits WHERE rank > 3 GROUP BY qid, source_id) GROUP BY qid),
     a AS (SELECT j.qid, should_abstain OR coalesce(rank <= 6, false) AS was, should_abstain OR coalesce(list_min(list_filter(list_transform(expected, lambda e: list_position(coalesce(f.got, []), e)), lambda p: p > 0)) <= 6, false) AS now FROM judged j LEFT JOIN few f USING (qid))
     SELECT qid, CASE WHEN was THEN 'regression' ELSE 'fix' END AS change FROM a WHERE was <> now"""
 )
 def eval_compare(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.compare(_scored(spark, d, 24), _scored(spark, d, 3))
+    """The search against the same search without its first three passages."""
+    return evaluate.compare(_scored(spark, d), _scored(spark, d, after=3))
 
 
 @query(
