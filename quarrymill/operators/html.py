@@ -9,14 +9,16 @@ from urllib.parse import urljoin
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_DROPPED = {"script", "style", "noscript", "svg", "iframe", "template", "link", "meta", "head", "nav", "footer"}
+#: Elements that hold no text of the page.
+_DROPPED = frozenset({"script", "style", "noscript", "svg", "iframe", "template", "link", "meta", "head"})
 _VOID = {"br", "hr", "img", "input", "meta", "link", "col", "wbr", "area", "base", "embed", "source", "track"}
 _BLOCKS = {"p", "div", "section", "article", "main", "ul", "ol", "table", "blockquote", "pre", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "dl", "dt", "dd", "details", "summary", "form"}
 
 
 class _Writer(HTMLParser):
-    def __init__(self, base: str, root: str | None):
+    def __init__(self, base: str, root: str | None, dropped: frozenset[str] = _DROPPED):
         super().__init__(convert_charrefs=True)
+        self.dropped = dropped
         self.base, self.root = base, root
         self.out: list[str] = []
         self.skip = 0
@@ -44,7 +46,7 @@ class _Writer(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
-        if tag in _DROPPED:
+        if tag in self.dropped:
             if tag not in _VOID:
                 self.skip += 1
             return
@@ -108,7 +110,7 @@ class _Writer(HTMLParser):
             self.gap()
 
     def handle_endtag(self, tag):
-        if tag in _DROPPED:
+        if tag in self.dropped:
             self.skip = max(0, self.skip - 1)
             return
         if tag == "pre":
@@ -154,15 +156,15 @@ class _Writer(HTMLParser):
         self.put(data if self.pre else re.sub(r"\s+", " ", data))
 
 
-def html_to_markdown(page: str | None, base: str = "", roots: tuple[str, ...] = ("article", "main")) -> str | None:
-    """Markdown of a page's ``article``, else ``main``, else body; scripts, styles and navigation dropped.
+def html_to_markdown(page: str | None, base: str = "", roots: tuple[str, ...] = ("article", "main"), drop: tuple[str, ...] = ()) -> str | None:
+    """Markdown of a page's ``article``, else ``main``, else body; scripts and styles dropped, and the elements named by ``drop``.
 
     Null stays null.  Links become absolute against ``base``.
     """
     if page is None:
         return None
     root = next((r for r in roots if re.search(rf"<{r}[\s>]", page, re.I)), None)
-    w = _Writer(base, root)
+    w = _Writer(base, root, _DROPPED | frozenset(drop))
     w.feed(page)
     w.close()
     text = "".join(w.out)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -48,34 +49,44 @@ def stream_once(stream: DataFrame, key: str, at: str, late: str) -> DataFrame:
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
-def merge_state(state_path: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink that keeps the last state of each (source, source_id) as a table of versions.
+_STATE = ["fingerprint", "rel_path", "emitted_at", "event_id"]
+#: Versions after which a whole state is written.
+WHOLE_EVERY = 32
 
-    Each micro-batch writes a new version beside the old one, so a retried batch overwrites only its own and
-    a lost run leaves the last whole version.
+
+def _last_of(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("source", "source_id").agg(F.max_by(F.struct(*_STATE), F.struct("emitted_at", "event_id")).alias("r")).select("source", "source_id", *[F.col(f"r.{c}").alias(c) for c in _STATE])
+
+
+def merge_state(state_path: str, whole_every: int = WHOLE_EVERY) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink that keeps the last state of each (source, source_id).
+
+    A micro-batch writes only the items it names, as a version beside the others; every ``whole_every`` versions the state is
+    written whole, so a batch costs what it holds and a reader few versions.  A retried batch overwrites its own version alone,
+    and a lost run leaves the last one.
     """
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        items = batch.where(F.col("event_type").isin("doc", "unchanged") & F.col("source_id").isNotNull()).select("source", "source_id", "fingerprint", "rel_path", "emitted_at", "event_id")
-        before = read_state(spark, state_path, epoch)
-        rows = items if before is None else items.unionByName(before)
-        cols = ["fingerprint", "rel_path", "emitted_at", "event_id"]
-        last = rows.groupBy("source", "source_id").agg(F.max_by(F.struct(*cols), F.struct("emitted_at", "event_id")).alias("r")).select("source", "source_id", *[F.col(f"r.{c}").alias(c) for c in cols])
-        last.write.mode("overwrite").parquet(f"{state_path}/version={epoch:012d}")
+        items = batch.where(F.col("event_type").isin("doc", "unchanged") & F.col("source_id").isNotNull()).select("source", "source_id", *_STATE)
+        _last_of(items).write.mode("overwrite").parquet(f"{state_path}/version={epoch:012d}")
+        if epoch % whole_every == whole_every - 1:
+            read_state(batch.sparkSession, state_path, epoch + 1).write.mode("overwrite").parquet(f"{state_path}/whole={epoch:012d}")
 
     return sink
 
 
 def read_state(spark: SparkSession, state_path: str, before: int | None = None) -> DataFrame | None:
-    """The newest version of a state table, or the newest before an epoch; None where there is none."""
+    """The state after all versions, or after those before an epoch; None where there is none."""
     path = spark._jvm.org.apache.hadoop.fs.Path(state_path)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return None
-    found = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("version="))
-    found = [v for v in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{state_path}/{v}/_SUCCESS")) and (before is None or int(v[8:]) < before)]
-    return spark.read.parquet(f"{state_path}/{found[-1]}") if found else None
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    done = [n for n in names if "=" in n and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{state_path}/{n}/_SUCCESS"))]
+    epochs = lambda kind: sorted(int(n.partition("=")[2]) for n in done if n.startswith(f"{kind}=") and (before is None or int(n.partition("=")[2]) < before))
+    whole = epochs("whole")[-1:]
+    parts = [f"{state_path}/whole={e:012d}" for e in whole] + [f"{state_path}/version={e:012d}" for e in epochs("version") if not whole or e > whole[0]]
+    return _last_of(reduce(DataFrame.unionByName, [spark.read.parquet(p) for p in parts])) if parts else None
 
 
 def append_log(rows: DataFrame, path: str) -> None:

@@ -80,3 +80,21 @@ def test_logs(spark, tmp_path):
     events.append_log(spark.createDataFrame([("b", 2)], "k string, n int"), p)
     (tmp_path / "log" / "extra.json").write_text("not json\n")
     assert sorted(r["k"] for r in events.read_log(spark, p, "k string, n int").collect()) == ["a", "b"]
+
+
+def test_state_of_many_batches(spark, tmp_path):
+    """Versions hold what a batch names; a whole state now and then; a retried batch changes nothing."""
+    import os
+
+    state = str(tmp_path / "state")
+    sink = events.merge_state(state, whole_every=3)
+    batch = lambda k: spark.createDataFrame([(k * 10 + i, "doc", "s", f"i{(k + i) % 4}", f"f{k}{i}", None, f"2025-01-01 00:00:{k:02d}") for i in range(2)], "event_id long, event_type string, source string, source_id string, fingerprint string, rel_path string, emitted_at string")
+    want = {}
+    for k in range(7):
+        sink(batch(k), k)
+        want |= {f"i{(k + i) % 4}": f"f{k}{i}" for i in range(2)}
+        if k == 4:
+            sink(batch(k), k)
+        assert {r["source_id"]: r["fingerprint"] for r in events.read_state(spark, state).collect()} == want
+    assert sorted(n for n in os.listdir(state) if n.startswith("whole")) == ["whole=000000000002", "whole=000000000005"]
+    assert spark.read.parquet(f"{state}/version=000000000006").count() == 2 and events.read_state(spark, str(tmp_path / "none")) is None
