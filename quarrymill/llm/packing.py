@@ -89,18 +89,25 @@ def pack(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     share = kinds / limits
     # Dimensions that are short overall weigh more.
     weight = scaled.sum(axis=0) / max(scaled.sum(), 1e-12)
+    columns = [np.ascontiguousarray(c) for c in kinds.T]
+    worth = [np.ascontiguousarray(c) for c in (share * weight).T]
     out = np.zeros(len(sizes), np.int64)
     alive = np.arange(len(kinds))
-    left_of = share * weight
     bin_no = 0
     while len(alive):
         left = limits.astype(float).copy()
         fit = alive
         while len(fit):
-            fit = fit[(kinds[fit] <= left + 1e-9).all(axis=1)]
+            ok = columns[0][fit] <= left[0] + 1e-9
+            for c, room in zip(columns[1:], left[1:]):
+                ok &= c[fit] <= room + 1e-9
+            fit = fit[ok]
             if not len(fit):
                 break
-            best = fit[np.argmax(left_of[fit] @ (left / limits))]
+            score = worth[0][fit] * (left[0] / limits[0])
+            for w, part in zip(worth[1:], left[1:] / limits[1:]):
+                score += w[fit] * part
+            best = fit[np.argmax(score)]
             room = int(np.floor(((left + 1e-9) / np.maximum(kinds[best], 1e-9)).min()))
             # Take one: the next best may differ when less is left.
             take = 1 if room < 64 else min(room // 2, ends[best] - next_of[best])
