@@ -26,14 +26,14 @@ def frame(spark, ids, x):
     return spark.createDataFrame([(i, [float(a) for a in v]) for i, v in zip(ids, x)], "id string, vector array<float>")
 
 
-#: One leaf; cells of one leaf each; cells with trees of their own; cells in parts, each with a tree of its own.
-SIZES = [(1 << 18, 4096), (1 << 18, 512), (1 << 18, 16), (40, 16)]
+#: One leaf; cells with trees of their own; cells in parts, each with a tree of its own.
+SIZES = [(1 << 18, 4096), (1 << 18, 16), (150, 16)]
 
 
 @pytest.mark.parametrize("cell, leaf", SIZES)
 def test_recall_against_brute_force(spark, monkeypatch, cell, leaf):
     monkeypatch.setattr(N, "CELL_ROWS", cell)
-    monkeypatch.setattr(N, "MAX_DEPTH", 5)
+    monkeypatch.setattr(N, "MAX_DEPTH", 3)
     monkeypatch.setattr(N, "LEAF_ROWS", leaf)
     ids, x = data(3000, 64, 4)
     want = brute(ids, x.astype(np.float32))
@@ -44,7 +44,7 @@ def test_recall_against_brute_force(spark, monkeypatch, cell, leaf):
 def test_a_dense_group_of_half_the_rows(spark, monkeypatch):
     """Its cells are split, its rows find their own nearest, and those of the other half are not lost."""
     monkeypatch.setattr(N, "CELL_ROWS", 128)
-    monkeypatch.setattr(N, "MAX_DEPTH", 4)
+    monkeypatch.setattr(N, "MAX_DEPTH", 3)
     monkeypatch.setattr(N, "LEAF_ROWS", 64)
     r = np.random.default_rng(8)
     ids, x = data(2000, 64, 7)
@@ -144,6 +144,7 @@ def test_no_coordinate_is_cut_twice_on_a_path():
 
 def test_nearest_without_a_least_similarity(spark, monkeypatch):
     monkeypatch.setattr(N, "LEAF_ROWS", 64)
+    monkeypatch.setattr(N, "MAX_DEPTH", 3)
     ids, x = data(1500, 64, 6)
     got = {(min(r["id"], r["neighbour"]), max(r["id"], r["neighbour"])) for r in N.nearest(frame(spark, ids, x), 5, None).collect()}
     want = brute(ids, x.astype(np.float32), least=-1.0)
