@@ -21,6 +21,7 @@ space between Thai letters.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -38,6 +39,8 @@ from .common import MAX_FIT_CHARS, hash_sample
 STAT_SLOTS = 1 << 21
 #: Counters of a token; all lie in the same slots.
 STAT_ROWS = 3
+#: Counters that reach the driver as one value.
+PACKED_SLOTS = 1 << 15
 WEIGHT_SLOTS = 1 << 15
 #: Bound of the documents whose candidates fit the weights.
 MAX_FIT_DOCUMENTS = 3_000
@@ -254,7 +257,7 @@ def _never(part: int, whole: int) -> bool:
 
 
 def token_statistics(documents: DataFrame) -> Statistics:
-    """Counts over all documents; four counters for each of ``STAT_SLOTS`` slots reach the driver."""
+    """Counts over all documents; four counters for each of ``STAT_SLOTS`` slots reach the driver, packed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((4, STAT_SLOTS), np.int64)
@@ -265,15 +268,25 @@ def token_statistics(documents: DataFrame) -> Statistics:
             slots = np.flatnonzero(t)
             for at in range(0, len(slots), 100_000):
                 part = slots[at : at + 100_000]
-                yield pd.DataFrame({"kind": kind, "slot": part, "n": t[part]})
+                yield pd.DataFrame({"kind": kind, "block": part // PACKED_SLOTS, "slot": part, "n": t[part]})
 
-    counted = documents.select("text").mapInPandas(run, "kind int, slot int, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toPandas()
+    # One exchange, by block: a task's rows are sums already, and the blocks are what is packed.
+    sums = documents.select("text").mapInPandas(run, "kind int, block int, slot int, n long").repartition("kind", "block")
+    counted = sums.groupBy("kind", "block", "slot").agg(F.sum("n").alias("n")).groupBy("kind", "block").applyInPandas(_pack, "kind int, block int, counters binary")
     arrays = [np.zeros(STAT_SLOTS, np.int32) for _ in range(4)]
-    for kind, part in counted.groupby("kind"):
-        arrays[kind][part["slot"].to_numpy()] = np.minimum(part["n"].to_numpy(), 2**31 - 1)
+    for r in counted.collect():
+        at = r["block"] * PACKED_SLOTS
+        arrays[r["kind"]][at : at + PACKED_SLOTS] = np.frombuffer(zlib.decompress(r["counters"]), np.int32)
     return Statistics(*arrays)
 
 
+def _pack(rows: pd.DataFrame) -> pd.DataFrame:
+    """A block's counters in one value: as rows they would fill the driver once most slots are in use."""
+    dense = np.zeros(PACKED_SLOTS, np.int32)
+    dense[rows["slot"].to_numpy() % PACKED_SLOTS] = np.minimum(rows["n"].to_numpy(), 2**31 - 1)
+    return pd.DataFrame({"kind": rows["kind"].iloc[:1], "block": rows["block"].iloc[:1], "counters": [zlib.compress(dense.tobytes(), 1)]})
+
+
 def _script(ch: str) -> str:
     o = ord(ch) if ch else 0
     return "cjk" if 0x2E80 <= o else "thai" if 0x0E00 <= o < 0x0E80 else "deva" if 0x0900 <= o < 0x0980 else "arab" if 0x0590 <= o < 0x0780 else "cyrl" if 0x0400 <= o < 0x0530 else "latn" if ch.isalpha() else "none"

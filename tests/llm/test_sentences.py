@@ -122,3 +122,22 @@ def test_stray_paragraphs_and_collisions_leave_the_negatives():
         a[S._slots("Vell")[0]] += 500
     assert S.silver(c, None, st) == (0, c)
     assert S.silver(S.Candidate(3, "report", "The", ".", " "), None, st) is None
+
+
+def test_statistics_reach_the_driver_packed(spark, monkeypatch):
+    """Every counter arrives, in far fewer rows than there are counters."""
+    import numpy as np
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    letters = "abcdefghij"
+    word = lambda i: "".join(letters[int(d)] for d in f"{i:05d}")
+    texts = [f"The {word(i)}. {word(i + 1).title()} waits for a {word(i + 2)}.\n\nEach {word(i + 3)} ends." for i in range(3000)]
+    rows = []
+    collect = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: rows.append(len(found := collect(self))) or found)
+    monkeypatch.setattr(DataFrame, "toPandas", lambda self: pytest.fail("counters came one by one"))
+    st = S.token_statistics(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    for got, want in zip((st.seen, st.ends, st.starts, st.follows), S.count_tokens(texts)):
+        assert got.dtype == np.int32 and len(got) == S.STAT_SLOTS and np.count_nonzero(got) == len(want)
+        assert all(got[k] == v for k, v in want.items())
+    assert sum(rows) <= 4 * S.STAT_SLOTS // S.PACKED_SLOTS
