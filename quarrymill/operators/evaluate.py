@@ -69,6 +69,24 @@ def compare(before: DataFrame, after: DataFrame, k: int = 6) -> DataFrame:
     return b.join(a, "qid").select("qid", change.alias("change")).where(F.col("change").isNotNull())
 
 
+def compare_without_first(queries: DataFrame, hits: DataFrame, known: DataFrame, first: int, k: int = 6) -> DataFrame:
+    """``qid, change``: ``compare`` of ``hits`` (qid, source_id, rank) with the same hits without the ``first`` ranks.
+
+    ``queries`` is ``qid, t``; ``known`` names the documents that answer a ``t`` (t, source_id).  What is expected meets the few
+    hits as rows: as lists, each query would carry every document that answers it.
+    """
+    known = known.where(F.col("t").isNotNull() & F.col("source_id").isNotNull()).select("t", "source_id").distinct()
+    later = F.min(F.when(F.col("rank") > first, F.col("rank")))
+    docs = hits.groupBy("qid", "source_id").agg(F.min("rank").alias("r"), later.alias("l"))
+    place = lambda c: F.row_number().over(W.partitionBy("qid").orderBy(F.asc_nulls_last(c), "source_id"))
+    docs = docs.withColumns({"was": place("r"), "now": F.when(F.col("l").isNotNull(), place("l"))})
+    expected = docs.where((F.col("was") <= k) | (F.col("now") <= k)).join(queries, "qid").join(known, ["t", "source_id"], "left_semi")
+    ranks = expected.groupBy("qid").agg(F.min("was").alias("was"), F.min("now").alias("now"))
+    answered = queries.join(known.select("t").distinct().withColumn("_known", F.lit(True)), "t", "left").join(ranks, "qid", "left")
+    judged = answered.select("qid", *[passed(F.col("_known").isNull(), F.col(c), k).alias(c) for c in ("was", "now")])
+    return judged.where(F.col("was") != F.col("now")).select("qid", F.when(F.col("was"), "regression").otherwise("fix").alias("change"))
+
+
 def validate_cases(cases: DataFrame, known: DataFrame) -> DataFrame:
     """``qid, problem``: repeated ids, repeated questions, expected documents that do not exist, documents with more than four questions."""
     norm = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "))

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from quarrymill.operators import bm25, dedupe, retrieval, vectors
@@ -109,3 +110,54 @@ def test_near_links_like_brute_force(spark):
     df = spark.createDataFrame(texts, "doc_id long, text string")
     out = {(r["a"], r["b"]) for r in dedupe.near_duplicate_links(df, "doc_id", "text").collect()}
     assert out == brute_links(texts) and out
+
+
+def test_best_like_search_over_an_index(spark):
+    import random
+
+    rnd = random.Random(5)
+    words = [f"word{chr(97 + i)}" for i in range(12)]
+    docs = [(f"d{i % 7}:{i}", " ".join(rnd.choices(words, k=rnd.randrange(0, 9)))) for i in range(400)] + [("e", None), ("f", "")]
+    asked = [(i, " ".join(rnd.choices([*words, "absent"], k=rnd.randrange(0, 5)))) for i in range(40)] + [(90, "worda worda wordb"), (91, "worda worda wordb")]
+    d = spark.createDataFrame(docs, "id string, text string").repartition(5)
+    q = spark.createDataFrame(asked, "qid long, text string")
+    rows = lambda df: sorted(map(tuple, df.select("qid", "id", "rank", "score").collect()))
+    want = rows(bm25.search(bm25.build(d), q, 10))
+    assert rows(bm25.best(d, q, 10)) == want and want
+    assert rows(bm25.best(d.where("false"), q, 10)) == rows(bm25.best(d, q.where("false"), 10)) == []
+
+
+def test_comparison_by_rows_like_by_lists(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quarrymill.operators import evaluate
+
+    rnd = random.Random(6)
+    asked = spark.createDataFrame([(i, f"t{rnd.randrange(14)}") for i in range(80)], "qid long, t string")
+    hits = spark.createDataFrame([(i, f"s{rnd.randrange(12)}", r) for i in range(70) for r in range(1, rnd.randrange(2, 20))], "qid long, source_id string, rank int")
+    known = spark.createDataFrame([(f"t{rnd.randrange(10)}", f"s{rnd.randrange(14)}") for _ in range(14)] + [("t11", None)], "t string, source_id string")
+    lists = known.groupBy("t").agg(F.collect_set("source_id").alias("e")).select("t", "e")
+    cases = asked.join(lists, "t", "left").select("qid", F.coalesce("e", F.array().cast("array<string>")).alias("expected")).withColumn("should_abstain", F.size("expected") == 0)
+    want = evaluate.compare(evaluate.score_cases(cases, hits), evaluate.score_cases(cases, hits.where("rank > 3")))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(evaluate.compare_without_first(asked, hits, known, 3)) == rows(want)
+    assert {x["change"] for x in want.collect()} == {"regression", "fix"}
+
+
+def test_comparison_keeps_less_than_its_input(spark):
+    """The index of all terms, written once for each of the two runs, took many times the chunks' own size."""
+    from pathlib import Path
+
+    from quarrymill.plans import search
+    from quarrymill.session import shared_folder
+
+    data = Path("/root/testdata/sf0.001")
+    if not data.is_dir():
+        pytest.skip("no tables here")
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    used = lambda: sum(p.stat().st_size for p in folder.rglob("part-*"))
+    before = used()
+    search.eval_compare(spark, str(data)).collect()
+    assert 0 < used() - before < (data / "chunks.parquet").stat().st_size
