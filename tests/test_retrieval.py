@@ -161,3 +161,17 @@ def test_comparison_keeps_less_than_its_input(spark):
     before = used()
     search.eval_compare(spark, str(data)).collect()
     assert 0 < used() - before < (data / "chunks.parquet").stat().st_size
+
+
+def test_near_links_keep_less_than_the_texts(spark):
+    """Shingles, eight bytes each, took more than the texts; what is kept are packed words and sketches."""
+    from pathlib import Path
+
+    from quarrymill.session import shared_folder
+
+    texts = [(i, " ".join(f"word{chr(97 + (i * k) % 23)}{chr(97 + (i + k * k) % 19)}" for k in range(150))) for i in range(300)]
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    used = lambda: sum(p.stat().st_size for p in folder.rglob("part-*"))
+    before = used()
+    dedupe.near_duplicate_links(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text").collect()
+    assert 0 < used() - before < sum(len(t) for _, t in texts) / 2
