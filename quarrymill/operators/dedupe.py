@@ -7,12 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
-from ..session import shared_folder, spread
-
-#: 64-bit numbers of the sketch of a shingle set.
-SKETCH_LONGS = 8
-#: Hashed counters by which shingles are ordered: 2^22 of 4 bytes go to every task.
-COUNTER_BITS = 22
+from . import near
 
 
 def latest(rows: DataFrame, key: str = "id", at: str = "indexed_at", *ties: str) -> DataFrame:
@@ -50,11 +45,6 @@ def first_wins(docs: DataFrame, scope: str, order: str, text: str, key: str, lea
     return joined.where(F.col("id") != F.col("first.id")).select(F.col("id").alias(key), F.col("first.id").alias("kept_id"))
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text, lower case."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-
-
 def shingles(words: Column, size: int = V.SHINGLE_WORDS) -> Column:
     """Hashes of the distinct runs of ``size`` words; no run is put together as a text."""
     run = lambda x, i: F.xxhash64(*[F.element_at(x, i + k) for k in range(size)])
@@ -101,195 +91,11 @@ def near_duplicate_links(docs: DataFrame, key: str, text: str, threshold: float
     """``a, b, shared, containment``: links between *different* texts whose shingle sets contain each other.
 
     Equal texts are one class, named by its smallest key; copies are not expanded into pairs
-    (``duplicate_classes`` gives the membership).  Prefix filtering keeps common shingles out of the join: a set
-    of n shingles needs only its n - ceil(t * n) + 1 rarest to meet every set that it could share the
-    threshold with, whichever of the two is smaller.  No candidate is capped.
+    (``duplicate_classes`` gives the membership).  No candidate is capped (``near`` says how they are found).
     """
-    keyed = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t"), words_of(F.col(text)).alias("w"))
-    keyed = keyed.where(F.size("w") >= V.SHINGLE_WORDS).select("id", "t", F.xxhash64("w").alias("h1"), F.hash("w").alias("h2"), F.size("w").alias("words"))
-    first = keyed.groupBy("h1", "h2", "words").agg(F.min(F.struct("id", "t")).alias("x")).select("x.id", words_of(F.col("x.t")).alias("w"))
-    kind = first.schema["id"].dataType.simpleString()
-    # Words are kept once, packed; shingles, eight bytes each, are worked out from them wherever they are needed.
-    packed = _checkpointed(first.mapInArrow(_pack_words, "packed binary"))
-    reps = packed.mapInArrow(_shingled(least), f"id {kind}, s array<bigint>, n int")
-    # Any one order of the shingles serves, so hashed counters of fixed size give it: no shingle is shuffled to be counted.
-    rarity = docs.sparkSession.sparkContext.broadcast(_hashed_counts(reps.select("s")))
-    prefix = reps.mapInArrow(_ordered(rarity, threshold), f"a {kind}, na int, g long")
-    sought = docs.sparkSession.sparkContext.broadcast(_hashed_counts(prefix.select(F.array("g").alias("s"))))
-    full = reps.mapInArrow(_ordered(rarity, threshold, sought), f"b {kind}, nb int, g long, left int")
-    least_shared = lambda n: F.ceil(F.col(n) * threshold - 1e-9)
-    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    # Both sets have one order: at their first common gram the larger still holds all that they share.
-    candidates = prefix.join(full, "g").where((F.col("a") != F.col("b")) & smaller & (F.col("left") >= least_shared("na"))).select("a", "b")
-    # Made distinct before they are shuffled: a pair meets at many of its shingles.
-    candidates = candidates.distinct()
-    # Sketches travel with the candidates, and whole sets only with what sketches leave: few bytes a pair instead of a kilobyte.
-    sketched = _checkpointed(reps.select("id", "n", "s").mapInArrow(_sketches, f"id {kind}, n int, " + ", ".join(f"x{k} long" for k in range(SKETCH_LONGS))))
-    of = lambda name: sketched.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), *[F.col(f"x{k}").alias(f"{name}{k}") for k in range(SKETCH_LONGS)])
-    missing = sum((F.bit_count(F.col(f"a{k}").bitwiseAND(F.bitwise_not(F.col(f"b{k}")))) for k in range(1, SKETCH_LONGS)), F.bit_count(F.col("a0").bitwiseAND(F.bitwise_not(F.col("b0")))))
-    candidates = _checkpointed(candidates.join(of("a"), "a").join(of("b").drop("nb"), "b").where(missing <= F.col("na") - least_shared("na")).select("a", "b"))
-    # Only sets that a candidate may name are shuffled, by counters of their ids' hashes.
-    named = docs.sparkSession.sparkContext.broadcast(_hashed_counts(candidates.select(F.array(F.xxhash64("a"), F.xxhash64("b")).alias("s"))))
-    sets = reps.withColumn("h", F.xxhash64("id")).mapInArrow(_named(named), f"id {kind}, s array<bigint>, n int")
-    pairs = candidates.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    scored = pairs.withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-    return scored.where(F.col("shared") >= F.col("na") * threshold - 1e-9).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared", F.round(F.col("shared") / F.col("na"), 6).alias("containment"))
-
-
-def _pack_words(batches):
-    """From ``id, w`` to one compressed value a batch: ids, counts, and words as codes of a dictionary of their hashes."""
-    import hashlib
-    import io
-
-    import numpy as np
-    import pyarrow as pa
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        words = b.column("w")
-        coded = words.flatten().dictionary_encode()
-        hashes = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in coded.dictionary.to_pylist()], np.uint64)
-        out = io.BytesIO()
-        for table in ({"id": b.column("id"), "n": words.value_lengths()}, {"code": coded.indices}, {"hash": pa.array(hashes)}):
-            table = pa.table(table)
-            with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_table(table)
-        yield pa.RecordBatch.from_pydict({"packed": pa.array([out.getvalue()], pa.binary())})
-
-
-def _shingled(least: int):
-    """From packed words to ``id, s, n``: the hashes of the distinct shingles of each text that has ``least`` of them."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for b in batches:
-            for packed in b.column("packed"):
-                source = pa.BufferReader(packed.as_py())
-                documents, codes, hashes = (pa.ipc.open_stream(source).read_all() for _ in range(3))
-                size = documents["n"].to_numpy().astype(np.int64)
-                word = hashes["hash"].to_numpy()[codes["code"].to_numpy()]
-                doc = np.repeat(np.arange(len(size)), size)
-                runs = max(0, len(word) - V.SHINGLE_WORDS + 1)
-                grams = np.zeros(runs, np.uint64)
-                for k in range(V.SHINGLE_WORDS):
-                    grams = (grams ^ (grams >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + word[k : k + runs]
-                grams = (grams ^ (grams >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-                grams ^= grams >> np.uint64(32)
-                whole = doc[:runs] == doc[len(doc) - runs :]
-                grams, doc = grams[whole], doc[:runs][whole]
-                order = np.lexsort((grams, doc))
-                grams, doc = grams[order], doc[order]
-                kept = np.ones(len(grams), bool)
-                kept[1:] = (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])
-                grams, doc = grams[kept], doc[kept]
-                n = np.bincount(doc, minlength=len(size))
-                enough = n >= least
-                grams, n = grams[enough[doc]].view(np.int64), n[enough]
-                ids = documents["id"].combine_chunks().filter(pa.array(enough))
-                at = np.concatenate([[0], np.cumsum(n)])
-                for i in range(0, len(n), 2_000):
-                    j = min(i + 2_000, len(n))
-                    sets = pa.ListArray.from_arrays(pa.array(at[i : j + 1] - at[i], pa.int32()), pa.array(grams[at[i] : at[j]]))
-                    yield pa.RecordBatch.from_arrays([ids[i:j], sets, pa.array(n[i:j], pa.int32())], ["id", "s", "n"])
-
-    return run
-
-
-def _named(named):
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            yield b.select(["id", "s", "n"]).filter(pa.array(named.value[_slots(b.column("h").to_numpy())] > 0))
-
-    return run
-
-
-def _slots(grams):
-    """The counter of each shingle: the first bits of its hash."""
-    import numpy as np
-
-    return (grams.view(np.uint64) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
-
-
-def _hashed_counts(sets: DataFrame):
-    """How often the shingles of ``s`` fall on each of 2^``COUNTER_BITS`` counters; they reach the driver packed."""
-    import zlib
-
-    import numpy as np
-    import pandas as pd
-
-    size = 1 << 16
-
-    def run(batches):
-        total = np.zeros(1 << COUNTER_BITS, np.int64)
-        for b in batches:
-            total += np.bincount(_slots(b.column("s").flatten().to_numpy()), minlength=len(total))
-        import pyarrow as pa
-
-        for k in np.flatnonzero(total.reshape(-1, size).any(axis=1)).tolist():
-            yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "counters": [zlib.compress(total[k * size : (k + 1) * size].tobytes(), 1)]})
-
-    def add(rows):
-        total = sum(np.frombuffer(zlib.decompress(c), np.int64) for c in rows["counters"])
-        return pd.DataFrame({"block": rows["block"].iloc[:1], "counters": [zlib.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes(), 1)]})
-
-    out = np.zeros(1 << COUNTER_BITS, np.int32)
-    for r in sets.mapInArrow(run, "block int, counters binary").groupBy("block").applyInPandas(add, "block int, counters binary").collect():
-        out[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(zlib.decompress(r["counters"]), np.int32)
-    return out
-
-
-def _ordered(rarity, threshold: float, sought=None):
-    """From ``id, s, n`` to rows of shingles, rarest first: the prefix, or with ``sought`` all whose counter there is used.
-
-    A counter of 1 is a shingle of no other set: it takes its place in the prefix and meets nothing.  ``left`` counts
-    a set's shingles from this one on.
-    """
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for b in batches:
-            sets, n = b.column("s"), b.column("n").to_numpy().astype(np.int64)
-            grams = sets.flatten().to_numpy()
-            doc = np.repeat(np.arange(len(n)), n)
-            slots = _slots(grams)
-            count = rarity.value[slots]
-            order = np.lexsort((grams, count, doc))
-            grams, slots, count = grams[order], slots[order], count[order]
-            left = np.repeat(np.cumsum(n), n) - np.arange(len(grams))
-            if sought is None:
-                least = np.ceil(n * threshold - 1e-9).astype(np.int64)
-                kept = (left >= least[doc]) & (count > 1)
-            else:
-                kept = (sought.value[slots] > 0) & (count > 1)
-            doc = doc[kept]
-            columns = [b.column("id").take(pa.array(doc)), pa.array(n[doc], pa.int32()), pa.array(grams[kept])]
-            if sought is None:
-                yield pa.RecordBatch.from_arrays(columns, ["a", "na", "g"])
-            else:
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(left[kept], pa.int32())], ["b", "nb", "g", "left"])
-
-    return run
-
-
-def _sketches(batches):
-    """``id, n, x0, x1, ...``: a bit for each gram's hash. A bit that another set's sketch lacks is a gram that it lacks."""
-    import numpy as np
-    import pyarrow as pa
-
-    for b in batches:
-        grams = b.column("s")
-        size = grams.value_lengths().to_numpy()
-        bits = np.zeros((len(grams), 64 * SKETCH_LONGS), bool)
-        bits[np.repeat(np.arange(len(grams)), size), grams.flatten().to_numpy() % bits.shape[1]] = True
-        x = np.packbits(bits, axis=1).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), *[pa.array(np.ascontiguousarray(x[:, k])) for k in range(SKETCH_LONGS)]], ["id", "n", *[f"x{k}" for k in range(SKETCH_LONGS)]])
+    spaced = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    pairs = near.contained_pairs(docs, key, spaced, threshold, least)
+    return pairs.select("a", "b", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("containment"))
 
 
 def duplicate_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -298,8 +104,3 @@ def duplicate_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     hashed = docs.select(key, F.sha2(w, 256).alias("h"))
     classes = hashed.groupBy("h").agg(F.min(key).alias("class_id"), F.count("*").alias("class_size"))
     return hashed.join(classes, "h").select(key, "class_id", "class_size")
-
-
-def _checkpointed(df: DataFrame) -> DataFrame:
-    shared_folder(df.sparkSession)
-    return df.checkpoint(True)

@@ -175,3 +175,37 @@ def test_near_links_keep_less_than_the_texts(spark):
     before = used()
     dedupe.near_duplicate_links(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text").collect()
     assert 0 < used() - before < sum(len(t) for _, t in texts) / 2
+
+
+def test_near_links_shuffle_less_than_the_texts(spark):
+    """Texts of common sentences meet at many shingles: shingles and candidate pairs were shuffled, many times the texts."""
+    import random
+
+    rnd = random.Random(8)
+    sentences = [" ".join(f"w{rnd.randrange(300)}" for _ in range(9)) for _ in range(60)]
+    texts = [(f"t{i}", ". ".join(rnd.sample(sentences, rnd.randrange(3, 40)))) for i in range(600)]
+    for i in range(60):
+        parts = texts[i][1].split(". ")
+        texts.append((f"u{i}", ". ".join(parts[: max(3, len(parts) - 1)] + rnd.sample(sentences, i % 3))))
+    texts += [(f"v{i}", texts[i][1].upper()) for i in range(20)] + [("short", "a b c d"), ("none", None)]
+    docs = spark.createDataFrame(texts, "doc_id string, text string").repartition(3)
+    shuffled = lambda: sum(e.totalShuffleWrite() for e in (lambda x: [x.apply(k) for k in range(x.size())])(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    docs = docs.checkpoint(True)
+    before = shuffled()
+    out = [(r["a"], r["b"]) for r in dedupe.near_duplicate_links(docs, "doc_id", "text").collect()]
+    used = shuffled() - before
+    assert set(out) == brute_links(sorted(texts, key=lambda t: t[0])) and len(out) == len(set(out)) > 60
+    assert 0 < used < sum(len(t or "") for _, t in texts)
+
+
+def test_near_links_leave_no_files(spark):
+    from pathlib import Path
+
+    from quarrymill.session import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(40))), (2, " ".join(f"w{i}" for i in range(44)))], "doc_id long, text string")
+    out = dedupe.near_duplicate_links(docs, "doc_id", "text")
+    assert not list(folder.glob("near-*"))
+    assert [tuple(r) for r in out.collect()] == [(1, 2, 36, 1.0)]
+    assert dedupe.near_duplicate_links(docs.where("false"), "doc_id", "text").collect() == []
