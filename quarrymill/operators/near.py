@@ -318,7 +318,8 @@ def _lead(folder: str, blocks: list[list[str]], least: int, threshold: float, ra
                 for k in range(1, WITNESSES + 1):
                     w = lead + k * groups[of]
                     table[f"w{k}"] = _witness(grams[np.where(w < at[1:][of], w, lead)])
-                _write(f"{folder}/groups-{j}", _dumped({"n": n.astype(np.int32), "place": places.astype(np.int32), "id": ids}, table))
+                whole = alone + (WITNESSES + 1) * groups <= n
+                _write(f"{folder}/groups-{j}", _dumped({"n": n.astype(np.int32), "place": places.astype(np.int32), "id": ids, "groups": groups.astype(np.int32), "whole": whole}, table))
                 yield pa.RecordBatch.from_pydict({"rows": [len(of)]})
 
     return run
@@ -353,6 +354,7 @@ def _meet(folder: str, blocks: list[list[str]], shares: int, least: int, thresho
                     small, table = _read(f"{folder}/groups-{i}", 2)
                     n = small["n"].to_numpy().astype(np.int64)
                     a, b = index.candidates(n, table)
+                    a, b = index.likely(a, b, small["groups"].to_numpy(), small["whole"].to_numpy(), table)
                     if not len(a):
                         continue
                     left, right = small["id"].combine_chunks().take(pa.array(a)), index.ids.take(pa.array(b))
@@ -391,8 +393,8 @@ class _Index:
         self.docs = (self.keys & np.uint64(0xFFFF)).astype(np.uint16)
         self.lists = np.zeros((1 << LIST_BITS) + 1, np.int32)
         np.cumsum(np.bincount((self.keys >> np.uint64(16)).astype(np.int64), minlength=1 << LIST_BITS), out=self.lists[1:])
-        # Between four and eight places a shingle.
-        size = np.minimum(1 << 16, 1 << (np.ceil(np.log2(self.n)).astype(np.int64) + 2))
+        # Between eight and sixteen places a shingle.
+        size = np.minimum(1 << 16, 1 << (np.ceil(np.log2(self.n)).astype(np.int64) + 3))
         self.mask = (size - 1).astype(np.int32)
         self.offset = (np.cumsum(size) - size).astype(np.int32)
         self.filter = np.zeros(size.sum(), bool)
@@ -433,6 +435,29 @@ class _Index:
         pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint32)
         return (pairs >> np.uint32(16)).astype(np.int64), (pairs & np.uint32(0xFFFF)).astype(np.int64)
 
+    def likely(self, a, b, groups, whole, table):
+        """The pairs of which fewer witnesses are absent than there are groups, since one more absent shingle than that would be too many."""
+        import numpy as np
+
+        order = np.argsort(table["doc"].to_numpy(), kind="stable")
+        w = [table[f"w{k}"].to_numpy()[order] for k in range(1, WITNESSES + 1)]
+        groups = groups.astype(np.int64)
+        start = np.cumsum(groups) - groups
+        out = np.ones(len(a), bool)
+        upto = np.cumsum(groups[a])
+        first = 0
+        while first < len(a):
+            done = upto[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(upto, done + STEP, "right")))
+            x = a[first:last]
+            pair, rows = _spread(start[x], groups[x])
+            to = b[first:last][pair]
+            offset, mask = self.offset[to], self.mask[to]
+            absent = sum(np.bincount(pair[~self.filter[offset + (v[rows] & mask)]], minlength=last - first) for v in w)
+            out[first:last] = ~whole[x] | (absent < groups[x])
+            first = last
+        return a[out], b[out]
+
     def shared(self, at, grams, a, b, missing):
         """How many shingles each pair shares; 0 where more than ``missing`` of the smaller set are known to be absent."""
         import numpy as np

@@ -196,6 +196,8 @@ def test_near_links_shuffle_less_than_the_texts(spark):
     used = shuffled() - before
     assert set(out) == brute_links(sorted(texts, key=lambda t: t[0])) and len(out) == len(set(out)) > 60
     assert 0 < used < sum(len(t or "") for _, t in texts)
+    # Here groups have no room for witnesses.
+    assert {(r["a"], r["b"]) for r in dedupe.near_duplicate_links(docs, "doc_id", "text", 0.5).collect()} == brute_links(sorted(texts, key=lambda t: t[0]), 0.5)
 
 
 def test_near_links_leave_no_files(spark):
